@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import host_rules
+from . import host_rules, jaccard_join
 
 QUERIES = {
+    "op9_jaccard_join": jaccard_join.query,
     "op10_host_rules": host_rules.query,
 }
 ORACLES = {
+    "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_host_rules": host_rules.ORACLE_SQL,
 }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import host_rules, jaccard_join
+from . import host_rules, jaccard_join, packed_ids, whole_tokens
 
 QUERIES = {
+    "op2_whole_tokens": whole_tokens.query,
+    "op6_packed_ids": packed_ids.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_host_rules": host_rules.query,
 }

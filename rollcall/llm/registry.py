@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import host_rules, jaccard_join, packed_ids, whole_tokens
+from . import chat_format, hilbert_shards, host_rules, jaccard_join, packed_ids, suffix_pieces, whole_tokens
 
 QUERIES = {
+    "op1_hilbert_shards": hilbert_shards.query,
+    "op5_chat_format": chat_format.query,
+    "op7_suffix_pieces": suffix_pieces.query,
     "op2_whole_tokens": whole_tokens.query,
     "op6_packed_ids": packed_ids.query,
     "op9_jaccard_join": jaccard_join.query,
     "op10_host_rules": host_rules.query,
 }
 ORACLES = {
+    "op5_chat_format": chat_format.ORACLE_SQL,
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_host_rules": host_rules.ORACLE_SQL,
 }

@@ -36,7 +36,7 @@ SIZE, NUM, DEN = 3, 90, 100
 #: A part of fewer elements says little; nodes send it only if too few of their parts have more.
 WEAK = 4
 #: Elements of a chunk of a large block, about: what a task holds of it is twice that.
-CHUNK_ELEMENTS = 1_000_000
+CHUNK_ELEMENTS = 150_000
 #: Elements that are joined in one trie forest, about, if blocks are small.
 FOREST_ELEMENTS = 400_000
 
@@ -263,8 +263,9 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: i
     members = members.join(sizes, "root").withColumn("chunks", F.ceil(F.col("all") / CHUNK_ELEMENTS).cast("int"))
     members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
     members = written(members.select("root", "node", "copies", "n_shingles", "chunk", "chunks", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")), "members")
+    # members grow with the corpus, so they are never broadcast
     with_text = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id").join(
-        members.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id"), ["__id", "text_key"]
+        members.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id").hint("merge"), ["__id", "text_key"]
     )
     blocks = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     blocks = blocks.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "copies", "n_shingles", "text")
@@ -291,7 +292,7 @@ def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, i
     state = jaccard_components(docs, size, num, den, id_col, text).where("chosen")
     state = state.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_key").alias("__key"), (F.col("n_shingles") > 0).alias("__set")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
-    rows = rows.join(state, ["__id", "__key"])
+    rows = rows.join(state.hint("merge"), ["__id", "__key"])
     nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__id", "__key"))
     return rows.withColumn("__nth", nth).where("__nth = 1 or not __set").select("__row.*")
 

@@ -227,7 +227,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(ids)], "n_ids": [len(values)]})
 
         for batch in batches:
-            for lo, hi, data, off in tb.slices(batch.column(1)):
+            for lo, hi, data, off in tb.slices(batch.column(1), min(tb.SLICE_BYTES, 3 * file_ids)):
                 lens, ids = _encoder(tokenizer).encode(data, off, end_id)
                 held.append((batch.column(0).slice(lo, hi - lo).to_pylist(), lens, ids))
                 if sum(len(x[2]) for x in held) >= file_ids:

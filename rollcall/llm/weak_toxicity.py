@@ -45,7 +45,7 @@ THRESHOLD, PRIOR = 0.7, 0.01
 #: Standard errors by which a feature's rates on toxic and clean texts have to differ.
 LEAST_PULL = 4.0
 #: Weight of a feature in a text from which it counts as standing there.
-LOUD = 0.5
+LOUD = 0.25
 #: Lengths in bytes of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "bastard", "pig", "filth", "vermin", "freak", "ugly", "hate", "kill")
@@ -66,7 +66,7 @@ def _word_features(words: list[str]) -> np.ndarray:
 def text_features(data: np.ndarray, off: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct features of each text: the number of the text, the feature's hash (or, if ``wanted`` is given, its place in that sorted array), and its weight.
 
-    The weight is the percentage of the text's words that have the feature, and 1 from one percent on.
+    The weight is the percentage of the text's words that have the feature, less a little for the first of them (one may be chance), and 1 at most.
     """
     low = tb.lowered(data)
     starts, ends = tb.runs(tb.WORDISH[low], off)
@@ -97,7 +97,7 @@ def text_features(data: np.ndarray, off: np.ndarray, wanted: np.ndarray | None =
     head = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (feature[1:] != feature[:-1])]))
     often = np.diff(np.append(head, len(text)))
     text, feature = text[head], feature[head]
-    return text, feature, np.minimum(1.0, 100 * often / tb.count_by_text(of, len(off) - 1)[text])
+    return text, feature, np.minimum(1.0, 100 * (often - 0.6) / tb.count_by_text(of, len(off) - 1)[text])
 
 
 def pattern_votes(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -174,12 +174,11 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, anc
 
 
 def fit_linear(text: np.ndarray, place: np.ndarray, share: np.ndarray, n: int, m: int, target: np.ndarray, steps: int = 150, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
-    """Logistic regression on the weights of features by Adam; toxic and clean texts weigh alike up to a factor of four."""
+    """Logistic regression on the weights of features by Adam; all texts weigh alike."""
     w, b = np.zeros(m + 1), 0.0
     first, second = np.zeros(m + 1), np.zeros(m + 1)
     share = float(np.clip(target.mean(), 0.01, 0.99))
-    weight = 1 + target * (min(4.0, (1 - share) / share) - 1)
-    weight /= weight.sum()
+    weight = np.full(n, 1 / n)
     w[m] = np.log(share / (1 - share))
     for k in range(1, steps + 1):
         z = np.bincount(text, weights=w[place] * share, minlength=n) + w[m]

@@ -173,7 +173,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, anc
     return model
 
 
-def fit_linear(text: np.ndarray, place: np.ndarray, share: np.ndarray, n: int, m: int, target: np.ndarray, steps: int = 150, ridge: float = 2e-4) -> tuple[np.ndarray, float]:
+def fit_linear(text: np.ndarray, place: np.ndarray, share: np.ndarray, n: int, m: int, target: np.ndarray, steps: int = 300, ridge: float = 4e-5) -> tuple[np.ndarray, float]:
     """Logistic regression on the weights of features by Adam; all texts weigh alike."""
     w, b = np.zeros(m + 1), 0.0
     first, second = np.zeros(m + 1), np.zeros(m + 1)

@@ -36,7 +36,9 @@ from .units import UnitMemory, piece_units
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters that are indexed at a time.
-INDEX_CHARS = 250_000
+INDEX_CHARS = 100_000
+#: Rows that are decoded at a time.
+DECODE_ROWS = 500
 _FIRST = np.uint64(0xF125)
 
 
@@ -99,7 +101,7 @@ class PieceModel:
         lens = np.array([len(x) for x in self.bytes], dtype=np.int64)
         self.byte_len, self.byte_at = lens, np.cumsum(lens) - lens
         self.byte_pool = np.frombuffer(b"".join(self.bytes), dtype=np.uint8)
-        self.memory = UnitMemory(self.encode_units)
+        self.memory = UnitMemory(self.encode_units, 500_000)
 
     def _merge(self, text: str, merged: dict[int, int]) -> tuple[int, int] | None:
         """The two pieces that merging joins last if it makes one piece of the text."""
@@ -312,39 +314,47 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL) ->
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
+def _texts(model: str, lens: np.ndarray, ids: np.ndarray) -> list[str]:
+    raw, off = piece_model(model).decode(lens, ids)
+    body = raw.tobytes()
+    return [body[a:b].decode(errors="replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
 def decode_documents(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     """All columns of ``encoded``, and decoded."""
     schema = schema_with(encoded, [T.StructField("decoded", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.schema.names.index(ids)).fill_null([])
-            lo = 0
-            while lo < len(lists) or not lo:
-                part = batch.slice(lo, 2000)
-                got = lists.slice(lo, 2000)
-                lens = np.diff(got.offsets.to_numpy())
-                raw, off = piece_model(model).decode(lens, got.flatten().to_numpy(zero_copy_only=False))
-                body = raw.tobytes()
-                texts = [body[a:b].decode(errors="replace") for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+            for lo in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(lo, DECODE_ROWS)
+                got = part.column(part.schema.names.index(ids)).fill_null([])
+                texts = _texts(model, np.diff(got.offsets.to_numpy()), got.flatten().to_numpy(zero_copy_only=False))
                 yield tb.with_columns(part, {"decoded": pa.array(texts, pa.string())})
-                lo += 2000
 
     return encoded.mapInArrow(run, schema)
 
 
-def with_digest(encoded: DataFrame, ids: str = "ids") -> DataFrame:
-    """All columns of ``encoded`` but the ids, n_ids and ids_crc32 (of them as little-endian 32-bit integers)."""
-    rest = [x for x in encoded.columns if x not in (ids, "n_ids", "ids_crc32")]
-    schema = T.StructType([encoded.schema[x] for x in rest] + [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType())])
+def decoded_digest(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
+    """As ``decode_documents``, with n_ids and ids_crc32 (of the ids as little-endian 32-bit integers) in place of the ids.
+
+    One worker reads the ids once for both.
+    """
+    rest = [x for x in encoded.columns if x not in (ids, "n_ids", "ids_crc32", "decoded")]
+    schema = T.StructType([encoded.schema[x] for x in rest] + [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded", T.StringType())])
 
     def run(batches):
         for batch in batches:
-            lists = batch.column(len(rest))
-            off = lists.offsets.to_numpy()
-            raw = lists.values.to_numpy(zero_copy_only=False).astype("<i4")
-            crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(rest))] + [pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], names=schema.fieldNames())
+            for lo in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(lo, DECODE_ROWS)
+                got = part.column(len(rest)).fill_null([])
+                lens = np.diff(got.offsets.to_numpy())
+                flat = got.flatten().to_numpy(zero_copy_only=False)
+                stop = np.cumsum(lens)
+                raw = flat.astype("<i4")
+                crc = [zlib.crc32(raw[a:b]) for a, b in zip((stop - lens).tolist(), stop.tolist())]
+                columns = [pa.array(lens.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(_texts(model, lens, flat), pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(rest))] + columns, names=schema.fieldNames())
 
     return encoded.select(*rest, ids).mapInArrow(run, schema)
 
@@ -352,6 +362,6 @@ def with_digest(encoded: DataFrame, ids: str = "ids") -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     docs = docs.select("doc_id", F.crc32(F.encode(F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" ")), "UTF-8")).alias("text_crc32"), "text")
-    out = with_digest(decode_documents(encode_documents(docs)))
+    out = decoded_digest(encode_documents(docs))
     decoded = F.crc32(F.encode("decoded", "UTF-8"))
     return out.select("doc_id", "n_ids", "ids_crc32", "text_crc32", (decoded == F.col("text_crc32")).alias("round_trip"))

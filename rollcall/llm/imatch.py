@@ -181,7 +181,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     # the first place is a document's own, others need it as the one that follows
     dealt = docs.select("doc_id", "key", "text", F.posexplode(ranges_of("key")).alias("guest", "r"))
     dealt = dealt.select("r", F.least("guest", F.lit(1)).alias("guest"), "doc_id", "key", "text")
-    dealt = dealt.repartition("r").sortWithinPartitions("r", "guest", "key", "text")
+    # as many partitions as ranges: a task's share doesn't grow with the corpus
+    dealt = dealt.repartition(len(cuts) + 1, "r").sortWithinPartitions("r", "guest", "key", "text")
 
     def run(batches):
         prints = Fingerprinter(terms.value)

@@ -37,6 +37,8 @@ from .whole_tokens import load_tokenizer
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 MAGIC = b"S8BRANK1"
 BLOCK = 1024
+#: Blocks that are packed at a time.
+PACKED_BLOCKS = 256
 #: A file is closed when it has so many ids.
 FILE_IDS = 3_000_000
 ESCAPE = 15
@@ -47,10 +49,17 @@ BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words, and the offset of each block's words (one more than blocks)."""
+    words, offsets = [np.zeros(0, dtype=np.uint64)], [np.zeros(1, dtype=np.uint64)]
+    for lo in range(0, len(values), PACKED_BLOCKS * BLOCK):
+        w, o = _pack(values[lo : lo + PACKED_BLOCKS * BLOCK])
+        words.append(w)
+        offsets.append(o[1:] + offsets[-1][-1])
+    return np.concatenate(words), np.concatenate(offsets)
+
+
+def _pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     blocks = -(-n // BLOCK)
-    if not n:
-        return np.zeros(0, dtype=np.uint64), np.zeros(1, dtype=np.uint64)
     # places beyond a block's end count as zeros, so a block's last word may be partly empty
     wide = BLOCK + int(COUNT.max())
     grid = np.zeros((blocks, wide), dtype=np.uint64)
@@ -130,10 +139,19 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
 
 
 def file_bytes(doc_ids: list[int | None], lens: np.ndarray, values: np.ndarray) -> bytes:
-    distinct, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+    if not len(values) or values.max() < 1 << 20:
+        # a vocabulary's ids: counted in place
+        count = np.bincount(values.astype(np.int64))
+        distinct = np.flatnonzero(count)
+        count, inverse = count[distinct], values
+        rank = np.zeros(int(distinct.max(initial=0)) + 1, dtype=np.uint64)
+        seat = distinct
+    else:
+        distinct, inverse, count = np.unique(values, return_inverse=True, return_counts=True)
+        rank = np.zeros(len(distinct), dtype=np.uint64)
+        seat = np.arange(len(distinct))
     order = np.argsort(-count, kind="stable")
-    rank = np.empty(len(order), dtype=np.uint64)
-    rank[order] = np.arange(len(order), dtype=np.uint64)
+    rank[seat[order]] = np.arange(len(order), dtype=np.uint64)
     words, offsets = pack(rank[inverse])
     head = np.array([len(doc_ids), len(values), len(offsets) - 1, len(words), len(distinct)], dtype="<u8")
     null = np.array([x is None for x in doc_ids], dtype=np.uint8).tobytes()
@@ -221,7 +239,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
             ids, lens, values = [i for x in held for i in x[0]], np.concatenate([x[1] for x in held]), np.concatenate([x[2] for x in held])
             draft = f"{root}/_{context.taskAttemptId()}-{name}"
             with store.open_output_stream(draft) as out:
-                out.write(file_bytes(ids, lens, values.astype(np.uint64)))
+                out.write(file_bytes(ids, lens, values))
             store.move(draft, f"{root}/{name}")
             held, made = [], made + 1
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(ids)], "n_ids": [len(values)]})

@@ -174,7 +174,8 @@ def write_shards(
             of = of[m:]
             yield tb.with_columns(batch, {"hilbert": pa.array(h), "__run": pa.array(of), "__first": pa.array(run["rank"][of])})
 
-    rows = rows.mapInArrow(to_run, schema_with(rows, added))
+    # as many partitions as runs: a task's share doesn't grow with the table
+    rows = rows.mapInArrow(to_run, schema_with(rows, added)).repartition(len(runs), "__run")
     nth = F.row_number().over(Window.partitionBy("__run").orderBy("hilbert", "__id", "__tie"))
     rows = rows.withColumn("__rank", F.col("__first") + nth - 1)
     shard = F.expr(f"(((__rank + 1) * {shards} + {n_rows - 1}) div {n_rows}) - 1")

@@ -36,7 +36,7 @@ ROW_BYTES = 16
 TEMPERATURE = 0.5
 #: Rows of a bucket, about.
 BUCKET_ROWS = 50_000
-LEAST_BUCKETS = 16
+LEAST_BUCKETS = 64
 #: Weights are rounded to whole parts of this.
 PARTS = 1_000_000
 

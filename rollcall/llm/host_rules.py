@@ -96,10 +96,11 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
     weight = F.when(F.col("v") > 0, F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(MAX_WEIGHT))
-    prior = prior.select("m", weight.alias("w"))
-    # one row of two numbers is broadcast: its size doesn't depend on the data
-    shrunk = (F.col("n_failed") + F.col("m") * F.col("w")) / (F.col("n_docs") + F.col("w"))
-    return hosts.join(F.broadcast(prior)).select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("host_failed"))
+    # two numbers, as a scalar subquery
+    prior = prior.select(F.struct("m", weight.alias("w")).alias("p")).scalar()
+    hosts = hosts.withColumn("p", prior)
+    shrunk = (F.col("n_failed") + F.col("p.m") * F.col("p.w")) / (F.col("n_docs") + F.col("p.w"))
+    return hosts.select("host", "n_docs", "n_failed", shrunk.alias("shrunk_rate"), (shrunk > max_rate).alias("host_failed"))
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:

@@ -36,6 +36,17 @@ def _against(table: KeyedTable, rows: DataFrame, stored: DataFrame) -> DataFrame
     return rows.withColumn("reason", F.when(~table.complete(), F.lit("null")).otherwise(reason)).drop(*[f"__{c}" for c in (table.key, *table.unique)])
 
 
+def _reasons(table: KeyedTable, rows: DataFrame, accepted: DataFrame, ordinal: str) -> DataFrame:
+    """Refused rows with the first rule that they break, by accepted rows before them or by what is stored (``reason`` so far)."""
+    reason = F.lit(None).cast("string")
+    for c in reversed((table.key, *table.unique)):
+        have = accepted.select(F.col(c).alias(f"__{c}"), F.col(ordinal).alias(f"__by_{c}"))
+        rows = rows.join(have, F.col(c) == F.col(f"__{c}"), "left")
+        reason = F.when((F.col("reason") == c) | (F.col(f"__by_{c}") < F.col(ordinal)), F.lit(c)).otherwise(reason)
+    reason = F.when(F.col("reason") == "null", "null").otherwise(reason)
+    return rows.select(*table.columns, ordinal, reason.alias("reason"))
+
+
 def insert(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal: str = ORDINAL) -> Inserted:
     """What a row-by-row insert in the order of ``ordinal`` would store and refuse.
 
@@ -59,9 +70,9 @@ def insert(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal: str
         rest = open_.join(first.select(ordinal), ordinal, "left_anti").select(*columns)
         rest = settled(_against(table, rest, first))
         accepted = accepted.unionByName(first)
-        refused = refused.unionByName(rest.where("reason is not null").select(*columns, "reason"))
+        refused = refused.unionByName(rest.where("reason is not null").select(*columns, F.lit(None).cast("string").alias("reason")))
         open_ = rest.where("reason is null").select(*columns)
-    return Inserted(table.select(accepted), refused)
+    return Inserted(table.select(accepted), _reasons(table, refused, accepted, ordinal))
 
 
 def insert_state(table: KeyedTable, stored: DataFrame, inserted: Inserted) -> DataFrame:

@@ -50,7 +50,7 @@ class JdbcStore:
         read = self.spark.read.format("jdbc").options(**self.options).option("dbtable", self.table.name).load()
         # some databases give names back in upper case
         names = {c.lower(): c for c in read.columns}
-        return read.select(*[F.col(names[c.lower()]).cast(self.table.schema[c].dataType).alias(c) for c in self.table.columns])
+        return read.select(*[F.col(names[c.lower()]).alias(c) for c in self.table.columns])
 
     def get(self, key: str) -> Row:
         return reads.lookup_one(self.table, self.get_all(), key)

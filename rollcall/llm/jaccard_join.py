@@ -35,6 +35,8 @@ from .runtime import documents, written
 SIZE, NUM, DEN = 3, 90, 100
 #: A part of fewer elements says little; nodes send it only if too few of their parts have more.
 WEAK = 4
+#: Texts of the sample that popular shingles are told from, about, and texts of it that have one.
+POPULAR_SAMPLE, POPULAR = 20_000, 3
 #: Elements of a chunk of a large block, about: what a task holds of it is twice that.
 CHUNK_ELEMENTS = 150_000
 #: Elements that are joined in one trie forest, about, if blocks are small.
@@ -102,17 +104,38 @@ class Levels:
         return (self.den - self.num) * (short + self.den * short // self.num) // (self.den + self.num)
 
 
-def path_keys(lens: np.ndarray, hashes: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """Keys, and the number of the set that has each. The sets must not be empty."""
-    keys, owners = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)]
+def path_keys(lens: np.ndarray, hashes: np.ndarray, levels: Levels, popular: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, and the number of the set that has each. The sets must not be empty.
+
+    popular: sorted hashes of elements that many sets have. Without them two sets
+    differ in no more elements, so they still agree on as many parts, and a part of
+    one element that is left says enough. Sets that have too few others send the
+    keys of all their elements besides.
+    """
     if not len(lens):
-        return keys[0], owners[0]
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     own = levels.of(lens)
+    everything = np.arange(len(lens))
+    if popular is None:
+        keys, owners, _ = _part_keys(own, everything, lens, hashes, levels, WEAK, True, 0)
+        return keys, owners
+    place = np.minimum(np.searchsorted(popular, hashes), max(0, len(popular) - 1))
+    rare = popular[place] != hashes if len(popular) else np.ones(len(hashes), dtype=bool)
+    left = np.bincount(np.repeat(everything, lens)[rare], minlength=len(lens))
+    keys, owners, thin = _part_keys(own, everything, left, hashes[rare], levels, 1, False, 1)
     start = np.cumsum(lens) - lens
-    mixed = tb.mix(hashes ^ np.uint64(0x9A27))
+    more, of, _ = _part_keys(own[thin], thin, lens[thin], hashes[_spread(start[thin], lens[thin])], levels, WEAK, True, 2)
+    return np.concatenate([keys, more]), np.concatenate([owners, of])
+
+
+def _part_keys(own: np.ndarray, names: np.ndarray, lens: np.ndarray, hashes: np.ndarray, levels: Levels, weak_below: int, send_weak: bool, space: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of parts with at least weak_below elements, their sets, and the sets with too few such parts, which send the others only if send_weak."""
+    keys, owners, thin = [np.zeros(0, dtype=np.uint64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    start = np.cumsum(lens) - lens
+    mixed = tb.mix(hashes ^ np.uint64(0x9A27 + space))
     for down in (0, 1):
         level = own - down
-        apart = np.array([levels.differ(x) if x >= 0 else 0 for x in range(-1, int(own.max()) + 1)])[level + 1]
+        apart = np.array([levels.differ(x) if x >= 0 else 0 for x in range(-1, int(own.max(initial=0)) + 1)])[level + 1]
         sets = np.flatnonzero(apart > 0)  # where linked sets can't differ, they are one node
         if not len(sets):
             continue
@@ -125,16 +148,20 @@ def path_keys(lens: np.ndarray, hashes: np.ndarray, levels: Levels) -> tuple[np.
         slot = offset[element_set] + part.astype(np.int64)
         total = int(parts.sum())
         count = np.bincount(slot, minlength=total)
-        begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
         value = np.zeros(total, dtype=np.uint64)
-        value[slot[begin]] = np.add.reduceat(mixed[at], begin)
+        if len(slot):
+            begin = np.flatnonzero(np.concatenate([[True], slot[1:] != slot[:-1]]))
+            value[slot[begin]] = np.add.reduceat(mixed[at], begin)
         slot_set = np.repeat(np.arange(len(sets)), parts)
-        weak = np.bincount(slot_set, weights=count < WEAK, minlength=len(sets))
-        send = (count >= WEAK) | (weak > spare)[slot_set]
+        weak = np.bincount(slot_set, weights=count < weak_below, minlength=len(sets))
+        send = count >= weak_below
+        if send_weak:
+            send = send | (weak > spare)[slot_set]
         place = (level[sets][slot_set].astype(np.uint64) << np.uint64(32)) | (np.arange(total) - offset[slot_set]).astype(np.uint64)
-        keys.append(tb.mix(value[send] + tb.mix(place[send])))
-        owners.append(sets[slot_set[send]])
-    return np.concatenate(keys), np.concatenate(owners)
+        keys.append(tb.mix(value[send] + tb.mix(place[send] ^ np.uint64(space << 60))))
+        owners.append(names[sets[slot_set[send]]])
+        thin.append(names[sets[weak > spare]])
+    return np.concatenate(keys), np.concatenate(owners), np.unique(np.concatenate(thin))
 
 
 def merged_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,8 +196,29 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, text_key long, node long, n_shingles long")
 
 
-def key_table(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def popular_shingles(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
+    """Sorted hashes of shingles that several of at most about ``POPULAR_SAMPLE`` different texts have.
+
+    They are left out of keys, which costs no link whatever they are; they only
+    decide how large candidate blocks become. So a sample of texts (by hash) will do,
+    and the table is bounded by it.
+    """
+
+    def run(batches):
+        for batch in batches:
+            found = [shingle_sets(data, off, size)[1] for _, _, data, off in tb.slices(batch.column(0))]
+            if found:
+                shingles, count = np.unique(np.concatenate(found), return_counts=True)
+                yield pa.RecordBatch.from_arrays([_signed(shingles), pa.array(count)], names=["shingle", "n"])
+
+    sample = docs.where(F.pmod(F.col("text_key"), F.lit(max(1, n_docs // POPULAR_SAMPLE))) == 0).dropDuplicates(["text_key"]).select("text")
+    rows = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR).select("shingle").toArrow()
+    return np.sort(rows["shingle"].to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, dtype=np.uint64)
+
+
+def key_table(docs: DataFrame, size: int, num: int, den: int, popular: np.ndarray | None = None) -> DataFrame:
     """key and node, a row for each path of each different set of a batch."""
+    shared = docs.sparkSession.sparkContext.broadcast(popular)
 
     def run(batches):
         levels = Levels(num, den)
@@ -182,7 +230,7 @@ def key_table(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 start = np.cumsum(lens) - lens
                 _, first = np.unique(names, return_index=True)
                 first = first[lens[first] > 0]
-                k, owner = path_keys(lens[first], hashes[_spread(start[first], lens[first])], levels)
+                k, owner = path_keys(lens[first], hashes[_spread(start[first], lens[first])], levels, shared.value)
                 keys.append(k)
                 nodes.append(names[first][owner])
             if keys:
@@ -244,14 +292,16 @@ def linked_nodes(blocks: DataFrame, size: int, num: int, den: int) -> DataFrame:
     return blocks.mapInArrow(run, "node long, label long, links long")
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text: str = "text", thin: bool = False) -> DataFrame:
     """doc_id, text_key (a hash of the text), n_shingles, component_id and n_links of each document.
 
+    thin: leave popular shingles out of keys, for thresholds that leave few shingles to a part.
+
     n_links is the number of other documents that it links with.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
     sets = written(set_table(docs, size), "sets")
-    keys = key_table(docs, size, num, den)
+    keys = key_table(docs, size, num, den, popular_shingles(docs, size, sets.count()) if thin else None)
     least = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
     edges = keys.withColumn("least", least).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     roots = written(components(edges), "candidates")
@@ -289,7 +339,7 @@ def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: i
 
 def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component stays: the one with the least id. Rows without words all stay."""
-    state = jaccard_components(docs, size, num, den, id_col, text).where("chosen")
+    state = jaccard_components(docs, size, num, den, id_col, text, thin=True).where("chosen")
     state = state.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_key").alias("__key"), (F.col("n_shingles") > 0).alias("__set")).distinct()
     rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
     rows = rows.join(state.hint("merge"), ["__id", "__key"])

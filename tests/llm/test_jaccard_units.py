@@ -46,12 +46,16 @@ def test_trie_finds_every_link(seed, num, den):
     assert want
 
 
+@pytest.mark.parametrize("popular", [None, 1, 2, 40])
 @pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
 @pytest.mark.parametrize("seed", [3, 4])
-def test_linked_sets_share_a_key(seed, num, den):
+def test_linked_sets_share_a_key(seed, num, den, popular):
     sets = _sets(seed)
     lens, elements = _arrays(sets)
-    keys, owner = path_keys(lens, elements, Levels(num, den))
+    if popular is not None:
+        values, count = np.unique(elements, return_counts=True)
+        popular = values[count >= popular]
+    keys, owner = path_keys(lens, elements, Levels(num, den), popular)
     of = [set(keys[owner == i].tolist()) for i in range(len(sets))]
     for i in range(len(sets)):
         for j in range(i):

@@ -177,9 +177,9 @@ def fit_linear(text: np.ndarray, place: np.ndarray, share: np.ndarray, n: int, m
     """Logistic regression on the weights of features by Adam; all texts weigh alike."""
     w, b = np.zeros(m + 1), 0.0
     first, second = np.zeros(m + 1), np.zeros(m + 1)
-    share = float(np.clip(target.mean(), 0.01, 0.99))
+    rate = float(np.clip(target.mean(), 0.01, 0.99))
     weight = np.full(n, 1 / n)
-    w[m] = np.log(share / (1 - share))
+    w[m] = np.log(rate / (1 - rate))
     for k in range(1, steps + 1):
         z = np.bincount(text, weights=w[place] * share, minlength=n) + w[m]
         g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * weight

@@ -63,6 +63,16 @@ def test_nothing_to_learn_from(spark):
     assert wt.with_scores(empty, wt.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
+def test_linear_model_weighs_by_share():
+    """All texts have both features; only their shares tell the texts apart."""
+    rng = np.random.default_rng(3)
+    n = 2000
+    share = rng.random((n, 2))
+    target = 1 / (1 + np.exp(-(6 * share[:, 0] - 4 * share[:, 1] - 1)))
+    weights, bias = wt.fit_linear(np.repeat(np.arange(n), 2), np.tile([0, 1], n), share.ravel(), n, 2, target)
+    assert np.allclose(weights, [6, -4], atol=0.6) and abs(bias + 1) < 0.4
+
+
 def test_label_model_tells_accuracy_and_correlation():
     rng = np.random.default_rng(2)
     n = 4000

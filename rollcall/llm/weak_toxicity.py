@@ -7,7 +7,8 @@
 2. A generative label model with a hidden label is fitted to the votes by
    expectation and maximisation: how often each voter speaks up on toxic and on
    clean texts. Correlations that the hidden label leaves unexplained are estimated
-   from the residuals of the votes; voters that say the same share one voice.
+   from the residuals of the votes; voters that say the same in a text share one
+   voice there. One more voter, silence, votes clean where no voting word occurs.
 3. A linear (logistic) classifier on words and word beginnings is trained on the
    model's posterior labels, and scores every whole text.
 
@@ -133,15 +134,21 @@ class Classifier:
 class LabelModel:
     #: how often a voter is right when it speaks up; the last voter votes clean, the others toxic
     accuracy: np.ndarray
-    voice: np.ndarray
+    #: what each two voters say alike beyond the hidden label
+    alike: np.ndarray
     prior: float
 
+    @property
+    def voice(self) -> np.ndarray:
+        """The part of its voice that each voter has where all speak."""
+        return 1 / (1 + self.alike.sum(axis=0))
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The probability of toxic. A voter that abstains says nothing."""
+        """The probability of toxic. A voter that abstains says nothing and takes nothing of the others' voice."""
         base = np.log(self.prior / (1 - self.prior))
         toxic = self.accuracy.copy()
         toxic[-1] = 1 - toxic[-1]
-        z = base + votes @ (self.voice * (np.log(toxic / (1 - toxic)) - base))
+        z = base + (votes / (1 + votes @ self.alike)) @ (np.log(toxic / (1 - toxic)) - base)
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -155,7 +162,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, anc
     votes = votes.astype(np.float64)
     spoken = votes.sum(axis=0)
     r = np.minimum(votes[:, :-1].sum(axis=1) / 2, 0.95) * 0.98 + 0.01
-    model = LabelModel(np.full(m, 0.5), np.ones(m), float(np.clip(labels.mean(), 1e-4, 0.9)))
+    model = LabelModel(np.full(m, 0.5), np.zeros((m, m)), float(np.clip(labels.mean(), 1e-4, 0.9)))
     for k in range(rounds):
         right = (r @ votes + anchor * (labels @ votes) + model.prior) / ((1 + anchor) * spoken + 1)
         right[-1] = 1 - right[-1]
@@ -168,7 +175,7 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, anc
             scale = np.sqrt((left**2).sum(axis=0)) + 1e-9
             corr = (left.T @ left) / np.outer(scale, scale)
             np.fill_diagonal(corr, 0)
-            model.voice = 1 / (1 + np.where(corr > 0.2, corr, 0).sum(axis=0))
+            model.alike = np.where(corr > 0.2, corr, 0)
         r = model.posterior(votes)
     return model
 
@@ -252,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     place = lists.flatten().to_numpy().astype(np.int64)
     share = pa.concat_arrays(rows["shares"].chunks).flatten().to_numpy().astype(np.float64)
     of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
-    # voters: words and word beginnings, patterns, and silence, which votes clean
+    # voters: words and word beginnings, patterns, and silence, which votes clean where not even a quiet word of a voter occurs
     votes = np.zeros((n, len(voters) + len(PATTERNS) + 1), dtype=np.float32)
     seat = np.full(len(features), -1, dtype=np.int64)
     seat[np.searchsorted(features, voters)] = np.arange(len(voters))
@@ -261,7 +268,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     bits = rows["patterns"].to_numpy()
     for k in range(len(PATTERNS)):
         votes[:, len(voters) + k] = (bits >> k) & 1
-    votes[:, -1] = ~votes[:, : len(voters)].any(axis=1)
+    votes[:, -1] = np.bincount(of[seat[place] >= 0], minlength=n) == 0
     model = fit_label_model(votes, rows["toxic"].to_numpy().astype(np.float64))
     weights, bias = fit_linear(of, place, share, n, len(features), model.posterior(votes))
     return Classifier(features, weights, bias)

@@ -86,3 +86,22 @@ def test_label_model_tells_accuracy_and_correlation():
     # the first voter and its double share one voice
     assert model.voice[0] < 0.6 and model.voice[6] < 0.6 and model.voice[3] > 0.8
     assert ((model.posterior(votes) > 0.5) == truth).mean() > 0.95
+
+
+def test_voters_share_a_voice_only_where_both_speak():
+    model = wt.LabelModel(np.array([0.9, 0.9, 0.9]), np.array([[0, 1, 0], [1, 0, 0], [0, 0, 0]], dtype=float), 0.1)
+    alone, both, none = model.posterior(np.array([[1, 0, 0], [1, 1, 0], [0, 0, 0]], dtype=float))
+    assert abs(alone - 0.9) < 1e-9 and abs(both - 0.9) < 1e-9 and abs(none - 0.1) < 1e-9
+
+
+def test_quiet_words_are_no_silence(spark, monkeypatch):
+    """A long toxic text whose toxic words are spread thin doesn't vote clean."""
+    data, labels = corpus(300)
+    thin = next(k for k in range(1000, 1010) if zlib.crc32(str(k).encode()) % 3 != 1)
+    data.append((thin, " ".join((["idiot"] + ["river"] * 600) * 3), "en", "a", 1))
+    seen = []
+    fitted = wt.fit_label_model
+    monkeypatch.setattr(wt, "fit_label_model", lambda votes, truth: seen.append((votes, truth)) or fitted(votes, truth))
+    wt.fit(frame(spark, data), spark.createDataFrame(labels + [(thin, 1)], "doc_id long, toxic int"))
+    votes, truth = seen[0]
+    assert votes[truth == 0, -1].any() and not votes[truth == 1, -1].any()

@@ -223,7 +223,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """Fits the label model and the classifier to training rows of ``labels`` (doc_id, toxic)."""
     nothing = Classifier(np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log(PRIOR / (1 - PRIOR))))
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("toxic"))
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled)
+    # labels without a document take no place
+    chosen = chosen.join(docs.select(F.col(id_col).cast("long").alias("__id")), "__id", "left_semi")
+    # which ones is settled once: the sample is read three times
+    chosen = docs.sparkSession.createDataFrame(chosen.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled).toArrow(), chosen.schema)
     sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("text", F.col("toxic").cast("int").alias("toxic"))
     by_class = {bool(t): n for t, n in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = by_class.get(True, 0), by_class.get(False, 0)

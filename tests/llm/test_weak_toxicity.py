@@ -105,3 +105,12 @@ def test_quiet_words_are_no_silence(spark, monkeypatch):
     wt.fit(frame(spark, data), spark.createDataFrame(labels + [(thin, 1)], "doc_id long, toxic int"))
     votes, truth = seen[0]
     assert votes[truth == 0, -1].any() and not votes[truth == 1, -1].any()
+
+
+def test_labels_without_a_document_take_no_place(spark):
+    data, labels = corpus(200)
+    docs = frame(spark, data)
+    strangers = [(k, k % 2) for k in range(10**6, 10**6 + 4000)]
+    one, two = (wt.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int"), max_labelled=200) for x in (labels, labels + strangers))
+    assert len(one.features) and (one.features == two.features).all()
+    assert np.allclose(one.weights, two.weights) and np.isclose(one.bias, two.bias)

@@ -3,14 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _own: dict[str, str] = {}
+#: Paths that scratch() gave out and discard() didn't take back.
+_made: list[str] = []
+#: Bytes of a table that is sent whole to every executor, at most.
+BROADCAST_BYTES = 64 << 20
+#: Bytes of rows in a range of ``in_order``, about.
+PART_BYTES = 128 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,23 +42,100 @@ def shared_folder(spark: SparkSession) -> str:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written to the shared folder and read again: lineage ends here, and lost executors lose nothing."""
+def written(df: DataFrame, name: str, paths: list[str] | None = None) -> DataFrame:
+    """The rows, written to the shared folder and read again: lineage ends here, and lost executors lose nothing. The path is added to ``paths``."""
     spark = df.sparkSession
     path = scratch(spark, name)
+    if paths is not None:
+        paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Removes scratch tables; nothing that reads them may be run afterwards."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        if path in _made:
+            _made.remove(path)
+
+
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[list[str]]:
+    """Removes the scratch tables that are made inside, but for those whose paths are put into the list."""
+    before, keep = len(_made), []
+    try:
+        yield keep
+    finally:
+        discard(spark, [p for p in _made[before:] if p not in keep])
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of this process, once the results that read them are stored elsewhere."""
+    discard(spark, list(_made))
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
 
 
+# names: Spark takes "Shard" and "shard" as one, so a result's names push out any column that reads alike
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(columns: Iterable[str], *names: str) -> list[str]:
+    """The columns that none of the names pushes out."""
+    taken = {x.lower() for x in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def row_of(df: DataFrame, *without: str) -> Column:
+    """All columns in one struct, ``__row``, where no name can clash with another; ``__row.*`` takes them out again."""
+    return F.struct(*[F.col(quoted(c)) for c in others(df.columns, *without)]).alias("__row")
+
+
 def schema_with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     """The schema of ``textbytes.with_columns``."""
-    new = {x.name for x in fields}
-    return T.StructType([x for x in df.schema.fields if x.name not in new] + fields)
+    keep = set(others(df.columns, *[x.name for x in fields]))
+    return T.StructType([x for x in df.schema.fields if x.name in keep] + fields)
+
+
+# order
+
+
+def in_order(df: DataFrame, n_bytes: int, *keys: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows in ranges of the keys, sorted; as many ranges as their bytes ask for, so a task's share doesn't grow with the table."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-int(n_bytes) // part_bytes))
+    return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+
+
+def sent_whole(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
+    """Broadcast if the rows are known to be few enough; otherwise joined as any table."""
+    return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
+
+
+def summed_before(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:
+    """``df`` with a column for each of ``sums`` (new name to column): its sum over the rows before.
+
+    Ranges are summed side by side; only one row for each range passes through one task.
+    """
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id()), name)
+    past = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("__part").agg(*[F.sum(c).alias(f"__{new}") for new, c in sums.items()])
+    base = base.select("__part", *[F.coalesce(F.sum(f"__{new}").over(past), F.lit(0)).alias(f"__{new}") for new in sums])
+    inside = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"__in_{new}") for new, c in sums.items()])
+    rows = rows.join(sent_whole(base, parts, 8 + 8 * len(sums)), "__part")
+    return rows.select(*df.columns, *[(F.col(f"__{new}") + F.col(f"__in_{new}")).alias(new) for new in sums])

@@ -140,6 +140,7 @@ def count_by_text(text: np.ndarray, n: int) -> np.ndarray:
 
 
 def with_columns(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    """The batch with more columns; a column of the same name gives way."""
-    names = [x for x in batch.schema.names if x not in columns]
-    return pa.RecordBatch.from_arrays([batch.column(x) for x in names] + list(columns.values()), names=names + list(columns))
+    """The batch with more columns; a column whose name reads alike gives way."""
+    new = {x.lower() for x in columns}
+    keep = [k for k, x in enumerate(batch.schema.names) if x.lower() not in new]
+    return pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + list(columns.values()), names=[batch.schema.names[k] for k in keep] + list(columns))

@@ -52,43 +52,97 @@ def test_shard_query(spark, tmp_path):
 # Pfair mixing
 
 
+def fluid(weights, blocks):
+    """What each source has had at every slot if all flow side by side, by plain fractions."""
+    left, had, out = [Fraction(b) for b in blocks], [Fraction(0)] * len(blocks), []
+    at, slot = Fraction(0), 0
+    while slot <= sum(blocks):
+        flows = [s for s in range(len(blocks)) if left[s]]
+        if at == slot:
+            out.append(list(had))
+            slot += 1
+            continue
+        total = sum(weights[s] for s in flows)
+        step = min([left[s] * total / weights[s] for s in flows] + [slot - at])
+        for s in flows:
+            left[s] -= step * weights[s] / total
+            had[s] += step * weights[s] / total
+        at += step
+    return out
+
+
 @pytest.mark.parametrize("seed", range(20))
-def test_schedule_keeps_every_share(seed):
+def test_schedule_keeps_every_share_while_sources_end(seed):
     rng = random.Random(seed)
-    n = rng.randrange(1, 9)
-    weights, blocks = [rng.random() + 0.01 for _ in range(n)], [rng.randrange(40) for _ in range(n)]
+    n = rng.choice([1, 4, 60])
+    weights = [rng.choice([1, 3, 1000, rng.randrange(1, pfair_mix.PARTS)]) for _ in range(n)]
+    blocks = [rng.choice([0, 1, rng.randrange(40), rng.randrange(12)]) for _ in range(n)]
     out = list(pfair_mix.schedule(weights, blocks))
     assert [r[4] for r in out] == list(range(sum(blocks)))
     assert sorted((r[0], r[1]) for r in out) == [(s, k) for s in range(n) for k in range(blocks[s])]
-    parts = [max(1, round(pfair_mix.PARTS * w / max(weights))) for w in weights]
-    left = dict(enumerate(blocks))
-    for phase in sorted({r[5] for r in out}):
-        active = [s for s in left if left[s]]
-        total, done = sum(parts[s] for s in active), dict.fromkeys(active, 0)
-        for t, r in enumerate((r for r in out if r[5] == phase), 1):
-            done[r[0]] += 1
-            assert r[2] <= r[4] < r[3]
-            assert all(abs(done[s] - Fraction(parts[s] * t, total)) < 1 for s in active)
-        for s in active:
-            left[s] -= done[s]
-
-
-@pytest.mark.parametrize("weights", [None, {"a": 5.0, "b": 1.0}])
-def test_mix(spark, weights):
+    want, done = fluid(weights, blocks), [0] * n
+    for t, r in enumerate(out, 1):
+        done[r[0]] += 1
+        assert r[2] <= r[4] < r[3]
+        assert all(abs(done[s] - want[t][s]) < 1 for s in range(n))
+    # releases and deadlines are where the fluid schedule passes a block's ends
+    for s, k, release, deadline, _ in out:
+        assert want[release][s] <= k < want[release + 1][s] and want[deadline - 1][s] < k + 1 <= want[deadline][s]
+    # stretches that are found side by side make the same schedule
+    for stretch in (1, 7, 50):
+        assert [r for k in range(0, sum(blocks), stretch) for r in pfair_mix.schedule(weights, blocks, k, k + stretch)] == out
+
+
+def test_schedule_of_large_numbers():
+    weights, blocks = [10**6] * 40 + [1] * 3, [10**15] * 40 + [3] * 3
+    out = list(pfair_mix.schedule(weights, blocks, 10**12, 10**12 + 100))
+    assert [r[4] for r in out] == list(range(10**12, 10**12 + 100)) and all(r[2] <= r[4] < r[3] for r in out)
+
+
+@pytest.mark.parametrize("weights,stretch", [(None, 10**5), (None, 5), ({"a": 5.0, "b": 1.0}, 3)])
+def test_mix(spark, weights, stretch):
     data = rows(n=80)
     unit = 1500
-    got = pfair_mix.mix(with_clashes(frame(spark, data), "slot", "bucket"), weights, unit).collect()
+    got = pfair_mix.mix(with_clashes(frame(spark, data), "slot", "bucket"), weights, unit, stretch=stretch).collect()
     assert sorted(str((r["doc_id"], r["source"])) for r in got) == sorted(str((d, s)) for d, _, _, s, _ in data)
     size = Counter()
     for _, t, _, s, _ in data:
         size[s] += len((t or "").encode()) + pfair_mix.ROW_BYTES
     names = sorted(size, key=lambda s: (s is not None, s or ""))
     share = [weights.get(s, 1.0) for s in names] if weights else [size[s] ** pfair_mix.TEMPERATURE for s in names]
-    plan = {(names[s], b): (r, d, t, p) for s, b, r, d, t, p in pfair_mix.schedule(share, [-(-size[s] // unit) for s in names])}
+    parts = [max(1, math.floor(pfair_mix.PARTS * x / max(share) + 0.5)) for x in share]
+    blocks = [-(-size[s] // unit) for s in names]
+    want = fluid(parts, blocks)
+    # documents of a source come in one order, and lie in the block that their first byte lies in
+    length = {(d, s, hash(t or "")): len((t or "").encode()) + pfair_mix.ROW_BYTES for d, t, _, s, _ in data}
+    first = {}
     for r in got:
-        assert plan[r["source"], r["block"]] == (r["release"], r["deadline"], r["slot"], r["phase"])
+        k = names.index(r["source"])
+        assert want[r["release"]][k] <= r["block"] < want[r["release"] + 1][k]
+        assert want[r["deadline"] - 1][k] < r["block"] + 1 <= want[r["deadline"]][k]
+        assert r["release"] <= r["slot"] < r["deadline"]
+        assert first.setdefault(r["slot"], (r["source"], r["block"])) == (r["source"], r["block"])
+    for s in names:
+        ordered = sorted((r for r in got if r["source"] == s), key=lambda r: (r["slot"], r["nth"]))
+        assert [r["block"] for r in ordered] == sorted(r["block"] for r in ordered)
+        sizes = Counter(d for d, t, _, x, _ in data if x == s)
+        if max(sizes.values()) == 1:
+            at = 0
+            for r in ordered:
+                assert r["block"] == at // unit
+                at += next(v for (d, x, _), v in length.items() if d == r["doc_id"] and x == s)
     for slot in {r["slot"] for r in got}:
         assert sorted(r["nth"] for r in got if r["slot"] == slot) == list(range(1, 1 + sum(r["slot"] == slot for r in got)))
+    assert len(first) == len(set(first.values()))
+
+
+def test_stretches_change_nothing_and_hold_little(spark):
+    """The schedule of many sources that end is one, whatever the stretch; no group holds all blocks."""
+    rng = random.Random(8)
+    sources = [(f"s{k}" if k else None, rng.choice([1, 50, 1000]), rng.choice([1, 4, 30])) for k in range(60)]
+    df = spark.createDataFrame(sources, "source string, w long, n long")
+    whole, cut = (sorted(map(tuple, pfair_mix.plan_slots(df, x).collect()), key=str) for x in (10**6, 40))
+    assert whole == cut and len(whole) == sum(n for *_, n in sources)
 
 
 def test_mixed_rows_stand_in_order(spark):

@@ -5,36 +5,33 @@
 2. The cells' places on a Hilbert curve order the rows: neighbours on the curve
    are neighbours in every dimension, so a file of a run of it has narrow bounds
    in all of them and readers can skip it. Ties are ordered by id and text.
-3. Keys alone are sorted by range, and each task cuts its stretch into runs of
-   about ``run_bytes``. Of a run, its first key and its rows are kept, which
-   gives the exact rank of the first row of each run.
-4. Rows go to their runs; rank and shard follow from the place in the run. Shard
-   sizes differ by one row at most (law ``rows``). Files are written shard by shard.
-
-At most ``MAX_RUNS`` runs (and a few for each task) are cut, whatever the size of
-the table, so the broadcast run table is bounded. Defined cases: null dimension
-values lie in the first cell, null ids come first, a null text has no bytes. Rows
-that agree in place, id and text lie in one run. Of an empty table no file is
-written and the result is empty. Columns named like a result column give way.
+3. Rows are sorted by range, in as many ranges as their bytes ask for, and written
+   with their range and place in it. The ranges' counts then give the rank of each row.
+4. Shard and slot follow from the rank. Shard sizes differ by one row at most (law
+   ``rows``). Files are written shard by shard.
+
+A task's share is about ``part_bytes`` at any size of the table; of the ranges, two
+numbers each are counted and summed. Defined cases: null dimension values lie in the first
+cell, null ids come first, a null text has no bytes. Rows that agree in place, id and
+text come in the order in which they are read, so they may be any part of the table. Of an
+empty table no file is written and the result is empty. Columns named like a result
+column, in upper or lower case, give way; other names don't matter.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import textbytes as tb
-from .runtime import documents, schema_with, scratch
+from .runtime import PART_BYTES, discard, documents, in_order, others, quoted, row_of, scratch, sent_whole, written
 
 SHARDS, LAW = 40, "rows"
 DIMENSIONS = (("source", "string"), ("lang", "string"), ("n_chars", "number"))
 #: Bits of each dimension.
 BITS = 5
-RUN_BYTES, MAX_RUNS = 8 << 20, 20_000
 ROW_BYTES = 16
 
 
@@ -88,99 +85,43 @@ def _scale(docs: DataFrame, dimensions, bits: int, size: Column) -> tuple[list[C
     return numbers, [np.unique(np.array(c or [], dtype=np.float64)) for c in cuts], ends[0], ends[1]
 
 
-def _place(columns: list[pa.Array], cuts: list[np.ndarray], bits: int) -> np.ndarray:
-    cells = []
-    for c, cut in zip(columns, cuts):
-        value = c.to_numpy(zero_copy_only=False).astype(np.float64)
-        cells.append(np.where(np.isnan(value), 0, np.searchsorted(cut, value, side="right")))
+def _place(columns: list[np.ndarray], cuts: list[np.ndarray], bits: int) -> np.ndarray:
+    cells = [np.where(np.isnan(x), 0, np.searchsorted(cut, x, side="right")) for x, cut in zip(columns, cuts)]
     return hilbert_index(cells, bits)
 
 
-def _sort_key(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    return ids.is_valid().to_numpy(zero_copy_only=False).astype(np.int64), ids.fill_null(0).to_numpy()
-
-
-def write_shards(
-    docs: DataFrame, folder: str, shards: int = SHARDS, dimensions=DIMENSIONS, bits: int = BITS, id_col: str = "doc_id", text: str = "text", run_bytes: int = RUN_BYTES, max_runs: int = MAX_RUNS
-) -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, dimensions=DIMENSIONS, bits: int = BITS, id_col: str = "doc_id", text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:
     """Writes ``docs`` with hilbert, slot and shard to a folder of a subfolder for each shard, and reads them."""
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES
     numbers, cuts, n_rows, n_bytes = _scale(docs, dimensions, bits, size)
-    keep = [x for x in docs.columns if x not in ("hilbert", "slot", "shard")]
-    schema = T.StructType([docs.schema[x] for x in keep] + [T.StructField("hilbert", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())])
+    new = [T.StructField("hilbert", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())]
+    keep = others(docs.columns, *[x.name for x in new])
+    schema = T.StructType([x for x in docs.schema.fields if x.name in keep] + new)
     if not n_rows:
         return spark.createDataFrame([], schema)
-    target = max(run_bytes, n_bytes // max_runs)
-    width = len(numbers)
 
-    def place(batches):
-        for batch in batches:
-            h = _place(batch.columns[3:], cuts, bits)
-            yield pa.RecordBatch.from_arrays([pa.array(h), batch.column(0), batch.column(1), batch.column(2)], names=["h", "id", "tie", "size"])
+    @F.pandas_udf("long")
+    def place(*columns: pd.Series) -> pd.Series:
+        return pd.Series(_place([c.to_numpy(dtype=np.float64) for c in columns], cuts, bits))
 
     tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    keys = docs.select(F.col(id_col).cast("long").alias("id"), tie.alias("tie"), size.cast("long").alias("size"), *[x.alias(f"x{i}") for i, x in enumerate(numbers)])
-    keys = keys.mapInArrow(place, "h long, id long, tie long, size long")
-
-    def cut(batches):
-        """The first key, rows and bytes of each run of this stretch."""
-        part, begun, last = TaskContext.get().partitionId(), None, None
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if begun is None or (begun[6] >= target and row[:3] != last):
-                    if begun is not None:
-                        yield begun
-                    begun = [part, 0 if begun is None else begun[1] + 1, *row[:3], 0, 0]
-                begun[5] += 1
-                begun[6] += row[3]
-                last = row[:3]
-        if begun is not None:
-            yield begun
-
-    def cut_batches(batches):
-        found = list(cut(batches))
-        names = ["part", "nth", "h", "id", "tie", "n_rows", "n_bytes"]
-        if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names=names)
-
-    runs = keys.repartitionByRange("h", "id", "tie").sortWithinPartitions("h", "id", "tie")
-    runs = runs.mapInArrow(cut_batches, "part long, nth long, h long, id long, tie long, n_rows long, n_bytes long")
-    runs = sorted(runs.collect(), key=lambda r: (r["part"], r["nth"]))
-    first = {
-        "h": np.array([r["h"] for r in runs]),
-        "some": np.array([r["id"] is not None for r in runs], dtype=np.int64),
-        "id": np.array([r["id"] or 0 for r in runs]),
-        "tie": np.array([r["tie"] for r in runs]),
-        "rank": np.concatenate([[0], np.cumsum([r["n_rows"] for r in runs])[:-1]]).astype(np.int64),
-    }
-    table = spark.sparkContext.broadcast(first)
-    added = [T.StructField("hilbert", T.LongType()), T.StructField("__run", T.LongType()), T.StructField("__first", T.LongType())]
-    rows = docs.select(*keep, F.col(id_col).cast("long").alias("__id"), tie.alias("__tie"), *[x.alias(f"__x{i}") for i, x in enumerate(numbers)])
-
-    def to_run(batches):
-        run = table.value
-        m = len(run["h"])
-        for batch in batches:
-            names = batch.schema.names
-            h = _place(batch.columns[-width:], cuts, bits)
-            some, ids = _sort_key(batch.column(names.index("__id")))
-            tie = batch.column(names.index("__tie")).to_numpy()
-            # runs' first keys and rows in one order: each row lies in the last run that begins at or before it
-            both = [np.concatenate([run[k], x]) for k, x in (("h", h), ("some", some), ("id", ids), ("tie", tie))]
-            order = np.lexsort((np.arange(len(both[0])) >= m, both[3], both[2], both[1], both[0]))
-            of = np.empty(len(order), dtype=np.int64)
-            of[order] = np.cumsum(order < m) - 1
-            of = of[m:]
-            yield tb.with_columns(batch, {"hilbert": pa.array(h), "__run": pa.array(of), "__first": pa.array(run["rank"][of])})
-
-    # as many partitions as runs: a task's share doesn't grow with the table
-    rows = rows.mapInArrow(to_run, schema_with(rows, added)).repartition(len(runs), "__run")
-    nth = F.row_number().over(Window.partitionBy("__run").orderBy("hilbert", "__id", "__tie"))
-    rows = rows.withColumn("__rank", F.col("__first") + nth - 1)
-    shard = F.expr(f"(((__rank + 1) * {shards} + {n_rows - 1}) div {n_rows}) - 1")
-    rows = rows.withColumn("shard", shard.cast("int")).withColumn("slot", F.expr(f"__rank - (shard * {n_rows}L) div {shards}"))
-    rows.select(*schema.fieldNames()).write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    rows = docs.select(row_of(docs, *[x.name for x in new]), place(*numbers).alias("hilbert"), F.col(id_col).cast("long").alias("id"), tie.alias("tie"), F.monotonically_increasing_id().alias("read"))
+    paths: list[str] = []
+    # the number that Spark gives a sorted row is its range, and in the lower 33 bits its place there
+    rows = written(in_order(rows, n_bytes, "hilbert", "id", "tie", "read", part_bytes=part_bytes).select("__row", "hilbert", F.monotonically_increasing_id().alias("at")), "ranked", paths)
+    part = F.shiftright("at", 33)
+    counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("part", F.coalesce(F.sum("n").over(past), F.lit(0)).alias("first"))
+    # 16 bytes for each range
+    rows = rows.join(sent_whole(first, counts.count(), 16), part == F.col("part"))
+    rows = rows.withColumn("rank", F.col("first") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    rows = rows.withColumn("shard", F.expr(f"(((rank + 1) * {shards} + {n_rows - 1}) div {n_rows}) - 1").cast("int"))
+    rows = rows.withColumn("slot", F.expr(f"rank - (shard * {n_rows}L) div {shards}"))
+    rows = rows.select(*[F.col(f"__row.{quoted(c)}") for c in keep], "hilbert", "slot", "shard")
+    rows.sortWithinPartitions("shard", "slot").write.partitionBy("shard").option("compression", "zstd").parquet(folder)
+    discard(spark, paths)
     return spark.read.schema(schema).parquet(folder)
 
 

@@ -5,7 +5,9 @@
    the band are the lexicon. A term of the band stands in at least documents /
    2 ** ``IDF_MOST`` documents, so there are at most 2 ** ``IDF_MOST`` times as many
    as a document has distinct terms on average: the lexicon doesn't grow with the
-   number of documents and may be broadcast.
+   number of documents. Its size is checked before it is broadcast; one of more than
+   ``MAX_TERMS`` terms, which documents of 100,000 distinct terms each may have, is an
+   error that asks for a narrower band.
 3. The lexicon is cut into ``SUBSETS`` random subsets of several densities. For each
    subset the distinct terms of a document that lie in it are sorted and hashed.
    A fingerprint is the row of these hashes; the likeness of two is the share of
@@ -16,7 +18,9 @@ small edits. Defined cases: a null text is an empty one. Terms are runs of lette
 and digits, A-Z in lower case. A document without terms of the lexicon (an empty
 one too) is fingerprinted by all its bytes instead, and is like another one only
 if that is equal. Null ids come first in the order of ids; rows of one id follow
-in the order of their texts. Of an empty table the result is empty.
+in the order of a hash of their texts. Rows that agree in id and text pass through one
+task, one after the other. Of an empty table the result is empty. Other columns are
+left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .runtime import documents
+from .runtime import discard, documents, in_order, written
 
 IDF_LEAST, IDF_MOST = 2.0, 9.0
 #: The share of the lexicon in each subset: one over these numbers.
@@ -38,9 +42,10 @@ DENSITIES = (1, 4, 16) + (32,) * 4 + (64,) * 8 + (128,) * 16 + (256,) * 16
 SUBSETS = len(DENSITIES)
 #: Hex digits of a subset's hash; dashes stand for a subset without terms.
 DIGITS = 8
-#: Bytes of text that a task orders by id, about.
-RANGE_BYTES = 8 << 20
-MAX_RANGES = 20_000
+#: Bytes of text that a task orders by id, about; each such range is two numbers that are broadcast.
+RANGE_BYTES = 64 << 20
+#: Terms of a lexicon, at most.
+MAX_TERMS = 1 << 26
 
 
 def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,7 +79,12 @@ def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
 def lexicon(docs: DataFrame, n_docs: int, text: str = "text", least: float = IDF_LEAST, most: float = IDF_MOST) -> np.ndarray:
     """The sorted hashes of the terms in the band; its size is bounded as said above."""
     idf = F.log2(F.lit(n_docs) / F.col("n_docs"))
-    rows = term_frequencies(docs, text).where((idf >= least) & (idf <= most)).select("term").toArrow()
+    paths: list[str] = []
+    terms = written(term_frequencies(docs, text).where((idf >= least) & (idf <= most)).select("term"), "lexicon", paths)
+    if (n := terms.count()) > MAX_TERMS:
+        raise ValueError(f"{n} terms lie in the band, more than {MAX_TERMS}; narrow it")
+    rows = terms.toArrow()
+    discard(docs.sparkSession, paths)
     return np.sort(rows["term"].to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, dtype=np.uint64)
 
 
@@ -141,24 +151,44 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(docs: DataFrame, n_bytes: int) -> tuple[np.ndarray, dict[int, list[int]]]:
-    """The ids at which ranges begin, and for the first id of each range the range before it, which needs that document as what follows its last one."""
-    n = int(min(MAX_RANGES, max(1, n_bytes // RANGE_BYTES)))
-    cuts = docs.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    cuts = np.array(sorted(set(cuts or [])) if n > 1 else [], dtype=np.int64)
+def _sortable(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """One value for each pair of longs, which compares as the pair does."""
+    flip = np.uint64(1 << 63)
+    pairs = np.stack([key.astype(np.int64).view(np.uint64) ^ flip, tie.astype(np.int64).view(np.uint64) ^ flip], axis=1)
+    return pairs.astype(">u8").view("S16").ravel()
 
-    @F.pandas_udf("int")
-    def range_of(key: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, key.to_numpy(), side="right").astype(np.int32))
 
-    first = sorted(docs.groupBy(range_of("key").alias("r")).agg(F.min("key").alias("key")).collect())
-    also: dict[int, list[int]] = {}
-    for k, x in enumerate(first):
-        also.setdefault(x["key"], []).append(first[k - 1]["r"])  # after the last range the first one comes
-    return cuts, also
+def range_starts(docs: DataFrame, n_bytes: int, range_bytes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first key and tie of each range of about so many bytes, in order."""
 
-
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = IDF_LEAST, most: float = IDF_MOST) -> DataFrame:
+    def run(batches):
+        total, current, last = 0, -1, None
+        for batch in batches:
+            key, tie, size = (batch.column(k).to_numpy() for k in range(3))
+            if not len(key):
+                continue
+            before = total + np.cumsum(size) - size
+            total = int(before[-1] + size[-1])
+            fresh = np.ones(len(key), dtype=bool)
+            fresh[1:] = (key[1:] != key[:-1]) | (tie[1:] != tie[:-1])
+            fresh[0] = (key[0], tie[0]) != last
+            last = (key[-1], tie[-1])
+            heads = np.flatnonzero(fresh)
+            nth = before[heads] // range_bytes
+            begins = np.diff(nth, prepend=current) > 0
+            if len(heads):
+                current = int(nth[-1])
+            at = heads[begins]
+            yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(tie[at])], names=["key", "tie"])
+
+    sizes = docs.select("key", "tie", (F.octet_length("text") + 16).cast("long").alias("size"))
+    rows = in_order(sizes, n_bytes, "key", "tie").mapInArrow(run, "key long, tie long").toArrow()
+    key, tie = (rows[x].to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64) for x in ("key", "tie"))
+    order = np.lexsort((tie, key))
+    return key[order], tie[order]
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", least: float = IDF_LEAST, most: float = IDF_MOST, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited and near_next of each document.
 
     Texts are dealt out by ranges of ids, once; the first document of each range
@@ -166,23 +196,27 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     each only the one before it is kept.
     """
     least_key = -(1 << 63)
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", F.lit(least_key)))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(least_key))).withColumn("tie", F.xxhash64("text"))
     n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, n_docs, "text", least, most))
-    cuts, also = _ranges(docs, n_bytes)
-    table = docs.sparkSession.sparkContext.broadcast((cuts, also))
+    starts = _sortable(*range_starts(docs, n_bytes, range_bytes))
+    table = docs.sparkSession.sparkContext.broadcast(starts)
 
     @F.pandas_udf("array<int>")
-    def ranges_of(key: pd.Series) -> pd.Series:
-        cuts, also = table.value
-        own = np.searchsorted(cuts, key.to_numpy(), side="right").tolist()
-        return pd.Series([[r, *also.get(k, [])] for r, k in zip(own, key.tolist())])
+    def ranges_of(key: pd.Series, tie: pd.Series) -> pd.Series:
+        """The range of a document, and the range before if it is the first of its own; after the last range the first one comes."""
+        starts = table.value
+        own = _sortable(key.to_numpy(), tie.to_numpy())
+        r = np.searchsorted(starts, own, side="right") - 1
+        first = starts[r] == own
+        return pd.Series([[a, (a or len(starts)) - 1] if f else [a] for a, f in zip(r.tolist(), first.tolist())])
 
     # the first place is a document's own, others need it as the one that follows
-    dealt = docs.select("doc_id", "key", "text", F.posexplode(ranges_of("key")).alias("guest", "r"))
-    dealt = dealt.select("r", F.least("guest", F.lit(1)).alias("guest"), "doc_id", "key", "text")
+    dealt = docs.select("doc_id", "key", "tie", "text", F.posexplode(ranges_of("key", "tie")).alias("guest", "r"))
+    dealt = dealt.select("r", "guest", "doc_id", "key", "text", "tie")
     # as many partitions as ranges: a task's share doesn't grow with the corpus
-    dealt = dealt.repartition(len(cuts) + 1, "r").sortWithinPartitions("r", "guest", "key", "text")
+    dealt = dealt.repartition(max(1, len(starts)), "r").sortWithinPartitions("r", "guest", "key", "tie").select("r", "guest", "doc_id", "key", "text")
 
     def run(batches):
         prints = Fingerprinter(terms.value)

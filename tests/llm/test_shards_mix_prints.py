@@ -25,11 +25,14 @@ def test_curve_visits_neighbours(dims, bits):
     assert (np.abs(np.diff(cells[:, np.argsort(index)], axis=1)).sum(axis=0) == 1).all()
 
 
-@pytest.mark.parametrize("shards,run_bytes", [(40, 8 << 20), (7, 3000), (1, 1000), (200, 1)])
-def test_shards(spark, shards, run_bytes):
+@pytest.mark.parametrize("shards,part_bytes", [(40, 128 << 20), (7, 3000), (1, 1000), (200, 500)])
+def test_shards(spark, shards, part_bytes):
     data = rows(n=90)
     folder = scratch(spark, "test-shards")
-    out = hs.write_shards(with_clashes(frame(spark, data), "shard", "slot"), folder, shards=shards, run_bytes=run_bytes).collect()
+    odd = with_clashes(frame(spark, data), "Shard", "slot", "__id", "__row", "at", "part", "rank", "a.b")
+    read = hs.write_shards(odd, folder, shards=shards, part_bytes=part_bytes)
+    assert [c for c in read.columns if c.lower() in ("shard", "slot")] == ["slot", "shard"] and "a.b" in read.columns
+    out = read.collect()
     key = lambda r: str((r["doc_id"], r["text"], r["source"]))
     assert sorted(map(key, out)) == sorted(str((d, t, s)) for d, t, _, s, _ in data)
     count = Counter(r["shard"] for r in out)
@@ -170,11 +173,10 @@ def _brute_prints(data, least, most):
     return {x for x, n in df.items() if least <= math.log2(len(data) / n) <= most}, sets
 
 
-@pytest.mark.parametrize("range_bytes", [8 << 20, 2000])
-def test_fingerprints(spark, monkeypatch, range_bytes):
-    monkeypatch.setattr(imatch, "RANGE_BYTES", range_bytes)
+@pytest.mark.parametrize("range_bytes", [64 << 20, 2000])
+def test_fingerprints(spark, range_bytes):
     data = sorted((r for r in rows(n=60)[:-3]), key=lambda r: r[0])
-    got = {r["doc_id"]: r for r in imatch.fingerprints(with_clashes(frame(spark, data), "fingerprint", "r"), least=1.0, most=5.0).collect()}
+    got = {r["doc_id"]: r for r in imatch.fingerprints(with_clashes(frame(spark, data), "Fingerprint", "r", "key", "__id"), least=1.0, most=5.0, range_bytes=range_bytes).collect()}
     assert sorted(got) == [r[0] for r in data]
     band, sets = _brute_prints(data, 1.0, 5.0)
     of_text = {}

@@ -13,8 +13,9 @@ padded to 8); values of each document (uint64); block offsets in words (uint64,
 one more than blocks); distinct values by rank (uint64); words (uint64).
 
 Defined cases: a null text is an empty one and has the end id alone. Rows of one
-document id stand in the order of their texts. Null ids come first. Of an empty
-table no file is written and the result is empty.
+document id stand in the order of a hash of their texts. Null ids come first. Of an
+empty table no file is written and the result is empty. Other columns are left out,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +26,12 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .prefix_tree import _spread
-from .runtime import documents, scratch, written
+from .runtime import documents, in_order, scratch, summed_before, written
 from .units import UnitMemory, bare_units, encoder, lowered_safely, special_strings, texts_with
 from .whole_tokens import load_tokenizer
 
@@ -40,7 +41,11 @@ BLOCK = 1024
 #: Blocks that are packed at a time.
 PACKED_BLOCKS = 256
 #: A file is closed when it has so many ids.
-FILE_IDS = 3_000_000
+FILE_IDS = 1_000_000
+#: Bytes of texts that a task writes, about.
+TASK_BYTES = 64 << 20
+#: Bytes of texts that are encoded at a time.
+ENCODED_BYTES = 1 << 20
 ESCAPE = 15
 #: values in a word, and bits of each, by selector
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
@@ -216,7 +221,7 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
+def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER, end_id: int = END_ID, file_ids: int = FILE_IDS, task_bytes: int = TASK_BYTES) -> DataFrame:
     """Writes the files into a shared folder, and returns file, n_docs and n_ids of each.
 
     Tasks take ranges of document ids, so the order of file names is the order
@@ -245,7 +250,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
             return pa.RecordBatch.from_pydict({"file": [name], "n_docs": [len(ids)], "n_ids": [len(values)]})
 
         for batch in batches:
-            for lo, hi, data, off in tb.slices(batch.column(1), min(tb.SLICE_BYTES, 3 * file_ids)):
+            for lo, hi, data, off in tb.slices(batch.column(1), min(ENCODED_BYTES, 3 * file_ids)):
                 lens, ids = _encoder(tokenizer).encode(data, off, end_id)
                 held.append((batch.column(0).slice(lo, hi - lo).to_pylist(), lens, ids))
                 if sum(len(x[2]) for x in held) >= file_ids:
@@ -254,8 +259,9 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
             yield close()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(rows.mapInArrow(run, "file string, n_docs long, n_ids long"), "packed-list")
+    n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = in_order(rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))), n_bytes, "doc_id", "tie", part_bytes=task_bytes)
+    return written(rows.select("doc_id", "text").mapInArrow(run, "file string, n_docs long, n_ids long"), "packed-list")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -292,8 +298,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = write_files(documents(spark, sf_dir, "doc_id", "text"), folder)
     if not made.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    # a row for each file of millions of ids
-    before = F.coalesce(F.sum("n_ids").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    made = written(made.select("file", before.alias("before")), "packed-starts")
+    made = written(summed_before(made.select("file", "n_ids"), ["file"], {"before": "n_ids"}, "packed-files").select("file", "before"), "packed-starts")
     read = read_files(spark, folder).select("file", "doc_id", "ids", "offset").mapInArrow(_digest, "file string, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return read.join(made, "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

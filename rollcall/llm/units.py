@@ -15,7 +15,8 @@ import numpy as np
 from . import textbytes as tb
 from .prefix_tree import _spread
 
-_APOSTROPHE = 39
+#: Units that a tokenizer is given at a time.
+UNITS = 4096
 _PUNCTUATION = (np.arange(256) > 32) & (np.arange(256) < 127) & ~tb.LETTER & ~tb.byte_set(b"0123456789'")
 
 
@@ -145,12 +146,15 @@ class UnitMemory:
 
 
 def encoder(tokenizer) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """``encode`` of a UnitMemory by a tokenizers.Tokenizer, without added tokens."""
+    """``encode`` of a UnitMemory by a tokenizers.Tokenizer, without added tokens; the library's large results are held for few units at a time."""
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        out = [x.ids for x in tokenizer.encode_batch_fast([u.decode() for u in units], add_special_tokens=False)]
-        lens = np.array([len(x) for x in out], dtype=np.int64)
-        return lens, np.array([i for x in out for i in x], dtype=np.int32)
+        lens, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
+        for lo in range(0, len(units), UNITS):
+            out = [x.ids for x in tokenizer.encode_batch_fast([u.decode() for u in units[lo : lo + UNITS]], add_special_tokens=False)]
+            lens.append(np.array([len(x) for x in out], dtype=np.int64))
+            ids.append(np.array([i for x in out for i in x], dtype=np.int32))
+        return np.concatenate(lens), np.concatenate(ids)
 
     return encode
 

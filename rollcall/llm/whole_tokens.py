@@ -1,7 +1,8 @@
 """Token counts with the whole-token shortcut.
 
-Offline, every vocabulary entry is given to the tokenizer alone; those that come
-back as one token, itself, are proven. A text is cut into units that encode
+Offline, once, every vocabulary entry is given to the tokenizer alone; those that come
+back as one token, itself, are proven. They go to the workers as two numbers each, and
+there are no more of them than the vocabulary has entries. A text is cut into units that encode
 alike alone and in place (``units.spaced_units``). Units equal to a proven string
 count one without being encoded; only the rest is merged by the tokenizer, each
 different one once while a bounded memory holds it.
@@ -61,14 +62,18 @@ def _hashes(strings: list[str]) -> np.ndarray:
     return tb.run_hashes(np.frombuffer(b"".join(raw), dtype=np.uint8), ends - lens, ends)
 
 
+def proof(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the proven strings, and their ids."""
+    proven = proven_strings(load_tokenizer(path))
+    return _hashes(list(proven)), np.array(list(proven.values()), dtype=np.int32)
+
+
 class Counter:
     """Counts tokens; one for each worker process, whose memory of units serves all its tasks."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, proven: tuple[np.ndarray, np.ndarray] | None = None):
         self.tokenizer = load_tokenizer(path)
-        proven = proven_strings(self.tokenizer)
-        self.proven = np.sort(_hashes(list(proven)))
-        self.memory = UnitMemory(encoder(self.tokenizer), given=(_hashes(list(proven)), np.array(list(proven.values()), dtype=np.int32)))
+        self.memory = UnitMemory(encoder(self.tokenizer), given=proven or proof(path))
         self.special = special_strings(self.tokenizer)
 
     def count(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -84,19 +89,20 @@ class Counter:
 _counters: dict[str, Counter] = {}
 
 
-def _counter(path: str) -> Counter:
+def _counter(path: str, proven: tuple[np.ndarray, np.ndarray] | None = None) -> Counter:
     if path not in _counters:
-        _counters[path] = Counter(path)
+        _counters[path] = Counter(path, proven)
     return _counters[path]
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """doc_id, n_bytes and n_tokens of each row."""
+    proven = docs.sparkSession.sparkContext.broadcast(proof(tokenizer))
 
     def run(batches):
         for batch in batches:
             for lo, hi, data, off in tb.slices(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(_counter(tokenizer).count(data, off))], names=["doc_id", "n_bytes", "n_tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(_counter(tokenizer, proven.value).count(data, off))], names=["doc_id", "n_bytes", "n_tokens"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
 

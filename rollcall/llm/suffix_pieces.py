@@ -7,14 +7,18 @@ the place where they end and relaxed in that order: the edge that ends a prefix
 the one whose piece may follow the last piece of the prefix before it, that is,
 no merge across their border would come before the merges that made the two.
 Exactly one edge can end each prefix, so the last pieces of all prefixes, read
-backwards, are the pieces that the model's own merging gives.
+backwards, are the pieces that the model's own merging gives. Where no edge lies across
+a place, no merge can either, and what follows is relaxed side by side with what
+comes before, so a long text without spaces takes few steps.
 
 Decoding joins the pieces, bytes and spaces again.
 
 Defined cases: a null text is an empty one and has no ids. A character in no piece
 becomes the ids of its bytes. The model writes a space and U+2581 alike, so the
 latter is decoded as a space. Ids of control pieces are decoded as nothing, null
-ids as an empty text, and bytes that aren't UTF-8 as U+FFFD.
+ids as an empty text, and bytes that aren't UTF-8 as U+FFFD. Other columns are kept;
+those named like a result column, in upper or lower case, give way. Of an empty table
+the result is empty.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .prefix_tree import _spread
-from .runtime import documents, schema_with
+from .runtime import documents, row_columns, row_of
 from .units import UnitMemory, piece_units
 
 MODEL = "piece_bpe_32k.model"
@@ -214,20 +218,25 @@ class PieceModel:
         strange = places[codes == 0]
         start, stop = np.concatenate([start, strange]), np.concatenate([stop, strange + 1])
         piece = np.concatenate([piece, np.full(len(strange), -1, dtype=np.int64)])
-        # edges by where they end in their unit; all units are relaxed side by side
-        unit = np.repeat(np.arange(len(texts)), size + 1)
-        depth = stop - begin[unit[start]]
+        # places that no edge lies across
+        over = np.zeros(len(line) + 1, dtype=np.int64)
+        np.add.at(over, start + 1, 1)
+        np.add.at(over, stop, -1)
+        free = np.cumsum(over)[: len(line)] == 0
+        free[begin] = True
+        head = np.maximum.accumulate(np.where(free, np.arange(len(line)), 0))
+        # edges by where they end in their stretch; all stretches are relaxed side by side
+        depth = stop - head[start]
         order = np.argsort(depth.astype(np.uint16) if len(depth) and depth.max() < 1 << 16 else depth, kind="stable")
         start, stop, piece, depth = start[order], stop[order], piece[order], depth[order]
-        bounds = np.searchsorted(depth, np.arange(1, int(size.max(initial=0)) + 2))
+        bounds = np.searchsorted(depth, np.arange(1, int(depth.max(initial=0)) + 2))
         last = np.full(len(line), -9, dtype=np.int64)
         back = np.zeros(len(line), dtype=np.int64)
-        last[begin] = -1
         for d in range(len(bounds) - 1):
             part = slice(bounds[d], bounds[d + 1])
             p, q, t = start[part], stop[part], piece[part]
             before = last[p]
-            ok = (before == -1) | (t == -1)
+            ok = free[p] | (t == -1)
             both = np.flatnonzero(~ok & (before >= 0))
             ok[both] = self.may_follow(before[both], t[both])
             last[q[ok]], back[q[ok]] = t[ok], p[ok]
@@ -301,17 +310,17 @@ def piece_model(path: str = MODEL) -> PieceModel:
 
 def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL) -> DataFrame:
     """All columns of ``docs`` but the text, and ids."""
-    rest = [x for x in docs.columns if x not in (text, "ids")]
-    schema = T.StructType([docs.schema[x] for x in rest] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    rows = docs.select(row_of(docs, text, "ids"), F.col(text).alias("__text"))
+    schema = T.StructType([rows.schema["__row"], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def run(batches):
         for batch in batches:
-            for lo, hi, data, off in tb.slices(batch.column(len(rest))):
+            for lo, hi, data, off in tb.slices(batch.column(1)):
                 lens, ids = piece_model(model).encode(data, off)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([batch.column(k).slice(lo, hi - lo) for k in range(len(rest))] + [lists], names=rest + ["ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["__row", "ids"])
 
-    return docs.select(*rest, text).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*row_columns(docs, text, "ids"), "ids")
 
 
 def _texts(model: str, lens: np.ndarray, ids: np.ndarray) -> list[str]:
@@ -322,17 +331,18 @@ def _texts(model: str, lens: np.ndarray, ids: np.ndarray) -> list[str]:
 
 def decode_documents(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
     """All columns of ``encoded``, and decoded."""
-    schema = schema_with(encoded, [T.StructField("decoded", T.StringType())])
+    rows = encoded.select(row_of(encoded, "decoded"), F.col(ids).alias("__ids"))
+    schema = T.StructType([rows.schema["__row"], T.StructField("decoded", T.StringType())])
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, DECODE_ROWS):
                 part = batch.slice(lo, DECODE_ROWS)
-                got = part.column(part.schema.names.index(ids)).fill_null([])
+                got = part.column(1).fill_null([])
                 texts = _texts(model, np.diff(got.offsets.to_numpy()), got.flatten().to_numpy(zero_copy_only=False))
-                yield tb.with_columns(part, {"decoded": pa.array(texts, pa.string())})
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["__row", "decoded"])
 
-    return encoded.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*row_columns(encoded, "decoded"), "decoded")
 
 
 def decoded_digest(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -340,23 +350,24 @@ def decoded_digest(encoded: DataFrame, ids: str = "ids", model: str = MODEL) ->
 
     One worker reads the ids once for both.
     """
-    rest = [x for x in encoded.columns if x not in (ids, "n_ids", "ids_crc32", "decoded")]
-    schema = T.StructType([encoded.schema[x] for x in rest] + [T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded", T.StringType())])
+    new = ["n_ids", "ids_crc32", "decoded"]
+    rows = encoded.select(row_of(encoded, ids, *new), F.col(ids).alias("__ids"))
+    schema = T.StructType([rows.schema["__row"], T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("decoded", T.StringType())])
 
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, DECODE_ROWS):
                 part = batch.slice(lo, DECODE_ROWS)
-                got = part.column(len(rest)).fill_null([])
+                got = part.column(1).fill_null([])
                 lens = np.diff(got.offsets.to_numpy())
                 flat = got.flatten().to_numpy(zero_copy_only=False)
                 stop = np.cumsum(lens)
                 raw = flat.astype("<i4")
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip((stop - lens).tolist(), stop.tolist())]
                 columns = [pa.array(lens.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(_texts(model, lens, flat), pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in range(len(rest))] + columns, names=schema.fieldNames())
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.fieldNames())
 
-    return encoded.select(*rest, ids).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*row_columns(encoded, ids, *new), *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,19 @@
 
 Each document gets five counts and a base verdict. Failures are then summed by
 host, each host's failure rate is shrunk towards the mean of all hosts by a
-beta prior fitted to the hosts' rates (method of moments), and the verdict on
-the host is joined back to its documents. A document is kept if it passes the
-base rules and the shrunk rate of its host is at most ``max_rate``.
+beta prior, and the verdict on the host is joined back to its documents. A document is
+kept if it passes the base rules and the shrunk rate of its host is at most ``max_rate``.
+
+The prior is fitted to the hosts' rates by the method of moments. The variance of observed
+rates is that of the hosts' own rates and the noise of counting few documents,
+which is m (1 - m) / n for a host of n documents; the prior takes the variance
+without that noise, so many small hosts don't make it weak.
 
 Defined cases: a null or empty text has no words and fails. A null host is a
 host of its own. Repeated rows count as often as they stand there. Of an empty
-table the result is empty. Input columns named like a result column give way.
-If all hosts have one rate, the prior has weight ``MAX_WEIGHT``.
+table the result is empty. Input columns named like a result column, in upper or lower
+case, give way; other names don't matter. If the hosts' rates differ by no more than
+counting explains, the prior has weight ``MAX_WEIGHT``.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .runtime import documents, schema_with, written
+from .runtime import documents, row_columns, row_of, schema_with, written
 
 SYMBOLS = tb.byte_set(b"#*$%&|<>")
 WINDOW = 5
@@ -78,23 +83,26 @@ def text_counts(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
 
 def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """All columns of ``docs``, the five counts, and base_failed."""
-    schema = schema_with(docs, [T.StructField(x, T.LongType()) for x in COUNTS] + [T.StructField("base_failed", T.BooleanType())])
+    new = [*COUNTS, "base_failed"]
+    rows = docs.select(row_of(docs, *new), F.col(text).alias("__text"))
+    schema = schema_with(rows, [T.StructField(x, T.LongType()) for x in COUNTS] + [T.StructField("base_failed", T.BooleanType())])
 
     def run(batches):
         for batch in batches:
-            parts = [text_counts(data, off) for _, _, data, off in tb.slices(batch.column(batch.schema.names.index(text)))]
-            new = {x: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for x in COUNTS}
-            failed = (new["n_words"] < MIN_WORDS) | (100 * new["n_repeat_words"] > MAX_REPEAT_PERCENT * new["n_words"])
-            yield tb.with_columns(batch, {k: pa.array(v) for k, v in new.items()} | {"base_failed": pa.array(failed)})
+            parts = [text_counts(data, off) for _, _, data, off in tb.slices(batch.column(1))]
+            found = {x: np.concatenate([p[x] for p in parts]) if parts else np.zeros(0, dtype=np.int64) for x in COUNTS}
+            failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
+            yield tb.with_columns(batch, {k: pa.array(v) for k, v in found.items()} | {"base_failed": pa.array(failed)})
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select(*row_columns(docs, *new), *new)
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """host, n_docs, n_failed, shrunk_rate and host_failed, a row for each host."""
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
-    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("v"))
+    prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("seen"), F.avg(1 / F.col("n_docs")).alias("few"))
+    prior = prior.select("m", (F.col("seen") - F.col("m") * (1 - F.col("m")) * F.col("few")).alias("v"))
     weight = F.when(F.col("v") > 0, F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(MAX_WEIGHT))
     # two numbers, as a scalar subquery
     prior = prior.select(F.struct("m", weight.alias("w")).alias("p")).scalar()
@@ -104,14 +112,14 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
-    """``docs`` without its text, with the counts, base_failed, host_failed and kept."""
-    judged = written(with_counts(docs, text).drop(text), "counts")
-    verdicts = written(host_verdicts(judged, host, max_rate), "hosts").select("host", "shrunk_rate", "host_failed")
-    joined = judged.drop("host", "shrunk_rate", "host_failed") if host != "host" else judged.drop("shrunk_rate", "host_failed").withColumnRenamed("host", "__host")
-    key = "__host" if host == "host" else host
-    out = joined.join(verdicts, joined[key].eqNullSafe(verdicts["host"]), "left")
-    out = out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False)))
-    return out.drop("__host") if host == "host" else out
+    """``docs`` without its text, with the counts, base_failed, shrunk_rate, host_failed and kept."""
+    new = [*COUNTS, "base_failed", "shrunk_rate", "host_failed", "kept"]
+    rows = docs.select(F.struct(row_of(docs, text, *new), F.col(host).alias("host")).alias("__given"), F.col(text).alias("__text"))
+    judged = written(with_counts(rows, "__text").drop("__text").select("__given.*", *COUNTS, "base_failed"), "counts")
+    verdicts = written(host_verdicts(judged, "host", max_rate), "hosts").select(F.col("host").alias("of"), "shrunk_rate", "host_failed")
+    out = judged.join(verdicts, judged["host"].eqNullSafe(verdicts["of"]), "left")
+    kept = ~F.col("base_failed") & ~F.coalesce(F.col("host_failed"), F.lit(False))
+    return out.select(*row_columns(docs, text, *new), *COUNTS, "base_failed", "shrunk_rate", "host_failed", kept.alias("kept"))
 
 
 def filter_documents(docs: DataFrame, host: str = "source", text: str = "text", max_rate: float = MAX_RATE) -> DataFrame:
@@ -120,9 +128,11 @@ def filter_documents(docs: DataFrame, host: str = "source", text: str = "text",
     Texts are read and measured once: what passes the base rules is written with
     its host's key while the failures are summed.
     """
-    judged = written(with_counts(docs.select(*docs.columns, F.struct(*docs.columns).alias("__row")).select("__row", F.col(host).alias("__host"), F.col(text).alias("__text")), "__text").select("__row", "__host", "base_failed").withColumn("__row", F.when(~F.col("base_failed"), F.col("__row"))), "passed")
-    bad = written(host_verdicts(judged.select("__host", "base_failed"), "__host", max_rate).where("host_failed").select(F.col("host").alias("__bad")), "bad-hosts")
-    kept = judged.where(~F.col("base_failed")).join(bad, judged["__host"].eqNullSafe(bad["__bad"]), "left_anti")
+    rows = docs.select(F.struct(row_of(docs), F.col(host).alias("host")).alias("__given"), F.col(text).alias("__text"))
+    judged = with_counts(rows, "__text").select(F.when(~F.col("base_failed"), F.col("__given.__row")).alias("__row"), "__given.host", "base_failed")
+    judged = written(judged, "passed")
+    bad = written(host_verdicts(judged.select("host", "base_failed"), "host", max_rate).where("host_failed").select(F.col("host").alias("bad")), "bad-hosts")
+    kept = judged.where(~F.col("base_failed")).join(bad, judged["host"].eqNullSafe(bad["bad"]), "left_anti")
     return kept.select("__row.*")
 
 
@@ -163,7 +173,7 @@ WITH d AS (
   SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source
 ), p AS (
   SELECT m, CASE WHEN v > 0 THEN greatest({MIN_WEIGHT}, least({MAX_WEIGHT}, m * (1 - m) / v - 1)) ELSE {MAX_WEIGHT} END AS k
-  FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS v FROM h)
+  FROM (SELECT m, seen - m * (1 - m) * few AS v FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS seen, avg(1 / n) AS few FROM h))
 ), j AS (
   SELECT source AS host, (f + m * k) / (n + k) > {MAX_RATE} AS host_failed FROM h, p
 )

@@ -32,7 +32,7 @@ def verdicts(data, max_rate):
         hosts[host] = (n + 1, f + brute(text)[1])
     rates = [f / n for n, f in hosts.values()]
     m = sum(rates) / len(rates)
-    v = sum((x - m) ** 2 for x in rates) / len(rates)
+    v = sum((x - m) ** 2 for x in rates) / len(rates) - m * (1 - m) * sum(1 / n for n, _ in hosts.values()) / len(rates)
     w = min(hr.MAX_WEIGHT, max(hr.MIN_WEIGHT, m * (1 - m) / v - 1)) if v > 0 else hr.MAX_WEIGHT
     return {h: (f + m * w) / (n + w) > max_rate for h, (n, f) in hosts.items()}
 
@@ -50,6 +50,28 @@ def test_hosts_and_filter(spark):
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in judged if r["kept"]) == sorted((x is None, x) for x, _ in want)
 
 
+def test_prior_takes_out_the_noise_of_small_hosts(spark):
+    """Hosts of three documents and one rate differ by chance alone: each is shrunk all the way to the common rate."""
+    rows = [(f"h{k}", (k + j) % 4 == 0 or (j == 0 and k % 8 < 3)) for k in range(400) for j in range(3)]
+    got = hr.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()
+    seen = {r["n_failed"] / r["n_docs"] for r in got}
+    assert max(seen) - min(seen) > 0.3 and max(r["shrunk_rate"] for r in got) - min(r["shrunk_rate"] for r in got) < 0.1
+    # hosts of many documents that do differ keep their rates
+    rows = [(f"h{k}", j < 100 * (k % 2) + 20) for k in range(10) for j in range(200)]
+    got = hr.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()
+    assert all(abs(r["shrunk_rate"] - r["n_failed"] / r["n_docs"]) < 0.01 for r in got)
+
+
+def test_columns_that_clash(spark):
+    names = ("__row", "__host", "KEPT", "N_words", "host", "a.b", "Shrunk_Rate")
+    docs = with_clashes(frame(spark), *names)
+    assert sorted(map(str, hr.filter_documents(docs).select("doc_id", "text").collect())) == sorted(map(str, hr.filter_documents(frame(spark)).select("doc_id", "text").collect()))
+    assert hr.filter_documents(docs).columns == docs.columns
+    judged = hr.judge(docs)
+    assert len({c.lower() for c in judged.columns}) == len(judged.columns) and {"__row", "__host", "host", "a.b", "kept", "n_words"} <= set(judged.columns)
+    assert judged.count() == len(rows())
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert hr.judge(empty).count() == 0 and hr.filter_documents(empty).count() == 0

@@ -105,6 +105,11 @@ def row_of(df: DataFrame, *without: str) -> Column:
     return F.struct(*[F.col(quoted(c)) for c in others(df.columns, *without)]).alias("__row")
 
 
+def row_columns(df: DataFrame, *without: str) -> list[Column]:
+    """The columns that ``row_of`` put away."""
+    return [F.col(f"__row.{quoted(c)}") for c in others(df.columns, *without)]
+
+
 def schema_with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     """The schema of ``textbytes.with_columns``."""
     keep = set(others(df.columns, *[x.name for x in fields]))

@@ -3,14 +3,17 @@
 1. From a bounded sample of labelled training rows (``MAX_LABELLED``, those with
    the least hash of their id), words and word beginnings that toxic texts have
    far more often become voters, beside a fixed lexicon and patterns of the
-   whole text. A voter votes toxic or abstains.
+   whole text. A voter votes toxic or abstains; it speaks up where its word stands at all,
+   or only where the word has some weight in the text, whichever tells more.
 2. A generative label model with a hidden label is fitted to the votes by
-   expectation and maximisation: how often each voter speaks up on toxic and on
-   clean texts. Correlations that the hidden label leaves unexplained are estimated
-   from the residuals of the votes; voters that say the same in a text share one
-   voice there. One more voter, silence, votes clean where no voting word occurs.
-3. A linear (logistic) classifier on words and word beginnings is trained on the
-   model's posterior labels, and scores every whole text.
+   expectation and maximisation: how often each voter is right when it speaks up. The
+   given label is one more voter, whose accuracy is ``LABEL_TRUST``. Correlations that the
+   hidden label leaves unexplained are estimated from the residuals of the votes;
+   voters that say the same in a text share one voice there. One more voter, silence,
+   votes clean where no voting word occurs.
+3. A linear (logistic) classifier on words and word beginnings, each by its presence and
+   by its weight in the text, is trained on the model's posterior labels, and scores every
+   whole text.
 
 Training rows are those whose crc32 of the id as text leaves another remainder by
 three than 1; the other rows are held out. Labels, languages, sources and ids
@@ -18,9 +21,14 @@ are no inputs of a score.
 
 Defined cases: a null text is an empty one; its score is that of a text without
 features. Null labels and labels without a document are ignored; of several
-labels of one document the highest holds. Without training rows of both labels no
+labels of one document the highest holds, and of several rows of one id the text that
+comes first in their order is learnt from. Without training rows of both labels no
 classifier can be fitted, and all texts get the score ``PRIOR``. Repeated rows are
-scored alike. Of an empty table the result is empty.
+scored alike. Of an empty table the result is empty. Other columns are kept; one named
+score, in upper or lower case, gives way.
+
+The model's size is a parameter, ``max_features`` and ``max_voters``: features beyond
+it are those whose rates on toxic and clean texts differ least.
 """
 
 from __future__ import annotations
@@ -29,24 +37,29 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .prefix_tree import _spread
-from .runtime import documents, schema_with
+from .runtime import discard, documents, row_columns, row_of, schema_with, written
 
-#: Labelled rows that are learnt from at most; 12 bytes of each are broadcast.
+#: Labelled rows that are learnt from at most; 12 bytes of each are broadcast, and their texts are written once.
 MAX_LABELLED = 12_000
+#: The model's size; so many are collected and sent to all workers.
 MAX_VOTERS, MAX_FEATURES = 400, 3000
 #: Texts of the sample that a feature has to stand in.
 LEAST_TEXTS = 3
+#: The logarithm of a voter's rates on toxic and clean texts, at least.
+LEAST_ODDS = 2.0
 THRESHOLD, PRIOR = 0.7, 0.01
 #: Standard errors by which a feature's rates on toxic and clean texts have to differ.
-LEAST_PULL = 4.0
-#: Weight of a feature in a text from which it counts as standing there.
+LEAST_PULL = 6.0
+#: Weight of a feature in a text from which it is loud there.
 LOUD = 0.25
+#: How often a given label is taken to be right.
+LABEL_TRUST = 0.95
 #: Lengths in bytes of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7, 8, 9, 10)
 LEXICON = ("idiot", "moron", "stupid", "scum", "trash", "loser", "clown", "pathetic", "worthless", "disgusting", "dumb", "imbecile", "bastard", "pig", "filth", "vermin", "freak", "ugly", "hate", "kill")
@@ -119,14 +132,17 @@ def held_out(id_col: str = "doc_id"):
 @dataclass
 class Classifier:
     features: np.ndarray
+    #: of the features' weights in a text, one for each, then of their presence
     weights: np.ndarray
     bias: float
 
     def scores(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         z = np.full(len(off) - 1, self.bias)
-        if len(self.features):
+        m = len(self.features)
+        if m:
             text, place, share = text_features(data, off, self.features)
-            z += np.bincount(text, weights=self.weights[place.astype(np.int64)] * share, minlength=len(z))
+            place = place.astype(np.int64)
+            z += np.bincount(text, weights=self.weights[place] * share + self.weights[m + place], minlength=len(z))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -143,20 +159,23 @@ class LabelModel:
         """The part of its voice that each voter has where all speak."""
         return 1 / (1 + self.alike.sum(axis=0))
 
-    def posterior(self, votes: np.ndarray) -> np.ndarray:
-        """The probability of toxic. A voter that abstains says nothing and takes nothing of the others' voice."""
+    def posterior(self, votes: np.ndarray, labels: np.ndarray | None = None, trust: float = LABEL_TRUST) -> np.ndarray:
+        """The probability of toxic. A voter that abstains says nothing and takes nothing of the others' voice; labels vote besides if they are given."""
         base = np.log(self.prior / (1 - self.prior))
         toxic = self.accuracy.copy()
         toxic[-1] = 1 - toxic[-1]
         z = base + (votes / (1 + votes @ self.alike)) @ (np.log(toxic / (1 - toxic)) - base)
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        z = np.clip(z, -30, 30)
+        if labels is not None:
+            z = z + np.log(trust / (1 - trust)) * (2 * labels - 1)
+        return 1 / (1 + np.exp(-z))
 
 
-def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, anchor: float = 0.5) -> LabelModel:
+def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, trust: float = LABEL_TRUST) -> LabelModel:
     """Accuracies of voters, and the share of each in what correlated voters say together.
 
-    Expectation and maximisation over a hidden label. The labels of the training
-    rows stand in as a prior on the accuracies, of ``anchor`` times their weight.
+    Expectation and maximisation over a hidden label, on which the labels of the
+    training rows vote too.
     """
     n, m = votes.shape
     votes = votes.astype(np.float64)
@@ -164,10 +183,10 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, anc
     r = np.minimum(votes[:, :-1].sum(axis=1) / 2, 0.95) * 0.98 + 0.01
     model = LabelModel(np.full(m, 0.5), np.zeros((m, m)), float(np.clip(labels.mean(), 1e-4, 0.9)))
     for k in range(rounds):
-        right = (r @ votes + anchor * (labels @ votes) + model.prior) / ((1 + anchor) * spoken + 1)
+        right = (r @ votes + model.prior) / (spoken + 1)
         right[-1] = 1 - right[-1]
         model.accuracy = np.clip(right, 1e-3, 1 - 1e-3)
-        model.prior = float(np.clip((r.sum() + anchor * labels.sum() + 0.5) / ((1 + anchor) * n + 1), 1e-4, 0.9))
+        model.prior = float(np.clip((r.sum() + 0.5) / (n + 1), 1e-4, 0.9))
         if k >= 2:
             # what of the votes the hidden label leaves unexplained
             p, q = (r @ votes) / max(r.sum(), 1e-9), ((1 - r) @ votes) / max((1 - r).sum(), 1e-9)
@@ -176,7 +195,9 @@ def fit_label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 25, anc
             corr = (left.T @ left) / np.outer(scale, scale)
             np.fill_diagonal(corr, 0)
             model.alike = np.where(corr > 0.2, corr, 0)
-        r = model.posterior(votes)
+            # silence never speaks along with another voter
+            model.alike[-1], model.alike[:, -1] = 0, 0
+        r = model.posterior(votes, labels, trust)
     return model
 
 
@@ -200,7 +221,8 @@ def fit_linear(text: np.ndarray, place: np.ndarray, share: np.ndarray, n: int, m
 
 
 def _feature_counts(sample: DataFrame) -> DataFrame:
-    """In how many toxic and clean texts of the sample each feature has at least the weight LOUD."""
+    """In how many toxic and clean texts of the sample each feature stands (toxic, clean) and is loud (loud_toxic, loud_clean)."""
+    names = ["toxic", "clean", "loud_toxic", "loud_clean"]
 
     def run(batches):
         for batch in batches:
@@ -208,41 +230,58 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
             found = []
             for lo, _, data, off in tb.slices(batch.column(0)):
                 text, feature, share = text_features(data, off)
-                loud = share >= LOUD
-                found.append((feature[loud], toxic[lo + text[loud]]))
+                found.append((feature, toxic[lo + text], share >= LOUD))
             if found:
-                feature, is_toxic = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
-                keys, inverse, count = np.unique(feature, return_inverse=True, return_counts=True)
-                positive = np.bincount(inverse, weights=is_toxic, minlength=len(keys)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(positive), pa.array(count - positive)], names=["feature", "toxic", "clean"])
+                feature, is_toxic, loud = (np.concatenate(x) for x in zip(*found))
+                keys, inverse = np.unique(feature, return_inverse=True)
+                counts = [np.bincount(inverse[mask], minlength=len(keys)).astype(np.int64) for mask in (is_toxic, ~is_toxic, is_toxic & loud, ~is_toxic & loud)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=["feature", *names])
 
-    return sample.select("text", "toxic").mapInArrow(run, "feature long, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    rows = sample.select("text", "toxic").mapInArrow(run, "feature long, toxic long, clean long, loud_toxic long, loud_clean long")
+    return rows.groupBy("feature").agg(*[F.sum(x).alias(x) for x in names])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED) -> Classifier:
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_labelled: int = MAX_LABELLED, max_features: int = MAX_FEATURES, max_voters: int = MAX_VOTERS
+) -> Classifier:
     """Fits the label model and the classifier to training rows of ``labels`` (doc_id, toxic)."""
     nothing = Classifier(np.zeros(0, dtype=np.uint64), np.zeros(0), float(np.log(PRIOR / (1 - PRIOR))))
     chosen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.max("toxic").alias("toxic"))
     # labels without a document take no place
     chosen = chosen.join(docs.select(F.col(id_col).cast("long").alias("__id")), "__id", "left_semi")
-    # which ones is settled once: the sample is read three times
     chosen = docs.sparkSession.createDataFrame(chosen.orderBy(F.xxhash64("__id"), "__id").limit(max_labelled).toArrow(), chosen.schema)
-    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id").select("text", F.col("toxic").cast("int").alias("toxic"))
+    sample = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("text")).join(F.broadcast(chosen), "__id")
+    # a row for each id, however often it stands in the table; written, since it is read three times
+    paths: list[str] = []
+    sample = written(sample.groupBy("__id").agg(F.min("text").alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic"), "labelled", paths)
     by_class = {bool(t): n for t, n in sample.groupBy("toxic").count().collect()}
     n_toxic, n_clean = by_class.get(True, 0), by_class.get(False, 0)
     if not n_toxic or not n_clean:
+        discard(docs.sparkSession, paths)
         return nothing
     n = n_toxic + n_clean
-    rate_toxic, rate_clean = (F.col("toxic") + 0.5) / (n_toxic + 1), (F.col("clean") + 0.5) / (n_clean + 1)
-    rate = (F.col("toxic") + F.col("clean") + 1) / (n + 2)
-    # how many standard errors the two rates are apart
-    pull = (rate_toxic - rate_clean) / F.sqrt(rate * (1 - rate) * (1 / n_toxic + 1 / n_clean))
-    counts = _feature_counts(sample).where(F.col("toxic") + F.col("clean") >= LEAST_TEXTS).withColumn("odds", F.log(rate_toxic / rate_clean)).withColumn("pull", pull)
-    best = counts.where(F.abs("pull") >= LEAST_PULL).orderBy(F.desc(F.abs("pull")), "feature").limit(MAX_FEATURES).collect()
+
+    def tells(toxic: str, clean: str) -> tuple[Column, Column]:
+        """How many standard errors the rates on toxic and clean texts are apart, and the logarithm of their ratio."""
+        rate_toxic, rate_clean = (F.col(toxic) + 0.5) / (n_toxic + 1), (F.col(clean) + 0.5) / (n_clean + 1)
+        rate = (F.col(toxic) + F.col(clean) + 1) / (n + 2)
+        return (rate_toxic - rate_clean) / F.sqrt(rate * (1 - rate) * (1 / n_toxic + 1 / n_clean)), F.log(rate_toxic / rate_clean)
+
+    (any_pull, any_odds), (loud_pull, loud_odds) = tells("toxic", "clean"), tells("loud_toxic", "loud_clean")
+    counts = _feature_counts(sample).withColumn("loud", F.abs(loud_pull) > F.abs(any_pull))
+    counts = counts.select(
+        "feature", "loud", F.when(F.col("loud"), F.col("loud_toxic")).otherwise(F.col("toxic")).alias("toxic"), F.when(F.col("loud"), F.col("loud_clean")).otherwise(F.col("clean")).alias("clean"),
+        F.when(F.col("loud"), loud_pull).otherwise(any_pull).alias("pull"), F.when(F.col("loud"), loud_odds).otherwise(any_odds).alias("odds"),
+    )
+    best = counts.where((F.col("toxic") + F.col("clean") >= LEAST_TEXTS) & (F.abs("pull") >= LEAST_PULL)).orderBy(F.desc(F.abs("pull")), "feature").limit(max_features).collect()
+    hashes = lambda rows: np.array([r["feature"] for r in rows], dtype=np.int64).view(np.uint64)
     fixed = _word_features(list(LEXICON))
-    features = np.unique(np.concatenate([np.array([r["feature"] for r in best], dtype=np.int64).view(np.uint64), fixed]))
-    strong = [r for r in best if r["odds"] > 2 and r["toxic"] >= LEAST_TEXTS][:MAX_VOTERS]
-    voters = np.unique(np.concatenate([np.array([r["feature"] for r in strong], dtype=np.int64).view(np.uint64), fixed]))
+    features = np.unique(np.concatenate([hashes(best), fixed]))
+    m = len(features)
+    only_loud = np.zeros(m, dtype=bool)
+    only_loud[np.searchsorted(features, hashes(best))] = [r["loud"] for r in best]
+    strong = [r for r in best if r["odds"] > LEAST_ODDS and r["toxic"] >= LEAST_TEXTS][:max_voters]
+    voters = np.unique(np.concatenate([hashes(strong), fixed]))
 
     def gather(batches):
         for batch in batches:
@@ -255,8 +294,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
                 patterns = pattern_votes(data, off).astype(np.int32) @ (1 << np.arange(len(PATTERNS)))
                 yield pa.RecordBatch.from_arrays([lists, shares, pa.array(patterns.astype(np.int32)), batch.column(1).slice(lo, hi - lo)], names=["places", "shares", "patterns", "toxic"])
 
-    # at most max_labelled rows of at most MAX_FEATURES small numbers
+    # at most max_labelled rows of at most max_features small numbers
     rows = sample.mapInArrow(gather, "places array<int>, shares array<float>, patterns int, toxic int").toArrow()
+    discard(docs.sparkSession, paths)
     lists = pa.concat_arrays(rows["places"].chunks)
     n = len(lists)
     place = lists.flatten().to_numpy().astype(np.int64)
@@ -264,29 +304,32 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     of = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
     # voters: words and word beginnings, patterns, and silence, which votes clean where not even a quiet word of a voter occurs
     votes = np.zeros((n, len(voters) + len(PATTERNS) + 1), dtype=np.float32)
-    seat = np.full(len(features), -1, dtype=np.int64)
+    seat = np.full(m, -1, dtype=np.int64)
     seat[np.searchsorted(features, voters)] = np.arange(len(voters))
-    spoken = (seat[place] >= 0) & (share >= LOUD)
+    spoken = (seat[place] >= 0) & ((share >= LOUD) | ~only_loud[place])
     votes[of[spoken], seat[place[spoken]]] = 1
     bits = rows["patterns"].to_numpy()
     for k in range(len(PATTERNS)):
         votes[:, len(voters) + k] = (bits >> k) & 1
     votes[:, -1] = np.bincount(of[seat[place] >= 0], minlength=n) == 0
-    model = fit_label_model(votes, rows["toxic"].to_numpy().astype(np.float64))
-    weights, bias = fit_linear(of, place, share, n, len(features), model.posterior(votes))
+    truth = rows["toxic"].to_numpy().astype(np.float64)
+    target = fit_label_model(votes, truth).posterior(votes, truth)
+    weights, bias = fit_linear(np.concatenate([of, of]), np.concatenate([place, place + m]), np.concatenate([share, np.ones(len(share))]), n, 2 * m, target)
     return Classifier(features, weights, bias)
 
 
 def with_scores(docs: DataFrame, model: Classifier, text: str = "text") -> DataFrame:
-    """All columns of ``docs`` and score. The model is broadcast: at most MAX_FEATURES and the lexicon."""
+    """All columns of ``docs`` and score. The model is broadcast: at most max_features and the lexicon."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(row_of(docs, "score"), F.col(text).alias("__text"))
 
     def run(batches):
         for batch in batches:
-            parts = [shared.value.scores(data, off) for _, _, data, off in tb.slices(batch.column(batch.schema.names.index(text)))]
+            parts = [shared.value.scores(data, off) for _, _, data, off in tb.slices(batch.column(1))]
             yield tb.with_columns(batch, {"score": pa.array(np.concatenate(parts) if parts else np.zeros(0))})
 
-    return docs.mapInArrow(run, schema_with(docs, [T.StructField("score", T.DoubleType())]))
+    scored = rows.mapInArrow(run, schema_with(rows, [T.StructField("score", T.DoubleType())]))
+    return scored.select(*row_columns(docs, "score"), "score")
 
 
 def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,7 +339,7 @@ def read_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents whose score is below the threshold, with the columns of ``docs``."""
     model = fit(docs, labels, id_col, text)
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(text).alias("__text"))
+    rows = docs.select(row_of(docs), F.col(text).alias("__text"))
     return with_scores(rows, model, "__text").where(F.col("score") < threshold).select("__row.*")
 
 

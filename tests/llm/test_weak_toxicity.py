@@ -43,6 +43,35 @@ def test_held_out_labels_are_not_read(spark):
     assert (one.features == two.features).all() and np.allclose(one.weights, two.weights) and one.bias == two.bias
 
 
+def test_repeated_rows_and_clashing_names(spark):
+    """A document that stands in the table a thousand times is learnt from once."""
+    data, labels = corpus(200)
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int")
+    one = wt.fit(frame(spark, data), labels)
+    two = wt.fit(frame(spark, data + [data[6]] * 1000), labels)
+    assert (one.features == two.features).all() and np.allclose(one.weights, two.weights)
+    docs = with_clashes(frame(spark, data), "Score", "__row", "__text", "__id", "toxic", "a.b")
+    scored = wt.with_scores(docs, one)
+    assert scored.columns == [c for c in docs.columns if c != "Score"] + ["score"] and scored.count() == len(data)
+    assert wt.reject_toxic(docs, labels).columns == docs.columns
+    assert wt.reject_toxic(docs, labels).count() == wt.reject_toxic(frame(spark, data), labels).count()
+
+
+def test_scoring_agrees_with_training(spark, monkeypatch):
+    """The classifier's loss on the training texts, by its scores, is what fit_linear left."""
+    data, labels = corpus(300)
+    seen = []
+    fitted = wt.fit_linear
+    monkeypatch.setattr(wt, "fit_linear", lambda text, place, value, n, m, target: seen.append((text, place, value, n, target)) or fitted(text, place, value, n, m, target))
+    model = wt.fit(frame(spark, data), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    text, place, value, n, target = seen[0]
+    z = np.bincount(text, weights=model.weights[place] * value, minlength=n) + model.bias
+    own = sorted(1 / (1 + np.exp(-z)))
+    ids = {k for k, _ in labels if zlib.crc32(str(k).encode()) % 3 != 1}
+    got = sorted(r["score"] for r in wt.with_scores(frame(spark, data), model).collect() if r["doc_id"] in ids)
+    assert np.allclose(own, got, atol=1e-5)
+
+
 def test_reject(spark):
     data, labels = corpus(300)
     labels = spark.createDataFrame(labels + [(0, None), (None, 1), (10**9, 1)], "doc_id long, toxic int")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import written
+from .runtime import discard, written
 
 
 def _unsettled(stars: DataFrame) -> bool:
@@ -38,8 +38,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     Edges from a node to itself, or with a null, are ignored. Without edges the result is empty.
     """
+    spark = edges.sparkSession
     stars = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    stars = written(stars, "stars")
+    paths: list[str] = []
+    stars = written(stars, "stars", paths)
     while _unsettled(stars):
-        stars = written(_small(written(_large(stars), "stars")), "stars")
+        stars = written(_small(written(_large(stars), "stars", paths)), "stars", paths)
+        discard(spark, paths[:-1])
+        del paths[:-1]
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

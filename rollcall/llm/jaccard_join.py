@@ -9,15 +9,26 @@
    shorter one. Keys that a task meets twice are merged there before the shuffle.
 3. Nodes that share a key are joined into candidate blocks; a block is an upper
    bound of the components in it.
-4. The texts of each block meet in tasks (large blocks in pairs of chunks) and are
-   joined by ``prefix_tree.Trie``, which finds every link.
-5. Links become components. Rows that leave a task are one label a node.
+4. Each node of a block is compared with one other, the least one that it shares a
+   key with. That labels most of a group of near copies at a cost in proportion to their
+   texts; a large star is cut into pieces, and its middle goes to each.
+5. A block whose nodes all have one label is settled. In the others, the nodes of
+   the label with the most elements meet all other nodes, and the others meet one another,
+   in tasks of chunks of about ``CHUNK_ELEMENTS`` elements, and are joined by
+   ``prefix_tree.Trie``, which finds every link between nodes that aren't known to be connected.
+6. Links become components. Rows that leave a task are a label a node.
+
+So a group of near copies, however large, is sent to tasks a fixed number of times.
+What grows with the square of a block is the meeting of its other nodes if they are more than
+a chunk: many texts that are no copies but share keys. ``count_links`` counts the links of
+each document, too; then no pair may be left out, and each chunk of a block meets each other.
 
 Two sets link when ``den * overlap >= num * union``. Defined cases: a text with
 fewer words than ``size`` is one shingle, its whole word sequence; a null text or
 one without words has an empty set and links with nothing. Documents with equal
 sets are linked. A null id never is a component_id unless no member has an id.
-Repeated rows are documents of their own. Of an empty table the result is empty.
+Repeated rows are documents of their own. Of an empty table the result is empty. Other
+columns are left out, or kept by ``deduplicate``, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +41,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .components import components
 from .prefix_tree import Trie, _spread, least_labels
-from .runtime import documents, written
+from .runtime import documents, passing, row_of, written
 
 SIZE, NUM, DEN = 3, 90, 100
 #: A part of fewer elements says little; nodes send it only if too few of their parts have more.
@@ -41,6 +52,10 @@ POPULAR_SAMPLE, POPULAR = 20_000, 3
 CHUNK_ELEMENTS = 150_000
 #: Elements that are joined in one trie forest, about, if blocks are small.
 FOREST_ELEMENTS = 400_000
+#: Elements of a piece of a star, about.
+STAR_ELEMENTS = 20_000
+#: Popular shingles that are broadcast at most; which ones only decides how large blocks become.
+MAX_POPULAR = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -172,7 +187,8 @@ def merged_keys(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.nda
     keys, nodes = keys[order], nodes[order]
     first = np.concatenate([[True], keys[1:] != keys[:-1]])
     head = np.flatnonzero(first)
-    least = np.minimum.reduceat(nodes, head)
+    # the least as Spark has it, which knows signed longs only
+    least = np.minimum.reduceat(nodes.view(np.int64), head).view(np.uint64)
     of = least[np.cumsum(first) - 1]
     tie = of != nodes
     pairs = np.unique(np.stack([of[tie], nodes[tie]]), axis=1)
@@ -200,8 +216,8 @@ def popular_shingles(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
     """Sorted hashes of shingles that several of at most about ``POPULAR_SAMPLE`` different texts have.
 
     They are left out of keys, which costs no link whatever they are; they only
-    decide how large candidate blocks become. So a sample of texts (by hash) will do,
-    and the table is bounded by it.
+    decide how large candidate blocks become. So a sample of texts (by hash) will do, and
+    of its shingles the ``MAX_POPULAR`` most frequent ones.
     """
 
     def run(batches):
@@ -212,7 +228,7 @@ def popular_shingles(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([_signed(shingles), pa.array(count)], names=["shingle", "n"])
 
     sample = docs.where(F.pmod(F.col("text_key"), F.lit(max(1, n_docs // POPULAR_SAMPLE))) == 0).dropDuplicates(["text_key"]).select("text")
-    rows = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR).select("shingle").toArrow()
+    rows = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR).orderBy(F.desc("n"), "shingle").limit(MAX_POPULAR).select("shingle").toArrow()
     return np.sort(rows["shingle"].to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, dtype=np.uint64)
 
 
@@ -241,8 +257,41 @@ def key_table(docs: DataFrame, size: int, num: int, den: int, popular: np.ndarra
     return docs.select("text").mapInArrow(run, "key long, node long")
 
 
-def _join_blocks(table: pa.Table, size: int, num: int, den: int) -> pa.RecordBatch:
-    """node, label and the number of linked documents in the other nodes, for whole blocks."""
+def star_links(stars: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """node and hub of the nodes that link with the hub of their star.
+
+    stars: hub, piece, place (0 for the hub itself, 1 for others), node and text, in the
+    order of the first three. Only the hub's set is held while its star passes.
+    """
+
+    def run(batches):
+        held = None  # hub, piece, place and set of the star that is passing
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            columns = [table[x].to_numpy() for x in ("hub", "piece", "place", "node")]
+            for lo, hi, data, off in tb.slices(table["text"]):
+                lens, hashes = shingle_sets(data, off, size)
+                hub, piece, place, node = (c[lo:hi] for c in columns)
+                if held is not None:
+                    hub, piece, place, node = (np.concatenate([[x], c]) for x, c in zip((*held[:3], held[0]), (hub, piece, place, node)))
+                    lens, hashes = np.concatenate([[len(held[3])], lens]), np.concatenate([held[3], hashes])
+                head = np.concatenate([[True], (hub[1:] != hub[:-1]) | (piece[1:] != piece[:-1])])
+                star, heads = np.cumsum(head) - 1, np.flatnonzero(head)
+                row = np.repeat(np.arange(len(lens)), lens)
+                key = tb.mix(hashes ^ tb.mix(star[row].astype(np.uint64)))
+                middle = np.sort(key[head[row]])
+                hit = middle[np.minimum(np.searchsorted(middle, key), max(0, len(middle) - 1))] == key if len(middle) else np.zeros(len(key), dtype=bool)
+                overlap = np.bincount(row, weights=hit, minlength=len(lens)).astype(np.int64)
+                linked = (place == 1) & (place[heads][star] == 0) & (den * overlap >= num * (lens + lens[heads][star] - overlap))
+                yield pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(hub[linked])], names=["node", "hub"])
+                first, start = heads[-1], np.cumsum(lens) - lens
+                held = (hub[-1], piece[-1], place[first], hashes[start[first] : start[first] + lens[first]])
+
+    return stars.mapInArrow(run, "node long, hub long")
+
+
+def _join_blocks(table: pa.Table, size: int, num: int, den: int, count_links: bool) -> pa.RecordBatch:
+    """node, label and (if asked for) the number of linked documents in the other nodes, for whole blocks."""
     node = table["node"].to_numpy().view(np.uint64)
     block = np.unique(np.stack([table[x].to_numpy() for x in ("root", "i", "j")]), axis=1, return_inverse=True)[1].ravel()
     lens, hashes = [], []
@@ -255,85 +304,140 @@ def _join_blocks(table: pa.Table, size: int, num: int, den: int) -> pa.RecordBat
     _, first = np.unique(np.stack([block.astype(np.uint64), node]), axis=1, return_index=True)
     keep = np.sort(first[node_names(lens, hashes)[first] == node[first]])
     start = np.cumsum(lens) - lens
-    block, node, chunk, copies = block[keep], node[keep], table["chunk"].to_numpy()[keep], table["copies"].to_numpy()[keep]
+    block, node, chunk, label = block[keep], node[keep], table["chunk"].to_numpy()[keep], table["label"].to_numpy()[keep]
+    copies = table["copies"].to_numpy()[keep]
     across = (table["i"].to_numpy() != table["j"].to_numpy())[keep]
+    n = len(keep)
     trie = Trie(block, lens[keep], hashes[_spread(start[keep], lens[keep])])
-    labels, links = np.arange(len(keep)), np.zeros(len(keep), dtype=np.int64)
-    for a, b in trie.links(num, den):
-        count = ~across[a] | (chunk[a] != chunk[b])
-        np.add.at(links, a[count], copies[b[count]])
-        np.add.at(links, b[count], copies[a[count]])
+    labels, links = np.arange(n), np.zeros(n, dtype=np.int64)
+    # where two chunks meet, each has met itself elsewhere
+    met = np.where(across, chunk.astype(np.int64), -1 - np.arange(n))
+    if count_links:
+        for a, b in trie.links(num, den, (met,)):
+            np.add.at(links, a, copies[b])
+            np.add.at(links, b, copies[a])
+            labels = least_labels(labels, a, b)
+    else:
+        # rows of one label in a block are connected, and so are linked neighbours
+        _, first, known = np.unique(np.stack([block.astype(np.int64), label]), axis=1, return_index=True, return_inverse=True)
+        labels = least_labels(labels, np.arange(n), first[known.ravel()])
+        a, b = trie.neighbours(num, den)
         labels = least_labels(labels, a, b)
+        for a, b in trie.links(num, den, (labels, met)):
+            labels = least_labels(labels, a, b)
     return pa.RecordBatch.from_arrays([_signed(node), _signed(node[labels]), pa.array(links)], names=["node", "label", "links"])
 
 
-def linked_nodes(blocks: DataFrame, size: int, num: int, den: int) -> DataFrame:
+def linked_nodes(blocks: DataFrame, size: int, num: int, den: int, count_links: bool = False) -> DataFrame:
     """Joins blocks that come in the order of root, i, j."""
 
     def run(batches):
-        held, elements = [], 0
+        held, elements, last = [], 0, None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            block = list(zip(*(table[x].to_pylist() for x in ("root", "i", "j"))))
+            if not table.num_rows:
+                continue
+            block = np.stack([table[x].to_numpy() for x in ("root", "i", "j")])
+            total = np.concatenate([[0], np.cumsum(table["n_shingles"].to_numpy())])
+            head = np.concatenate([[last is not None and (block[:, 0] != last).any()], (block[:, 1:] != block[:, :-1]).any(axis=0)])
             begin = 0
-            for r in range(len(block)):
-                new = block[r] != (block[r - 1] if r else held[-1][1] if held else block[r])
-                if new and elements >= FOREST_ELEMENTS:
+            for r in np.flatnonzero(head).tolist():
+                if elements + int(total[r] - total[begin]) >= FOREST_ELEMENTS:
                     if r > begin:
-                        held.append((table.slice(begin, r - begin), block[r - 1]))
-                    yield _join_blocks(pa.concat_tables(x for x, _ in held), size, num, den)
+                        held.append(table.slice(begin, r - begin))
+                    yield _join_blocks(pa.concat_tables(held), size, num, den, count_links)
                     held, elements, begin = [], 0, r
-                elements += table["n_shingles"][r].as_py()
-            if len(block) > begin:
-                held.append((table.slice(begin), block[-1]))
+            held.append(table.slice(begin))
+            elements += int(total[-1] - total[begin])
+            last = block[:, -1]
         if held:
-            yield _join_blocks(pa.concat_tables(x for x, _ in held), size, num, den)
+            yield _join_blocks(pa.concat_tables(held), size, num, den, count_links)
 
     return blocks.mapInArrow(run, "node long, label long, links long")
 
 
-def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text: str = "text", thin: bool = False) -> DataFrame:
-    """doc_id, text_key (a hash of the text), n_shingles, component_id and n_links of each document.
+def _star_labels(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """node and root (the least node that it is connected with by stars)."""
+    pieces = F.explode(F.sequence(F.lit(0), F.col("own_pieces") - 1)).alias("piece")
+    hubs = texts.where("own_pieces is not null").select(F.col("node").alias("hub"), pieces, F.lit(0).alias("place"), "node", "text")
+    others = texts.where("hub is not null").select("hub", F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int").alias("piece"), F.lit(1).alias("place"), "node", "text")
+    stars = hubs.unionAll(others).repartition("hub", "piece").sortWithinPartitions("hub", "piece", "place")
+    found = star_links(stars, size, num, den)
+    return components(found.select(F.col("node").alias("u"), F.col("hub").alias("v")))
 
-    thin: leave popular shingles out of keys, for thresholds that leave few shingles to a part.
 
-    n_links is the number of other documents that it links with.
+def jaccard_components(docs: DataFrame, size: int = SIZE, num: int = NUM, den: int = DEN, id_col: str = "doc_id", text: str = "text", thin: bool = False, count_links: bool = False) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component_id and chosen (whether the component is named after it) of each document.
+
+    thin: leave popular shingles out of keys, for thresholds that leave few shingles to a part.
+    count_links: n_links besides, the number of other documents that it links with.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
-    sets = written(set_table(docs, size), "sets")
-    keys = key_table(docs, size, num, den, popular_shingles(docs, size, sets.count()) if thin else None)
-    least = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    edges = keys.withColumn("least", least).where("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    roots = written(components(edges), "candidates")
-
-    named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    nodes = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles")), "nodes")
-    members = nodes.join(roots, "node")
-    sizes = members.groupBy("root").agg(F.sum("n_shingles").alias("all"))
-    members = members.join(sizes, "root").withColumn("chunks", F.ceil(F.col("all") / CHUNK_ELEMENTS).cast("int"))
-    members = members.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    members = written(members.select("root", "node", "copies", "n_shingles", "chunk", "chunks", F.col("first.doc_id").alias("doc_id"), F.col("first.text_key").alias("text_key")), "members")
-    # members grow with the corpus, so they are never broadcast
-    with_text = docs.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id").join(
-        members.withColumn("__id", F.coalesce("doc_id", F.lit(-(1 << 63)))).drop("doc_id").hint("merge"), ["__id", "text_key"]
-    )
-    blocks = with_text.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    blocks = blocks.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "copies", "n_shingles", "text")
-    blocks = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
-    found = written(linked_nodes(blocks, size, num, den), "links")
-
-    final = components(found.select(F.col("node").alias("u"), F.col("label").alias("v")))
-    links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    state = nodes.join(final, "node", "left").join(links, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
-    state = written(state, "state")
-    named = state.groupBy("root").agg(F.min("first").alias("chosen"))
-    state = state.join(named, "root").select("node", "chosen", (F.col("copies") - 1 + F.col("links")).alias("links"))
+    least_id = F.lit(-(1 << 63))
+    with passing(docs.sparkSession) as keep:
+        docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_key"), F.col(text).alias("text"))
+        sets = written(set_table(docs, size), "sets", keep)
+        keys = key_table(docs, size, num, den, popular_shingles(docs, size, sets.count()) if thin else None)
+        # a key comes once from each batch of texts, so a key that very many texts have is few rows
+        least = F.first("node").over(Window.partitionBy("key").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+        edges = written(keys.withColumn("least", least).where("node <> least").select("node", "least"), "edges")
+        roots = components(edges.select(F.col("node").alias("u"), F.col("least").alias("v")))
+
+        named = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+        nodes = written(sets.where("n_shingles > 0").groupBy("node").agg(F.min(named).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles")), "nodes")
+        members = nodes.join(roots, "node").join(edges.groupBy("node").agg(F.min("least").alias("hub")), "node", "left")
+        members = written(members.select("node", "root", "hub", "copies", "n_shingles", F.coalesce("first.doc_id", least_id).alias("id"), F.col("first.text_key").alias("text_key")), "members")
+        pieces = members.where("hub is not null").groupBy("hub").agg(F.ceil(F.sum("n_shingles") / STAR_ELEMENTS).cast("int").alias("pieces"))
+        with_pieces = members.join(pieces, "hub", "left").join(pieces.select(F.col("hub").alias("node"), F.col("pieces").alias("own_pieces")), "node", "left")
+        # members grow with the corpus, so they are never broadcast
+        texts = docs.select(F.coalesce("doc_id", least_id).alias("id"), "text_key", "text").join(with_pieces.hint("merge"), ["id", "text_key"])
+        texts = written(texts.select("node", "root", "hub", "pieces", "own_pieces", "n_shingles", "text"), "texts")
+
+        stars = None
+        if count_links:
+            members = members.withColumn("label", F.col("node"))
+        else:
+            stars = written(_star_labels(texts, size, num, den), "stars")
+            members = members.join(stars.select("node", F.col("root").alias("star")), "node", "left").withColumn("label", F.coalesce("star", "node"))
+        members = written(members.select("node", "root", "label", "copies", "n_shingles"), "labelled")
+        sizes = members.groupBy("root", "label").agg(F.sum("n_shingles").alias("n"))
+        sizes = sizes.groupBy("root").agg(F.sum("n").alias("all"), F.max(F.struct("n", F.col("label").alias("main"))).alias("most"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        apart = F.col("most.n") > CHUNK_ELEMENTS
+        sizes = sizes.select(
+            "root", F.when(apart, F.col("most.main")).alias("main"),
+            F.when(apart, F.ceil(F.col("most.n") / CHUNK_ELEMENTS)).otherwise(0).cast("int").alias("main_chunks"),
+            F.ceil((F.col("all") - F.when(apart, F.col("most.n")).otherwise(0)) / CHUNK_ELEMENTS).cast("int").alias("chunks"),
+        )
+        members = members.join(sizes, "root")
+        inside = F.col("label").eqNullSafe(F.col("main"))
+        spread = F.xxhash64("node")
+        chunk = F.when(inside, F.col("chunks") + F.pmod(spread, F.greatest("main_chunks", F.lit(1)))).otherwise(F.pmod(spread, F.greatest("chunks", F.lit(1)))).cast("int")
+        meets = F.when(inside, F.col("chunks")).otherwise(F.col("chunks") + F.col("main_chunks"))
+        members = members.select("node", "label", "copies", chunk.alias("chunk"), meets.alias("meets"))
+        blocks = texts.select("node", "root", "n_shingles", "text").join(members.hint("merge"), "node")
+        blocks = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
+        blocks = blocks.select("root", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "node", "label", "copies", "n_shingles", "text")
+        blocks = blocks.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+        found = written(linked_nodes(blocks, size, num, den, count_links), "links")
+
+        tied = found.select(F.col("node").alias("u"), F.col("label").alias("v"))
+        if stars is not None:
+            tied = tied.unionAll(stars.select(F.col("node").alias("u"), F.col("root").alias("v")))
+        final = components(tied)
+        state = nodes.join(final, "node", "left").select("node", "first", "copies", F.coalesce("root", "node").alias("root"))
+        if count_links:
+            state = state.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
+        else:
+            state = state.withColumn("links", F.lit(0))
+        state = written(state, "state")
+        named = state.groupBy("root").agg(F.min("first").alias("chosen"))
+        state = state.join(named, "root").select("node", "chosen", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+        state = written(state, "chosen", keep)
     out = sets.join(state, "node", "left")
     return out.select(
         "doc_id", "text_key", "n_shingles",
         F.when(F.col("chosen").isNull(), F.col("doc_id")).otherwise(F.col("chosen.doc_id")).alias("component_id"),
-        F.coalesce("links", F.lit(0)).alias("n_links"),
         (F.col("chosen").isNull() | (F.col("chosen.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("chosen.text_key") == F.col("text_key")))).alias("chosen"),
+        *([F.coalesce("links", F.lit(0)).alias("n_links")] if count_links else []),
     )
 
 
@@ -341,7 +445,7 @@ def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, i
     """One row of each component stays: the one with the least id. Rows without words all stay."""
     state = jaccard_components(docs, size, num, den, id_col, text, thin=True).where("chosen")
     state = state.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"), F.col("text_key").alias("__key"), (F.col("n_shingles") > 0).alias("__set")).distinct()
-    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
+    rows = docs.select(row_of(docs), F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("__id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("__key"))
     rows = rows.join(state.hint("merge"), ["__id", "__key"])
     nth = F.row_number().over(Window.partitionBy("__id", "__key").orderBy("__id", "__key"))
     return rows.withColumn("__nth", nth).where("__nth = 1 or not __set").select("__row.*")
@@ -349,7 +453,7 @@ def deduplicate(docs: DataFrame, size: int = 5, num: int = 80, den: int = 100, i
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = jaccard_components(documents(spark, sf_dir, "doc_id", "text"))
-    return out.select("doc_id", "n_shingles", "component_id", "n_links")
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE_SQL = rf"""
@@ -374,7 +478,6 @@ WITH RECURSIVE w AS (
 ), m AS (
   SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a
 )
-SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id,
-       (SELECT count(*) FROM l WHERE l.a = d.doc_id)::BIGINT AS n_links
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id
 FROM documents d LEFT JOIN n USING (doc_id) JOIN m USING (doc_id)
 """

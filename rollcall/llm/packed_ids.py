@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .prefix_tree import _spread
-from .runtime import documents, in_order, scratch, summed_before, written
+from .runtime import documents, in_order, passing, scratch, summed_before, written
 from .units import UnitMemory, bare_units, encoder, lowered_safely, special_strings, texts_with
 from .whole_tokens import load_tokenizer
 
@@ -298,6 +298,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = write_files(documents(spark, sf_dir, "doc_id", "text"), folder)
     if not made.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    made = written(summed_before(made.select("file", "n_ids"), ["file"], {"before": "n_ids"}, "packed-files").select("file", "before"), "packed-starts")
+    with passing(spark) as keep:
+        made = written(summed_before(made.select("file", "n_ids"), ["file"], {"before": "n_ids"}, "packed-files").select("file", "before"), "packed-starts", keep)
     read = read_files(spark, folder).select("file", "doc_id", "ids", "offset").mapInArrow(_digest, "file string, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return read.join(made, "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

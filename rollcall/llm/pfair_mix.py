@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .prefix_tree import _spread
-from .runtime import documents, in_order, row_of, summed_before, written
+from .runtime import documents, in_order, passing, row_of, summed_before, written
 
 BLOCK_BYTES = 1 << 20
 ROW_BYTES = 16
@@ -237,9 +237,10 @@ def plan_slots(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block_bytes: int = BLOCK_BYTES, source: str = "source", id_col: str = "doc_id", text: str = "text", stretch: int = STRETCH) -> DataFrame:
     """source, doc_id, tie (a hash of the text), block, nth (the place in the block), release, deadline and slot of each document."""
-    rows = written(_streams(docs, source, id_col, text), "streams")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("bytes"))
-    plan = written(plan_slots(_weighed(totals, weights, block_bytes), stretch), "schedule")
+    with passing(docs.sparkSession) as keep:
+        rows = written(_streams(docs, source, id_col, text), "streams", keep)
+        totals = rows.groupBy("source").agg(F.sum("size").alias("bytes"))
+        plan = written(plan_slots(_weighed(totals, weights, block_bytes), stretch), "schedule", keep)
     rows = rows.withColumn("block", F.expr(f"before div {block_bytes}"))
     joined = rows.join(plan, rows["source"].eqNullSafe(plan["of"]) & (rows["block"] == plan["at"]))
     nth = F.row_number().over(Window.partitionBy("slot").orderBy("before", "order", "doc_id", "tie"))

@@ -7,6 +7,11 @@ trie together. A walk carries the overlap of its set with the path so far, which
 all sets below the path share, and ends where the lengths of the sets below, or
 what is left of its own set and of the longest path below, can't reach the
 overlap that the threshold asks for.
+
+Who asks for components and not for links may say which pairs need not be looked at
+(sets that are known to be connected): subtrees of nothing else end a walk, too. Near copies
+lie side by side in the order of paths, so linking neighbours first joins most of
+a group at a cost that grows with the sets' sizes, not with their pairs.
 """
 
 from __future__ import annotations
@@ -90,10 +95,13 @@ class Trie:
         self.s_set = np.where(hi == self.length[row], row, -1) if len(seg) else row
         self.s_min = np.where(self.s_set >= 0, hi, np.iinfo(np.int64).max)
         self.s_max = np.where(self.s_set >= 0, hi, 0)
+        #: the sets below a segment are rows s_row .. s_end - 1
+        self.s_end = row + 1
         for s in range(len(seg) - 1, -1, -1):
             if (p := parent[s]) >= 0:
                 self.s_min[p] = min(self.s_min[p], self.s_min[s])
                 self.s_max[p] = max(self.s_max[p], self.s_max[s])
+                self.s_end[p] = max(self.s_end[p], self.s_end[s])
         order = np.argsort(parent, kind="stable")
         self.children = order
         bounds = np.searchsorted(parent[order], np.arange(-1, len(seg) + 1))
@@ -101,11 +109,34 @@ class Trie:
         roots = order[: bounds[1]]
         self.roots = roots[np.argsort(self.group[row[roots]], kind="stable")] if len(seg) else roots
 
-    def links(self, num: int, den: int):
-        """Pairs of rows (as given) whose overlap is at least num / den of their union, in arrays of some of them; each pair once."""
+    def neighbours(self, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+        """The links among pairs of rows (as given) that are next to one another in the order of paths."""
+        n = len(self.rows)
+        if n < 2:
+            return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        row = np.repeat(np.arange(n), self.length)
+        later = row > 0
+        key = ((row[later] - 1) << 32) | self.tokens[later]
+        hit = self.keys[np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)] == key
+        overlap = np.bincount(row[later], weights=hit, minlength=n).astype(np.int64)[1:]
+        linked = (self.group[1:] == self.group[:-1]) & (den * overlap >= num * (self.length[1:] + self.length[:-1] - overlap))
+        return self.rows[1:][linked], self.rows[:-1][linked]
+
+    def links(self, num: int, den: int, settled: tuple[np.ndarray, ...] = ()):
+        """Pairs of rows (as given) whose overlap is at least num / den of their union, in arrays of some of them; each pair once.
+
+        settled: arrays of a number for each row; pairs that agree in one of them are left out.
+        """
         n = len(self.rows)
         if not len(self.s_row):
             return
+        self._settled = []
+        for numbers in settled:
+            own = numbers[self.rows]
+            change = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, n)
+            # whether all sets below a segment agree
+            one = change[np.searchsorted(change, self.s_row, side="right")] >= self.s_end
+            self._settled.append((own, one))
         root_group = self.group[self.s_row[self.roots]]
         r_lo = np.searchsorted(root_group, self.group, side="left")
         r_hi = np.searchsorted(root_group, self.group, side="right")
@@ -134,6 +165,8 @@ class Trie:
             size = self.length[probe]
             # only sets before the probe's own (each pair once), and of a length that can be similar
             fit = (self.s_row[seg] < probe) & (den * self.s_max[seg] >= num * size) & (num * self.s_min[seg] <= den * size)
+            for own, one in self._settled:
+                fit &= ~(one[seg] & (own[self.s_row[seg]] == own[probe]))
             probe, seg, overlap, size = probe[fit], seg[fit], overlap[fit], size[fit]
             if not len(probe):
                 continue
@@ -144,6 +177,8 @@ class Trie:
             ends = end >= 0
             p, q, o = probe[ends], end[ends], overlap[ends]
             linked = (q < p) & (den * o >= num * (self.length[p] + self.length[q] - o))
+            for own, _ in self._settled:
+                linked &= own[p] != own[q]
             if linked.any():
                 yield self.rows[p[linked]], self.rows[q[linked]]
             last = self.tokens[self.s_start[seg] + lens - 1]

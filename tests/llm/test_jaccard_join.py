@@ -62,21 +62,48 @@ def near_copies(seed=5):
 def test_components(spark, monkeypatch, size, num, den, chunk):
     monkeypatch.setattr(jj, "CHUNK_ELEMENTS", chunk)
     data = rows() + near_copies()
-    got = jj.jaccard_components(with_clashes(frame(spark, data), "node", "links"), size, num, den).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == brute(data, size, num, den)
+    got = jj.jaccard_components(with_clashes(frame(spark, data), "node", "links"), size, num, den, count_links=True).collect()
+    want = brute(data, size, num, den)
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got), key=str) == want
+    monkeypatch.setattr(jj, "STAR_ELEMENTS", chunk)
+    got = jj.jaccard_components(with_clashes(frame(spark, data), "Node", "hub", "__row"), size, num, den, thin=size == 5).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == sorted(((d, n, c) for d, n, c, _ in want), key=str)
 
 
 def test_one_of_each_group_stays(spark):
     data = [r for r in rows() if r[0] is not None] + near_copies()
     want = brute(data, 5, 80, 100)
     empty = sum(n == 0 for _, n, _, _ in want)
-    kept = jj.deduplicate(frame(spark, data))
-    assert kept.columns == frame(spark, data).columns
+    kept = jj.deduplicate(with_clashes(frame(spark, data), "__id", "__ROW", "chosen", "a.b"))
+    assert kept.columns == frame(spark, data).columns + ["__id", "__ROW", "chosen", "a.b"]
     got = kept.collect()
     assert len(got) == empty + len({c for _, n, c, _ in want if n})
     assert {r["doc_id"] for r in got} == {d for d, n, c, _ in want if not n or d == c}
 
 
+def test_work_on_near_copies_is_linear(spark, monkeypatch):
+    """A group of near copies is sent to the trie join with at most its few outsiders, each text a fixed number of times."""
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    data = []
+    for k in range(300):
+        copy = list(base)
+        copy[rng.randrange(len(copy))] = f"x{k}"
+        data.append((k, " ".join(copy), "en", "a", 1))
+    # shares most keys with the group and doesn't link with it
+    data.append((5000, " ".join(base[:75] + [f"y{k}" for k in range(75)]), "en", "a", 1))
+    monkeypatch.setattr(jj, "CHUNK_ELEMENTS", 2000)
+    seen = []
+    joined = jj.linked_nodes
+    monkeypatch.setattr(jj, "linked_nodes", lambda blocks, *more: seen.append(blocks.select("node", "i", "j")) or joined(blocks, *more))
+    got = jj.jaccard_components(frame(spark, data)).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, c) for d, _, c, _ in brute(data, 3, 90, 100)}
+    assert max([n for _, n in seen[0].groupBy("node").count().collect() if n] or [0]) <= 23  # the outsider meets all chunks
+    assert seen[0].count() <= 2 * len(data) + 50
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert jj.jaccard_components(empty).count() == 0 and jj.deduplicate(empty).count() == 0

@@ -46,6 +46,26 @@ def test_trie_finds_every_link(seed, num, den):
     assert want
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_trie_leaves_out_what_is_settled(seed):
+    sets = _sets(seed)
+    lens, elements = _arrays(sets)
+    group = np.arange(len(sets)) % 3
+    trie = Trie(group, lens, elements)
+    every = {(max(p), min(p)) for a, b in trie.links(4, 5) for p in zip(a.tolist(), b.tolist())}
+    near = {(max(p), min(p)) for p in zip(*(x.tolist() for x in trie.neighbours(4, 5)))}
+    assert near and near <= every
+    one, two = np.arange(len(sets)) % 7, np.arange(len(sets)) // 40
+    got = {(max(p), min(p)) for a, b in trie.links(4, 5, (one, two)) for p in zip(a.tolist(), b.tolist())}
+    assert got == {(i, j) for i, j in every if one[i] != one[j] and two[i] != two[j]}
+    # what the neighbours connect needs no further look
+    labels = least_labels(np.arange(len(sets)), *trie.neighbours(4, 5))
+    full = least_labels(np.arange(len(sets)), *(np.array(x) for x in zip(*every)))
+    for a, b in trie.links(4, 5, (labels,)):
+        labels = least_labels(labels, a, b)
+    assert (labels == full).all()
+
+
 @pytest.mark.parametrize("popular", [None, 1, 2, 40])
 @pytest.mark.parametrize("num,den", [(90, 100), (80, 100)])
 @pytest.mark.parametrize("seed", [3, 4])

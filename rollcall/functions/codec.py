@@ -33,11 +33,12 @@ def decoded(bodies: DataFrame, body: str = "body", schema: T.StructType = RECORD
     """The input columns, the schema's fields, and ``error``: null, or what is wrong with the body (the fields are null then).
 
     A body must be an object without repeated keys that has all fields with their
-    types; other fields are ignored. Ids are brought to lower case.
+    types; other fields are ignored. Whole numbers have 64 bits. Ids may be written in
+    upper case, in braces, without hyphens or as a URN, and are brought to one form.
     """
-    parsed = F.try_parse_json(body)
-    rows = bodies.withColumn("__v", parsed)
-    error = F.when(F.col("__v").isNull(), "not JSON").when(~F.schema_of_variant("__v").startswith("OBJECT"), "not an object")
+    # values that a generator makes are computed once: no filter or projection above repeats them
+    rows = bodies.select("*", F.explode(F.array(F.try_parse_json(body))).alias("__v"))
+    error =F.when(F.col("__v").isNull(), "not JSON").when(~F.schema_of_variant("__v").startswith("OBJECT"), "not an object")
     for f in schema.fields:
         kind = F.schema_of_variant(F.try_variant_get("__v", f"$.{f.name}", "variant"))
         error = error.when(F.coalesce(kind, F.lit("VOID")) != _VARIANT[f.dataType.simpleString()], f"{f.name}: missing or of another type")
@@ -45,7 +46,7 @@ def decoded(bodies: DataFrame, body: str = "body", schema: T.StructType = RECORD
             error = error.when(F.try_variant_get("__v", f"$.{f.name}", "bigint") < 0, f"{f.name}: negative")
     if key:
         error = error.when(normal_id(F.try_variant_get("__v", f"$.{key}", "string")).isNull(), f"{key}: not an id")
-    rows = rows.withColumn("error", error)
+    rows = rows.drop("error").select("*", F.explode(F.array(error)).alias("error"))
     values = []
     for f in schema.fields:
         value = F.try_variant_get("__v", f"$.{f.name}", f.dataType.simpleString())
@@ -77,7 +78,7 @@ def decode_one(body: str | bytes, schema: T.StructType = RECORD, key: str | None
     want = {T.StringType(): str, T.LongType(): int, T.BooleanType(): bool}
     out = {}
     for f in schema.fields:
-        if type(value.get(f.name)) is not want[f.dataType] or (want[f.dataType] is int and value[f.name] < 0):
+        if type(value.get(f.name)) is not want[f.dataType] or (want[f.dataType] is int and not 0 <= value[f.name] < 1 << 63):
             raise CodecError(f"{f.name}: missing or of another type")
         out[f.name] = value[f.name]
     if key:

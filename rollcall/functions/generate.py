@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import NameGenerationError, PasswordError
-from .ids import keyed_id
+from .ids import keyed_id, random_id
 
 ADJECTIVES = ("amber", "brisk", "calm", "dapper", "eager", "fabled", "gentle", "hasty", "idle", "jolly", "keen", "lively", "mellow", "nimble", "opal", "plucky", "quiet", "rustic", "sunny", "tidy", "upbeat", "vivid", "witty", "zesty")
 NOUNS = ("acorn", "badger", "cedar", "dune", "ember", "falcon", "grove", "harbor", "island", "jasmine", "kettle", "lantern", "meadow", "nettle", "otter", "pebble", "quarry", "river", "saddle", "thicket", "umbrella", "valley", "willow", "yarrow")
@@ -23,6 +23,8 @@ NUMBERS, LOWERCASE = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 UPPERCASE, SYMBOLS, SPACES = LOWERCASE.upper(), "!#$%&()*+,-./:;<=>?@[]^_{}~", " "
 #: Characters that ``exclude`` leaves out because they look like others.
 SIMILAR = "iIl1Lo0O"
+#: Characters of a password at most, so that no request asks for more memory than there is.
+MAX_LENGTH = 4096
 
 
 @dataclass(frozen=True)
@@ -44,6 +46,8 @@ class PasswordConfig:
         out = ["".join(c for c in chars if not (self.exclude and c in SIMILAR)) for on, chars in pairs if on]
         if self.length < 1:
             raise PasswordError("a password has at least one character")
+        if self.length > MAX_LENGTH:
+            raise PasswordError(f"a password has at most {MAX_LENGTH} characters")
         if not out:
             raise PasswordError("no class of characters is on")
         if self.strict and self.length < len(out):
@@ -125,3 +129,13 @@ def secure_passwords(count: int, config: PasswordConfig = PasswordConfig()) -> l
     return [secure_password(config) for _ in range(count)]
 
 
+def secure_record(config: PasswordConfig = PasswordConfig(), numbered: bool = True) -> dict[str, str]:
+    """A single record that can't be guessed: a random id, a name, and a password that stands in hash as it is."""
+    return {"id": random_id(), "name": secure_name(numbered), "hash": secure_password(config)}
+
+
+def secure_records(count: int, config: PasswordConfig = PasswordConfig()) -> list[dict[str, str]]:
+    """Names are numbered; they may repeat all the same, and a store refuses a repeated one."""
+    return [secure_record(config) for _ in range(count)]
+
+

@@ -50,28 +50,40 @@ def _reasons(table: KeyedTable, rows: DataFrame, accepted: DataFrame, ordinal: s
 def insert(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal: str = ORDINAL) -> Inserted:
     """What a row-by-row insert in the order of ``ordinal`` would store and refuse.
 
-    A refused row reserves nothing: rows are decided in rounds, in which a row is
+    A refused row reserves nothing. Rows that clash with no other one, and the first of
+    each group that does, are accepted in one pass; only what is left, rows whose
+    forerunners are undecided themselves, is decided in rounds, in which a row is
     accepted if it is the first of the undecided ones in its key and in each unique
-    column, and refused if it clashes with an accepted one. Ordinals must differ.
+    column, and refused if it clashes with an accepted one. There are as many rounds as
+    the longest chain of clashes has links of that kind. Ordinals must differ.
     """
     columns = [*table.columns, ordinal]
     typed = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields], F.col(ordinal).cast("long").alias(ordinal))
-    judged = settled(_against(table, typed, stored))
-    refused = judged.where("reason is not null").select(*columns, "reason")
-    open_ = judged.where("reason is null").select(*columns)
-    accepted = open_.limit(0)
+    judged = _against(table, typed, stored)
     rules = (table.key, *table.unique)
-    while open_.limit(1).count():
-        first = open_
+    done, open_ = [], None
+    while open_ is None or not open_.isEmpty():
+        rows = judged if open_ is None else open_.withColumn("reason", F.lit(None).cast("string"))
+        # each row, and whether it is the first of its group by every rule; what is stored has refused some before
+        first = rows["reason"].isNull()
         for c in rules:
-            least = open_.groupBy(c).agg(F.min(ordinal).alias(f"__{c}"))
-            first = first.join(least, c).where(F.col(ordinal) == F.col(f"__{c}")).drop(f"__{c}")
-        first = settled(first.select(*columns))
-        rest = open_.join(first.select(ordinal), ordinal, "left_anti").select(*columns)
-        rest = settled(_against(table, rest, first))
-        accepted = accepted.unionByName(first)
-        refused = refused.unionByName(rest.where("reason is not null").select(*columns, F.lit(None).cast("string").alias("reason")))
-        open_ = rest.where("reason is null").select(*columns)
+            least = rows.where("reason is null").groupBy(F.col(c).alias(f"__{c}")).agg(F.min(ordinal).alias(f"__by_{c}"))
+            rows = rows.join(least, F.col(c) == F.col(f"__{c}"), "left")
+            first = first & (F.col(ordinal) == F.col(f"__by_{c}"))
+        rows = settled(rows.select(*columns, "reason", F.coalesce(first, F.lit(False)).alias("first")))
+        accepted = rows.where("first")
+        taken = rows.where("not first and reason is null")
+        clash = F.lit(False)
+        for c in rules:
+            taken = taken.join(accepted.select(F.col(c).alias(f"__{c}")), F.col(c) == F.col(f"__{c}"), "left")
+            clash = clash | F.col(f"__{c}").isNotNull()
+        # in each round at least the first undecided row is accepted, so rounds end
+        taken = settled(taken.select(*columns, clash.alias("clash")))
+        done.append((accepted.select(*columns), rows.where("reason is not null").select(*columns, "reason"), taken.where("clash").select(*columns, F.lit(None).cast("string").alias("reason"))))
+        open_ = taken.where("not clash").select(*columns)
+    accepted, refused = done[0][0], done[0][1].unionByName(done[0][2])
+    for more in done[1:]:
+        accepted, refused = accepted.unionByName(more[0]), refused.unionByName(more[2])
     return Inserted(table.select(accepted), _reasons(table, refused, accepted, ordinal))
 
 
@@ -89,6 +101,21 @@ def insert_all(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal:
     return out
 
 
+def check_new(table: KeyedTable, stored: DataFrame, one: DataFrame) -> None:
+    """Whether a single row may be stored: its values are looked up in the table by predicates that reach the scan."""
+    row = one.select(*table.columns).first()
+    if any(row[c] is None for c in table.required):
+        raise ConstraintViolation(f"{table.name}: the row breaks the rule on required values")
+    rules = (table.key, *table.unique)
+    meets = F.lit(False)
+    for c in rules:
+        meets = meets | (F.col(c) == F.lit(row[c]))
+    taken = stored.where(meets).select(*rules).limit(len(rules)).collect()
+    for c in rules:
+        if any(r[c] == row[c] for r in taken):
+            raise ConstraintViolation(f"{table.name}: the row breaks the rule on {c}")
+
+
 def update(table: KeyedTable, stored: DataFrame, changes: DataFrame) -> DataFrame:
     """The table after the update; keys that aren't stored change nothing. One change for each key."""
     new = table.select(changes).select(F.col(table.key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in table.others])

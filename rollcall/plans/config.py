@@ -72,11 +72,27 @@ class Connection:
 
     @classmethod
     def from_mapping(cls, values: Mapping) -> Connection:
-        """From name, pass, host (a text or a number), port, database and ssl."""
-        try:
-            return cls(str(values["name"]), Secret(str(values["pass"])), str(values["host"]), str(values["database"]), int(values["port"]), bool(values["ssl"]))
-        except (KeyError, ValueError) as e:
-            raise ConfigError(f"connection settings: {e}") from None
+        """From name, pass, database (texts), host (a text or a number), port (a number or its digits) and ssl (a truth value, or true or false as a text)."""
+        for name in ("name", "pass", "host", "database", "port", "ssl"):
+            if name not in values:
+                raise ConfigError(f"connection settings: {name} is missing")
+
+        def text(name: str, *more: type) -> str:
+            value = values[name]
+            if isinstance(value, bool) or not isinstance(value, (str, *more)):
+                raise ConfigError(f"connection settings: {name} isn't a text")
+            return str(value)
+
+        port, ssl = values["port"], values["ssl"]
+        if isinstance(port, str) and port.strip().isdecimal():
+            port = int(port)
+        if isinstance(port, bool) or not isinstance(port, int):
+            raise ConfigError(f"connection settings: not a port: {port!r}")
+        if isinstance(ssl, str) and ssl.strip().lower() in ("true", "false"):
+            ssl = ssl.strip().lower() == "true"
+        if not isinstance(ssl, bool):
+            raise ConfigError(f"connection settings: ssl is neither true nor false: {ssl!r}")
+        return cls(text("name"), Secret(text("pass")), text("host", int, float), text("database"), port, ssl)
 
     def dsn(self) -> Secret:
         """With the database. Nothing is percent-encoded."""

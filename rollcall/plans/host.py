@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -25,6 +26,11 @@ class Host:
         return Service(self.store, strict_paths)
 
 
+def bootstrap_from_env(spark: SparkSession, folder: str, reset: bool = False, env: Mapping[str, str] | None = None, dotenv: str = ".env") -> Host:
+    """As ``bootstrap``, with the connection that the environment says; a missing variable is an error before anything is made."""
+    return bootstrap(spark, Connection.from_env(env, dotenv), folder, reset)
+
+
 def bootstrap(spark: SparkSession, connection: Connection, folder: str, reset: bool = False, table: KeyedTable = GUESTS) -> Host:
     """Makes the database and the table where they are missing. With ``reset`` all that they hold is lost first."""
     log.info("database %s at %s:%d", connection.database, connection.host, connection.port)

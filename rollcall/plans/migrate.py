@@ -14,28 +14,39 @@ from ..errors import MigrationError, StoreError
 APPLIED = "_applied_migrations"
 
 
+class StatementRefused(StoreError):
+    """The catalog understood a statement and refused it."""
+
+
+def _refused(error: PySparkException) -> bool:
+    """Whether a statement was refused with a condition that Spark names; a metastore that can't be reached is another matter."""
+    condition = error.getCondition() or ""
+    return isinstance(error, (AnalysisException, ParseException)) and bool(condition) and not condition.startswith("_LEGACY_ERROR")
+
+
 def create_database(spark: SparkSession, name: str) -> None:
     """An existing one is an error."""
-    try:
-        spark.sql("CREATE DATABASE IDENTIFIER(:db)", {"db": f"`{name.replace('`', '``')}`"})
-    except PySparkException as e:
-        raise StoreError(f"can't create {name}: {e.getCondition()}") from e
+    _database(spark, "CREATE DATABASE IDENTIFIER(:db)", name)
 
 
 def drop_database(spark: SparkSession, name: str) -> None:
     """With all that is in it; a missing one is an error."""
+    _database(spark, "DROP DATABASE IDENTIFIER(:db) CASCADE", name)
+
+
+def _database(spark: SparkSession, statement: str, name: str) -> None:
     try:
-        spark.sql("DROP DATABASE IDENTIFIER(:db) CASCADE", {"db": f"`{name.replace('`', '``')}`"})
+        spark.sql(statement, {"db": f"`{name.replace('`', '``')}`"})
     except PySparkException as e:
-        raise StoreError(f"can't drop {name}: {e.getCondition()}") from e
+        raise (StatementRefused if _refused(e) else StoreError)(f"{statement.split()[0].lower()} {name}: {e.getCondition()}") from e
 
 
 def try_drop_database(spark: SparkSession, name: str) -> bool:
-    """Whether it was dropped; a refused statement is no error."""
+    """Whether it was dropped. A refused statement is no error; that the catalog can't be reached is one."""
     try:
         drop_database(spark, name)
         return True
-    except StoreError:
+    except StatementRefused:
         return False
 
 

@@ -54,6 +54,8 @@ GUESTS = KeyedTable("guests", RECORD, "id", ("name",))
 
 
 def normal_id(column: Column) -> Column:
-    """The canonical form of an id: lower case; null if it isn't one."""
-    low = F.lower(column)
-    return F.when(low.rlike(ID_PATTERN), low)
+    """The canonical form of an id, lower case with hyphens, from any form that ``ids.parsed_id`` takes; null if it isn't one."""
+    digits = F.replace(F.replace(column, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
+    digits = F.replace(F.regexp_replace(digits, r"^[{}]+|[{}]+$", ""), F.lit("-"), F.lit(""))
+    low = F.lower(digits)
+    return F.when(low.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *[F.substring(low, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))

@@ -1,7 +1,14 @@
-"""A keyed table in a database that Spark reaches by JDBC and that holds the rules itself."""
+"""A keyed table in a database that Spark reaches by JDBC and that holds the rules itself.
+
+Batches go to a staging table first, over many connections, and from there into the
+table by one statement, so the database takes all of a batch or none of it.
+"""
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -9,67 +16,189 @@ from pyspark.sql import functions as F
 from ..errors import ConstraintViolation, StoreError
 from ..operators import reads
 from ..schema import GUESTS, KeyedTable
+from .store import values_of
+
+#: Options that are for Spark's source; all others belong to the driver's connection.
+SPARK_OPTIONS = frozenset(
+    "url dbtable query driver numpartitions partitioncolumn lowerbound upperbound batchsize fetchsize isolationlevel sessioninitstatement truncate cascadetruncate "
+    "createtableoptions createtablecolumntypes customschema pushdownpredicate pushdownaggregate pushdownlimit pushdownoffset pushdowntablesample keytab principal "
+    "refreshkrb5config connectionprovider preparequery querytimeout prefertimestampntz hint".split()
+)
+#: Class of SQL states of broken constraints.
+VIOLATION = "23"
+#: First characters of keys at which a scan is split.
+DIGITS = "0123456789abcdef"
+
+
+def _state(error: Exception) -> tuple[str, str]:
+    """The SQL state and the message of what a driver threw, or of the first cause that has a state; the state may be empty."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    message = ""
+    while cause is not None:
+        message = message or str(cause.getMessage())
+        state = cause.getSQLState() if hasattr(cause, "getSQLState") and _is_sql(cause) else None
+        if state:
+            return str(state), str(cause.getMessage())
+        cause = cause.getCause()
+    return "", message or str(error).splitlines()[0]
+
+
+def _is_sql(cause) -> bool:
+    kind = cause.getClass()
+    while kind is not None:
+        if kind.getName() == "java.sql.SQLException":
+            return True
+        kind = kind.getSuperclass()
+    return False
 
 
 class JdbcStore:
-    """Reads push the key's predicate and the columns down. Appends go through the source; the database refuses what breaks a rule."""
+    """Reads push the key's predicate and the columns down; a full scan runs over ``partitions`` ranges of keys side by side."""
+
+    def __init__(self, spark: SparkSession, options: dict[str, str], table: KeyedTable = GUESTS, partitions: int | None = None):
+        self.spark, self.options, self.table = spark, dict(options), table
+        self.partitions = min(len(DIGITS), max(1, int(partitions if partitions is not None else self.options.get("numPartitions", 1))))
 
-    def __init__(self, spark: SparkSession, options: dict[str, str], table: KeyedTable = GUESTS):
-        self.spark, self.options, self.table = spark, options, table
+    @classmethod
+    def from_connection(cls, spark: SparkSession, connection, table: KeyedTable = GUESTS, **more: str) -> JdbcStore:
+        """From connection settings (``plans.config.Connection``); ``more`` are options that add to theirs."""
+        return cls(spark, connection.jdbc() | more, table)
 
     def create(self, key_type: str = "VARCHAR(36)", text_type: str = "VARCHAR(1000)") -> None:
-        columns = [f"{self.table.key} {key_type} NOT NULL PRIMARY KEY"] + [f"{c} {text_type} NOT NULL{' UNIQUE' if c in self.table.unique else ''}" for c in self.table.others]
-        self._run(f"CREATE TABLE {self.table.name} ({', '.join(columns)})")
+        self._run(f"CREATE TABLE {self.table.name} ({self._columns(key_type, text_type, True)})")
+
+    def _columns(self, key_type: str, text_type: str, rules: bool) -> str:
+        key = f"{self.table.key} {key_type}" + (" NOT NULL PRIMARY KEY" if rules else "")
+        return ", ".join([key] + [f"{c} {text_type}" + (f" NOT NULL{' UNIQUE' if c in self.table.unique else ''}" if rules else "") for c in self.table.others])
 
     def drop(self) -> None:
         self._run(f"DROP TABLE {self.table.name}")
 
-    def _run(self, sql: str, *values: str) -> int:
+    def connection_properties(self) -> dict[str, str]:
+        """What the driver is given on every connection, Spark's or this one's own: credentials, TLS and all else that isn't for Spark."""
+        return {k: str(v) for k, v in self.options.items() if k.lower() not in SPARK_OPTIONS}
+
+    def _run(self, sql: str, *values: str | None) -> int:
         """A statement on the driver's own connection; the values are bound."""
+        return self._run_all([(sql, values)])[0]
+
+    def _run_all(self, statements: list[tuple[str, tuple]]) -> list[int]:
+        """Statements in one transaction."""
         jvm = self.spark.sparkContext._jvm
-        if "driver" in self.options:
-            jvm.java.lang.Class.forName(self.options["driver"])
         properties = jvm.java.util.Properties()
-        for k in ("user", "password"):
-            if k in self.options:
-                properties.setProperty(k, self.options[k])
+        for k, v in self.connection_properties().items():
+            properties.setProperty(k, v)
         try:
+            if "driver" in self.options:
+                jvm.java.lang.Class.forName(self.options["driver"])
             connection = jvm.java.sql.DriverManager.getConnection(self.options["url"], properties)
             try:
-                statement = connection.prepareStatement(sql)
-                for i, v in enumerate(values):
-                    statement.setString(i + 1, v)
-                return statement.executeUpdate()
+                connection.setAutoCommit(False)
+                counts = []
+                for sql, values in statements:
+                    statement = connection.prepareStatement(sql)
+                    for i, v in enumerate(values):
+                        statement.setString(i + 1, v)
+                    counts.append(statement.executeUpdate())
+                    statement.close()
+                connection.commit()
+                return counts
+            except Py4JJavaError:
+                connection.rollback()
+                raise
             finally:
                 connection.close()
-        except Exception as e:
-            text = str(e)
-            raise (ConstraintViolation if "onstraint" in text else StoreError)(text.splitlines()[1 if "\n" in text else 0]) from e
+        except Py4JJavaError as e:
+            raise self._error(e) from e
+
+    def _error(self, error: Exception) -> StoreError:
+        state, message = _state(error)
+        return (ConstraintViolation if state.startswith(VIOLATION) else StoreError)(f"{self.table.name}: {message}")
+
+    def _ranges(self) -> list[str]:
+        """Predicates that cut the keys, ids in lower or upper case or anything else, into ranges; each row meets one of them."""
+        key, n = self.table.key, self.partitions
+        cuts = [DIGITS[len(DIGITS) * k // n] for k in range(1, n)]
+        if not cuts:
+            return []
+        inner = [f"{key} >= '{a}' AND {key} < '{b}'" for a, b in zip(cuts, cuts[1:])]
+        return [f"{key} < '{cuts[0]}'", *inner, f"{key} >= '{cuts[-1]}' OR {key} IS NULL"]
 
     def get_all(self) -> DataFrame:
-        read = self.spark.read.format("jdbc").options(**self.options).option("dbtable", self.table.name).load()
+        read = self.spark.read
+        if ranges := self._ranges():
+            own = {k: str(v) for k, v in self.options.items() if k.lower() not in ("url", "dbtable", "numpartitions")}
+            read = read.jdbc(self.options["url"], self.table.name, predicates=ranges, properties=own)
+        else:
+            read = read.format("jdbc").options(**self.options).option("dbtable", self.table.name).load()
+        return self._named(read)
+
+    def _named(self, read: DataFrame) -> DataFrame:
         # some databases give names back in upper case
         names = {c.lower(): c for c in read.columns}
         return read.select(*[F.col(names[c.lower()]).alias(c) for c in self.table.columns])
 
     def get(self, key: str) -> Row:
-        return reads.lookup_one(self.table, self.get_all(), key)
+        one = self.spark.read.format("jdbc").options(**self.options).option("dbtable", self.table.name).load()
+        return reads.lookup_one(self.table, self._named(one), key)
 
-    def insert_many(self, rows: DataFrame) -> None:
-        try:
-            self.table.select(rows).write.format("jdbc").options(**self.options).option("dbtable", self.table.name).mode("append").save()
-        except PySparkException as e:
-            raise ConstraintViolation(f"{self.table.name}: the database refused a row") from e
+    # a record at a time
 
-    def insert(self, record: dict) -> Row:
-        marks = ", ".join("?" * len(self.table.columns))
-        self._run(f"INSERT INTO {self.table.name} ({', '.join(self.table.columns)}) VALUES ({marks})", *[record[c] for c in self.table.columns])
-        return self.get(record[self.table.key])
+    def insert(self, record: dict | Row) -> Row:
+        values = values_of(self.table, record)
+        marks = ", ".join("?" * len(values))
+        self._run(f"INSERT INTO {self.table.name} ({', '.join(values)}) VALUES ({marks})", *values.values())
+        return self.get(values[self.table.key])
 
-    def update(self, record: dict) -> dict:
+    def update(self, record: dict | Row) -> dict | Row:
+        values = values_of(self.table, record)
         sets = ", ".join(f"{c} = ?" for c in self.table.others)
-        self._run(f"UPDATE {self.table.name} SET {sets} WHERE {self.table.key} = ?", *[record[c] for c in self.table.others], record[self.table.key])
+        self._run(f"UPDATE {self.table.name} SET {sets} WHERE {self.table.key} = ?", *[values[c] for c in self.table.others], values[self.table.key])
         return record
 
-    def delete(self, record: dict) -> None:
-        self._run(f"DELETE FROM {self.table.name} WHERE {self.table.key} = ?", record[self.table.key])
+    def delete(self, record: dict | Row) -> None:
+        self._run(f"DELETE FROM {self.table.name} WHERE {self.table.key} = ?", values_of(self.table, record)[self.table.key])
+
+    # batches
+
+    def _staged(self, rows: DataFrame, statements: list[str], columns: list[str]) -> list[int]:
+        """Writes the columns of the rows to a staging table, runs statements that read it as {staged} in one transaction, and drops it."""
+        staged = f"{self.table.name}_{uuid.uuid4().hex[:12]}"
+        types = {self.table.key: "VARCHAR(36)"} | {c: "VARCHAR(1000)" for c in self.table.others}
+        self._run(f"CREATE TABLE {staged} ({', '.join(f'{c} {types[c]}' for c in columns)})")
+        try:
+            try:
+                rows.write.format("jdbc").options(**self.options).option("dbtable", staged).mode("append").save()
+            except (PySparkException, Py4JJavaError) as e:
+                raise self._error(e) from e
+            return self._run_all([(s.format(staged=staged), ()) for s in statements])
+        finally:
+            self._run(f"DROP TABLE {staged}")
+
+    def _whole(self, rows: DataFrame) -> DataFrame:
+        """The table's columns of the rows. A missing value is refused here: not every driver takes a null as the type that Spark gives it."""
+        rows = self.table.select(rows)
+        if not rows.where(~self.table.complete()).isEmpty():
+            raise ConstraintViolation(f"{self.table.name}: a row breaks the rule on required values")
+        return rows
+
+    def insert_many(self, batch: DataFrame) -> int:
+        """Stores all rows of the batch or none, and returns their number."""
+        columns = ", ".join(self.table.columns)
+        return self._staged(self._whole(batch), [f"INSERT INTO {self.table.name} ({columns}) SELECT {columns} FROM {{staged}}"], self.table.columns)[0]
+
+    def update_many(self, changes: DataFrame) -> int:
+        """Returns how many records were stored under the keys. One change for each key; all are made or none."""
+        key, name = self.table.key, self.table.name
+        rows = self._whole(changes)
+        if rows.groupBy(key).count().where("count > 1").limit(1).count():
+            raise StoreError("a batch of updates has one row for each key")
+        columns = ", ".join(self.table.columns)
+        stored = f"{key} IN (SELECT {key} FROM {name})"
+        # in the changed rows all other columns are new, so rows can be exchanged
+        return self._staged(rows, [f"DELETE FROM {{staged}} WHERE NOT {stored}", f"DELETE FROM {name} WHERE {key} IN (SELECT {key} FROM {{staged}})", f"INSERT INTO {name} ({columns}) SELECT {columns} FROM {{staged}}"], self.table.columns)[2]
+
+    def delete_many(self, keys: DataFrame) -> int:
+        key = self.table.key
+        rows = keys.select(F.col(key).cast(self.table.schema[key].dataType).alias(key)).distinct()
+        return self._staged(rows, [f"DELETE FROM {self.table.name} WHERE {key} IN (SELECT {key} FROM {{staged}})"], [key])[0]

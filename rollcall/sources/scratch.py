@@ -5,18 +5,30 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
+_own: dict[str, str] = {}
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, checkpointed. A folder is set only where none is: a temporary one in a local session, one beside the tables on a cluster."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if context.master.startswith("local") and not context.master.startswith("local-"):
+
+def _folder(df: DataFrame) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder in a local session, one beside the tables on a cluster."""
+    spark = df.sparkSession
+    if given := spark.conf.get("spark.checkpoint.dir", None):
+        return given.rstrip("/")
+    context = spark.sparkContext
+    if context.master.startswith("local") and not context.master.startswith("local-"):
+        if context.applicationId not in _own:
             path = tempfile.mkdtemp(prefix="rollcall-")
             atexit.register(shutil.rmtree, path, ignore_errors=True)
-        else:
-            path = df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
-        context.setCheckpointDir(path)
-    return df.checkpoint()
+            _own[context.applicationId] = f"file://{path}"
+        return _own[context.applicationId]
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """The rows, computed once, written and read again; no lineage is left that a lost executor would have to repeat."""
+    path = f"{_folder(df)}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,11 +1,13 @@
 """A keyed table in versioned Parquet snapshots.
 
-Each write makes a new version beside the old ones: the number after the version
-that was read is claimed by creating its claim file, which only one writer can,
-then the rows are written, then the version is committed by another file. Readers
+A version is a list of folders. An insert adds a folder of the new rows alone and lists
+the old ones again; an update or delete writes the rows anew, and so does an insert
+that would list more than ``MAX_FOLDERS``. The number after the version that was read
+is claimed by creating its claim file, which only one writer can, then the rows are
+written, then the list, then the version is committed by another file. Readers
 take the highest committed version and keep reading it while others write. Files
 are made through Hadoop's file systems, so any shared store that can create a file
-exclusively will do. A write copies the table; batches are what it is made for.
+exclusively will do. An update or delete copies the table; batches are what it is made for.
 """
 
 from __future__ import annotations
@@ -17,13 +19,17 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from ..errors import StoreError, WriteConflict
 from ..operators import reads, writes
 from ..schema import GUESTS, KeyedTable
+from .store import rows_of, values_of
+
+#: Folders that a version lists at most.
+MAX_FOLDERS = 64
 
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, path: str, table: KeyedTable = GUESTS):
         self.spark, self.path, self.table = spark, path.rstrip("/"), table
         jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
+        self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     def _marks(self, kind: str) -> list[int]:
@@ -36,6 +42,24 @@ class SnapshotStore:
         self._fs.mkdirs(self._path(f"{self.path}/_{kind}"))
         return self._fs.createNewFile(self._path(f"{self.path}/_{kind}/{n}"))
 
+    def _list(self, n: int, folders: list[str]) -> None:
+        out = self._fs.create(self._path(f"{self.path}/_lists/{n}"), True)
+        try:
+            out.writeBytes("\n".join(folders))
+        finally:
+            out.close()
+
+    def folders(self, version: int) -> list[str]:
+        """The folders that a version lists."""
+        where = self._path(f"{self.path}/_lists/{version}")
+        if not self._fs.exists(where):
+            return [f"v{version}"]
+        stream = self._fs.open(where)
+        try:
+            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+        finally:
+            stream.close()
+
     def version(self) -> int:
         """The last committed version; 0 before the first."""
         return max(self._marks("commits"), default=0)
@@ -50,12 +74,15 @@ class SnapshotStore:
         """Removes the table, if there is one."""
         self._fs.delete(self._path(self.path), True)
 
+    def _give_up(self, n: int) -> None:
+        for where in (f"v{n}", f"_lists/{n}", f"_claims/{n}"):
+            self._fs.delete(self._path(f"{self.path}/{where}"), True)
+
     def recover(self) -> list[int]:
         """Gives up versions that were claimed but never committed; call it when no writer is at work."""
         stale = sorted(set(self._marks("claims")) - set(self._marks("commits")))
         for n in stale:
-            self._fs.delete(self._path(f"{self.path}/v{n}"), True)
-            self._fs.delete(self._path(f"{self.path}/_claims/{n}"), False)
+            self._give_up(n)
         return stale
 
     def read(self, version: int | None = None) -> DataFrame:
@@ -63,29 +90,34 @@ class SnapshotStore:
         n = self.version() if version is None else version
         if not n:
             raise StoreError(f"{self.path} holds no table")
-        return self.spark.read.schema(self.table.schema).parquet(f"{self.path}/v{n}")
+        return self.spark.read.schema(self.table.schema).parquet(*[f"{self.path}/{x}" for x in self.folders(n)])
 
     def replace(self, rows: DataFrame, base: int) -> int:
         """Commits rows as the version after ``base``; another writer that was first is an error. Rows are sorted by key for pruning."""
+        return self._commit(rows, base, [])
+
+    def append(self, rows: DataFrame, base: int) -> int:
+        """Commits the rows of ``base`` and these besides; only these are written."""
+        return self._commit(rows, base, self.folders(base))
+
+    def _commit(self, rows: DataFrame, base: int, kept: list[str]) -> int:
         n = base + 1
         if self.version() != base or not self._mark("claims", n):
             raise WriteConflict(f"version {n} of {self.path} is taken")
         try:
-            ordered = self.table.select(rows)
-            ordered.sortWithinPartitions(self.table.key).write.parquet(f"{self.path}/v{n}")
+            self.table.select(rows).sortWithinPartitions(self.table.key).write.parquet(f"{self.path}/v{n}")
+            self._list(n, [*kept, f"v{n}"])
             self._mark("commits", n)
         except BaseException:
-            self._fs.delete(self._path(f"{self.path}/v{n}"), True)
-            self._fs.delete(self._path(f"{self.path}/_claims/{n}"), False)
+            self._give_up(n)
             raise
         return n
 
     # a record at a time
 
     def _frame(self, rows: Iterable[dict | Row]) -> DataFrame:
-        values = [tuple((r.asDict() if isinstance(r, Row) else r).get(c) for c in self.table.columns) for r in rows]
         schema = "struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in self.table.schema.fields) + ",ordinal:bigint>"
-        return self.spark.createDataFrame([(*v, k) for k, v in enumerate(values)], schema)
+        return self.spark.createDataFrame([(*v, k) for k, v in enumerate(rows_of(self.table, rows))], schema).coalesce(1)
 
     def get(self, key: str) -> Row:
         return reads.lookup_one(self.table, self.read(), key)
@@ -95,8 +127,11 @@ class SnapshotStore:
 
     def insert(self, record: dict | Row) -> Row:
         """Stores a record and returns it as stored."""
-        self.insert_many(self._frame([record]))
-        return self.get((record.asDict() if isinstance(record, Row) else record)[self.table.key])
+        base = self.version()
+        one = self._frame([record])
+        writes.check_new(self.table, self.read(base), one)
+        self._append(one, base)
+        return self.get(values_of(self.table, record)[self.table.key])
 
     def update(self, record: dict | Row) -> dict | Row:
         """Changes the record of the same key, if there is one, and returns the input."""
@@ -109,12 +144,19 @@ class SnapshotStore:
 
     # batches
 
+    def _append(self, rows: DataFrame, base: int) -> None:
+        if len(self.folders(base)) < MAX_FOLDERS:
+            self.append(rows, base)
+        else:
+            self.replace(self.table.select(self.read(base)).unionByName(self.table.select(rows)), base)
+
     def insert_many(self, batch: DataFrame, ordinal: str = "ordinal") -> writes.Inserted:
-        """Stores all rows of the batch or none."""
+        """Stores all rows of the batch or none. Without a column of that name, the rows have no order, which then doesn't matter: any clash is an error."""
         base = self.version()
-        stored = self.read(base)
-        done = writes.insert_all(self.table, stored, batch, ordinal)
-        self.replace(writes.insert_state(self.table, stored, done), base)
+        if ordinal not in batch.columns:
+            batch = batch.selectExpr("*", f"monotonically_increasing_id() AS {ordinal}")
+        done = writes.insert_all(self.table, self.read(base), batch, ordinal)
+        self._append(done.accepted, base)
         return done
 
     def update_many(self, changes: DataFrame) -> int:

@@ -42,3 +42,16 @@ import __spark_entry__ as e
 assert len(e.queries()) >= 22 and "pipeline" not in e.queries() and "flagship" in e.oracle_sql()
 """
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_an_empty_folder_is_no_corpus(tmp_path):
+    """What a removal may leave, a folder with compiled files alone, counts as removed."""
+    import shutil
+
+    for x in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if (ROOT / x).exists():
+            shutil.copy(ROOT / x, tmp_path / x)
+    shutil.copytree(ROOT / "rollcall", tmp_path / "rollcall", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    (tmp_path / "rollcall" / "llm" / "__pycache__").mkdir(parents=True)
+    code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and 'flagship' in e.queries()"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)

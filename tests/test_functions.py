@@ -88,3 +88,41 @@ def test_encode(spark):
     body = rows.select(codec.encoded().alias("b")).first()["b"]
     assert body == codec.encode_one(rows.first().asDict()) and codec.decode_one(body)["name"] == 'a "b"'
     assert codec.encoded_list(rows.limit(0)).first()["body"] == "[]"
+
+
+def test_secure_record_and_bounded_length():
+    from rollcall.functions.ids import parsed_id
+
+    one, two = generate.secure_records(2)
+    assert set(one) == {"id", "name", "hash"} and one["id"] != two["id"] and parsed_id(one["id"]) == one["id"]
+    assert len(generate.secure_record(PasswordConfig(20))["hash"]) == 20
+    with pytest.raises(PasswordError):
+        generate.secure_password(PasswordConfig(10**9))
+
+
+def test_batch_and_single_decoding_agree_on_ids_and_numbers(spark):
+    import json
+
+    from rollcall.errors import CodecError
+    from rollcall.functions import codec
+    from rollcall.schema import PASSWORD_CONFIG
+
+    ids = ["a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab", "A1D0C6E8-3C5E-4B7A-9D2F-0123456789AB", "{a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab}", "a1d0c6e83c5e4b7a9d2f0123456789ab", "urn:uuid:a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab", "a1d0", "", "g" * 32]
+    rows = spark.createDataFrame([(k, json.dumps({"id": x, "name": "n", "hash": "h"})) for k, x in enumerate(ids)], "k int, body string")
+    got = {r["k"]: r["id"] for r in codec.decoded(rows).collect()}
+    for k, x in enumerate(ids):
+        try:
+            want = codec.decode_one(json.dumps({"id": x, "name": "n", "hash": "h"}))["id"]
+        except CodecError:
+            want = None
+        assert got[k] == want, x
+    config = {"length": 8, "numbers": True, "lowercase": True, "uppercase": False, "symbols": False, "spaces": False, "exclude": False, "strict": False}
+    for length in (8, -1, 2**63 - 1, 2**63, 2**70):
+        body = json.dumps(config | {"length": length})
+        batch = codec.decoded(spark.createDataFrame([(body,)], "body string"), "body", PASSWORD_CONFIG, None).first()["error"] is None
+        try:
+            codec.decode_one(body, PASSWORD_CONFIG, None)
+            single = True
+        except CodecError:
+            single = False
+        assert batch == single, length

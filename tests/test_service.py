@@ -4,6 +4,7 @@ import re
 import pytest
 
 from rollcall.errors import ConfigError, MigrationError, StoreError
+from rollcall.functions import generate
 from rollcall.functions.ids import random_id
 from rollcall.plans import migrate as db
 from rollcall.plans.config import Connection, Secret
@@ -108,3 +109,32 @@ def test_connection(tmp_path):
     assert Connection.from_mapping({"name": "u", "pass": "p", "host": 12, "database": "d", "port": "99", "ssl": True}).host == "12"
     with pytest.raises(ConfigError):
         Connection("u", Secret("p"), "h", "d", 70000)
+
+
+def test_settings_are_read_strictly():
+    good = {"name": "u", "pass": "p", "host": "h", "database": "d", "port": 5432, "ssl": "false"}
+    assert Connection.from_mapping(good).ssl is False and Connection.from_mapping(good | {"ssl": "TRUE"}).ssl is True
+    for bad in ({"ssl": "no"}, {"ssl": 1}, {"ssl": None}, {"port": None}, {"port": "x"}, {"port": 70000}, {"port": True}, {"name": None}):
+        with pytest.raises(ConfigError):
+            Connection.from_mapping(good | bad)
+
+
+def test_only_refused_statements_are_tolerated(spark, monkeypatch):
+    from pyspark.errors import AnalysisException
+
+    class Broken:
+        def sql(self, *_):
+            raise AnalysisException("the metastore can't be reached")
+
+    with pytest.raises(StoreError):
+        db.try_drop_database(Broken(), "x")
+
+
+def test_stream(host):
+    import json
+
+    service = host.service()
+    assert "".join(service.stream_all()) == "[]"
+    for name in ("a", "b"):
+        host.store.insert(generate.secure_record() | {"name": name})
+    assert sorted(x["name"] for x in json.loads("".join(service.stream_all()))) == ["a", "b"]

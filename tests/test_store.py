@@ -4,6 +4,7 @@ from rollcall.errors import ConstraintViolation, NotFound, StoreError, WriteConf
 from rollcall.functions.ids import random_id
 from rollcall.sources.jdbc import JdbcStore
 from rollcall.sources.snapshot import SnapshotStore
+from rollcall.sources.store import Store
 
 
 @pytest.fixture
@@ -84,6 +85,98 @@ def test_create_twice(store):
         store.create()
 
 
+def test_an_insert_writes_its_rows_alone(store, spark):
+    a, b = _record("a"), _record("b")
+    store.insert(a)
+    store.insert_many(spark.createDataFrame([tuple(b.values())], "id string, name string, hash string"))
+    n = store.version()
+    assert store.folders(n) == ["v1", "v2", "v3"] and spark.read.parquet(f"{store.path}/v{n}").count() == 1
+    assert sorted(r["name"] for r in store.get_all().collect()) == ["a", "b"]
+    store.update(a | {"hash": "new"})
+    assert store.folders(store.version()) == ["v4"] and store.get(a["id"])["hash"] == "new"
+
+
+def test_long_lists_are_written_anew(store, monkeypatch):
+    from rollcall.sources import snapshot
+
+    monkeypatch.setattr(snapshot, "MAX_FOLDERS", 3)
+    for name in "abcd":
+        store.insert(_record(name))
+    assert len(store.folders(store.version())) <= 3 and store.get_all().count() == 4
+
+
+OPTIONS = {"url": "jdbc:derby:memory:{name};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+
+
+@pytest.fixture(params=["snapshot", "jdbc", "jdbc-ranges"])
+def any_store(request, spark, tmp_path):
+    if request.param == "snapshot":
+        out = SnapshotStore(spark, f"file://{tmp_path}/guests")
+    else:
+        out = JdbcStore(spark, OPTIONS | {"url": OPTIONS["url"].format(name=random_id()[:8])}, partitions=5 if request.param == "jdbc-ranges" else 1)
+    out.create()
+    yield out
+    out.drop()
+
+
+def test_every_store_keeps_the_contract(spark, any_store):
+    store = any_store
+    assert isinstance(store, Store)
+    frame = lambda *records: spark.createDataFrame([tuple(r[c] for c in ("id", "name", "hash")) for r in records], "id string, name string, hash string")
+    a, b, c, d = (_record(x) for x in "abcd")
+    assert store.insert(a).asDict() == a
+    store.insert_many(frame(b, c))
+    names = lambda: sorted(r["name"] for r in store.get_all().collect())
+    assert names() == ["a", "b", "c"]
+    # a batch is stored whole or not at all, a record that breaks a rule never
+    for bad in (_record("a"), a | {"name": "z"}, d | {"hash": None}):
+        with pytest.raises(ConstraintViolation):
+            store.insert(bad)
+        with pytest.raises(ConstraintViolation):
+            store.insert_many(frame(d, bad))
+        assert names() == ["a", "b", "c"]
+    with pytest.raises(NotFound):
+        store.get(d["id"])
+    assert store.update(d) == d and names() == ["a", "b", "c"]
+    # names may be exchanged by a batch
+    assert store.update_many(frame(a | {"name": "b"}, b | {"name": "a"}, d)) == 2
+    assert store.get(a["id"])["name"] == "b" and names() == ["a", "b", "c"]
+    with pytest.raises(ConstraintViolation):
+        store.update_many(frame(a | {"name": "c"}))
+    with pytest.raises(StoreError):
+        store.update_many(frame(a, a))
+    assert store.delete_many(frame(a, d).select("id")) == 1 and names() == ["a", "c"]
+    store.delete({"id": b["id"]})
+    store.delete(d)
+    assert [r.asDict() for r in store.get_all().collect()] == [c]
+
+
+def test_connection_options_reach_every_statement(spark):
+    from rollcall.plans.config import Connection, Secret
+
+    store = JdbcStore.from_connection(spark, Connection("u", Secret("p"), "h", "d", ssl=True), fetchsize="10")
+    given = store.connection_properties()
+    assert given["sslmode"] == "require" and given["user"] == "u" and given["password"] == "p" and "ApplicationName" in given
+    assert not {"url", "numPartitions", "fetchsize", "driver"} & set(given)
+    assert store.partitions == 5
+
+
+def test_a_database_out_of_reach_is_no_violation(spark):
+    store = JdbcStore(spark, {"url": "jdbc:derby:memory:nothing-here", "driver": OPTIONS["driver"]})
+    for call in (lambda: store.insert(_record("a")), lambda: store.insert_many(spark.createDataFrame([("a", "b", "c")], "id string, name string, hash string"))):
+        with pytest.raises(StoreError) as e:
+            call()
+        assert not isinstance(e.value, ConstraintViolation)
+
+
+def test_ranges_of_keys_meet_each_row_once(spark):
+    for n in (1, 2, 5, 16):
+        store = JdbcStore(spark, dict(OPTIONS), partitions=n)
+        keys = spark.createDataFrame([(x,) for x in ["", "0", "0a", "3f", "9", "A1", "a", "b0", "f", "ff", "zz", "é"]] + [(None,)], "id string")
+        ranges = store._ranges() or ["true"]
+        assert [sum(bool(r[k]) for k in range(len(ranges))) for r in keys.selectExpr(*ranges).collect()] == [1] * 13
+
+
 def test_jdbc(spark, tmp_path):
     options = {"url": "jdbc:derby:memory:rollcall;create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
     store = JdbcStore(spark, options)

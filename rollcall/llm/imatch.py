@@ -43,7 +43,7 @@ SUBSETS = len(DENSITIES)
 #: Hex digits of a subset's hash; dashes stand for a subset without terms.
 DIGITS = 8
 #: Bytes of text that a task orders by id, about; each such range is two numbers that are broadcast.
-RANGE_BYTES = 64 << 20
+RANGE_BYTES = 16 << 20
 #: Terms of a lexicon, at most.
 MAX_TERMS = 1 << 26
 

@@ -43,7 +43,7 @@ PACKED_BLOCKS = 256
 #: A file is closed when it has so many ids.
 FILE_IDS = 1_000_000
 #: Bytes of texts that a task writes, about.
-TASK_BYTES = 64 << 20
+TASK_BYTES = 16 << 20
 #: Bytes of texts that are encoded at a time.
 ENCODED_BYTES = 1 << 20
 ESCAPE = 15

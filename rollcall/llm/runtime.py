@@ -19,7 +19,7 @@ _made: list[str] = []
 #: Bytes of a table that is sent whole to every executor, at most.
 BROADCAST_BYTES = 64 << 20
 #: Bytes of rows in a range of ``in_order``, about.
-PART_BYTES = 32 << 20
+PART_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

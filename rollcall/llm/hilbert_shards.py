@@ -10,7 +10,10 @@
 4. Shard and slot follow from the rank. Shard sizes differ by one row at most (law
    ``rows``). Files are written shard by shard.
 
-A task's share is about ``part_bytes`` at any size of the table; of the ranges, two
+There are as many ranges as the table's bytes over ``part_bytes``, so a task's share doesn't
+grow with the table. Ranges hold about as many rows each, and not bytes: where the length
+is a dimension, long texts lie side by side, and a range of them holds more than ``part_bytes``
+by as much as they are longer than the average. Of the ranges, two
 numbers each are counted and summed. Defined cases: null dimension values lie in the first
 cell, null ids come first, a null text has no bytes. Rows that agree in place, id and
 text come in the order in which they are read, so they may be any part of the table. Of an

@@ -120,7 +120,10 @@ def schema_with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
 
 
 def in_order(df: DataFrame, n_bytes: int, *keys: str, part_bytes: int = PART_BYTES) -> DataFrame:
-    """The rows in ranges of the keys, sorted; as many ranges as their bytes ask for, so a task's share doesn't grow with the table."""
+    """The rows in ranges of the keys, sorted; as many ranges as their bytes ask for, so a task's share doesn't grow with the table.
+
+    Ranges are drawn by rows: keys that go with the size of rows make ranges of unequal bytes.
+    """
     parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-int(n_bytes) // part_bytes))
     return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 

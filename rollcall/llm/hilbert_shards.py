@@ -5,20 +5,20 @@
 2. The cells' places on a Hilbert curve order the rows: neighbours on the curve
    are neighbours in every dimension, so a file of a run of it has narrow bounds
    in all of them and readers can skip it. Ties are ordered by id and text.
-3. Rows are sorted by range, in as many ranges as their bytes ask for, and written
-   with their range and place in it. The ranges' counts then give the rank of each row.
+3. Places, ids and sizes alone are sorted first, to find where ranges of ``part_bytes``
+   begin. Rows are then dealt to their ranges, sorted there, and written with their range
+   and place in it. The ranges' counts give the rank of each row.
 4. Shard and slot follow from the rank. Shard sizes differ by one row at most (law
    ``rows``). Files are written shard by shard.
 
-There are as many ranges as the table's bytes over ``part_bytes``, so a task's share doesn't
-grow with the table. Ranges hold about as many rows each, and not bytes: where the length
-is a dimension, long texts lie side by side, and a range of them holds more than ``part_bytes``
-by as much as they are longer than the average. Of the ranges, two
-numbers each are counted and summed. Defined cases: null dimension values lie in the first
-cell, null ids come first, a null text has no bytes. Rows that agree in place, id and
-text come in the order in which they are read, so they may be any part of the table. Of an
-empty table no file is written and the result is empty. Columns named like a result
-column, in upper or lower case, give way; other names don't matter.
+A range holds ``part_bytes`` of text and one row more at most, so a task's share doesn't
+grow with the table, also where the length is a dimension and long texts lie side by side.
+For each range four numbers are sent to all tasks, and two are counted and summed. Defined
+cases: null dimension values lie in the first cell, null ids come first, a null text has
+no bytes. Rows that agree in place, id and text come in the order in which they are read,
+so they may be any part of the table. Of an empty table no file is written and the result
+is empty. Columns named like a result column, in upper or lower case, give way; other
+names don't matter.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .runtime import PART_BYTES, discard, documents, in_order, others, quoted, row_of, scratch, sent_whole, written
+from .runtime import PART_BYTES, discard, documents, in_byte_order, others, quoted, row_of, scratch, sent_whole, written
 
 SHARDS, LAW = 40, "rows"
 DIMENSIONS = (("source", "string"), ("lang", "string"), ("n_chars", "number"))
@@ -70,11 +70,11 @@ def _common_prefix(a: str | None, b: str | None) -> int:
     return n
 
 
-def _scale(docs: DataFrame, dimensions, bits: int, size: Column) -> tuple[list[Column], list[np.ndarray], int, int]:
-    """A number for each dimension, its cut points, and the rows and bytes of the table."""
+def _scale(docs: DataFrame, dimensions, bits: int) -> tuple[list[Column], list[np.ndarray], int]:
+    """A number for each dimension, its cut points, and the rows of the table."""
     text_columns = [c for c, kind in dimensions if kind == "string"]
-    ends = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0)), *[f(c) for c in text_columns for f in (F.min, F.max)]).first()
-    numbers, k = [], 2
+    ends = docs.agg(F.count(F.lit(1)), *[f(c) for c in text_columns for f in (F.min, F.max)]).first()
+    numbers, k = [], 1
     for c, kind in dimensions:
         if kind == "string":
             skip = _common_prefix(ends[k], ends[k + 1])
@@ -85,7 +85,7 @@ def _scale(docs: DataFrame, dimensions, bits: int, size: Column) -> tuple[list[C
             numbers.append(F.col(c).cast("double"))
     at = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = docs.agg(*[F.percentile_approx(F.when(~F.isnan(x), x), at, 10_000) for x in numbers]).first()
-    return numbers, [np.unique(np.array(c or [], dtype=np.float64)) for c in cuts], ends[0], ends[1]
+    return numbers, [np.unique(np.array(c or [], dtype=np.float64)) for c in cuts], ends[0]
 
 
 def _place(columns: list[np.ndarray], cuts: list[np.ndarray], bits: int) -> np.ndarray:
@@ -97,7 +97,7 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, dimensions=
     """Writes ``docs`` with hilbert, slot and shard to a folder of a subfolder for each shard, and reads them."""
     spark = docs.sparkSession
     size = F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES
-    numbers, cuts, n_rows, n_bytes = _scale(docs, dimensions, bits, size)
+    numbers, cuts, n_rows = _scale(docs, dimensions, bits)
     new = [T.StructField("hilbert", T.LongType()), T.StructField("slot", T.LongType()), T.StructField("shard", T.IntegerType())]
     keep = others(docs.columns, *[x.name for x in new])
     schema = T.StructType([x for x in docs.schema.fields if x.name in keep] + new)
@@ -109,10 +109,12 @@ def write_shards(docs: DataFrame, folder: str, shards: int = SHARDS, dimensions=
         return pd.Series(_place([c.to_numpy(dtype=np.float64) for c in columns], cuts, bits))
 
     tie = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(row_of(docs, *[x.name for x in new]), place(*numbers).alias("hilbert"), F.col(id_col).cast("long").alias("id"), tie.alias("tie"), F.monotonically_increasing_id().alias("read"))
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
+    rows = docs.select(row_of(docs, *[x.name for x in new]), place(*numbers).alias("hilbert"), key.alias("id"), tie.alias("tie"), size.alias("size"), F.monotonically_increasing_id().alias("read"))
     paths: list[str] = []
+    rows = in_byte_order(rows, n_rows, F.col("size"), "hilbert", "id", "tie", "read", part_bytes=part_bytes)
     # the number that Spark gives a sorted row is its range, and in the lower 33 bits its place there
-    rows = written(in_order(rows, n_bytes, "hilbert", "id", "tie", "read", part_bytes=part_bytes).select("__row", "hilbert", F.monotonically_increasing_id().alias("at")), "ranked", paths)
+    rows = written(rows.select("__row", "hilbert", F.monotonically_increasing_id().alias("at")), "ranked", paths)
     part = F.shiftright("at", 33)
     counts = rows.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
     past = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .runtime import discard, documents, in_order, written
+from .runtime import discard, documents, in_order, sortable, written
 
 IDF_LEAST, IDF_MOST = 2.0, 9.0
 #: The share of the lexicon in each subset: one over these numbers.
@@ -151,13 +151,6 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _sortable(key: np.ndarray, tie: np.ndarray) -> np.ndarray:
-    """One value for each pair of longs, which compares as the pair does."""
-    flip = np.uint64(1 << 63)
-    pairs = np.stack([key.astype(np.int64).view(np.uint64) ^ flip, tie.astype(np.int64).view(np.uint64) ^ flip], axis=1)
-    return pairs.astype(">u8").view("S16").ravel()
-
-
 def range_starts(docs: DataFrame, n_bytes: int, range_bytes: int) -> tuple[np.ndarray, np.ndarray]:
     """The first key and tie of each range of about so many bytes, in order."""
 
@@ -200,14 +193,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
     docs = docs.withColumn("key", F.coalesce("doc_id", F.lit(least_key))).withColumn("tie", F.xxhash64("text"))
     n_docs, n_bytes = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     terms = docs.sparkSession.sparkContext.broadcast(lexicon(docs, n_docs, "text", least, most))
-    starts = _sortable(*range_starts(docs, n_bytes, range_bytes))
+    starts = sortable(*range_starts(docs, n_bytes, range_bytes))
     table = docs.sparkSession.sparkContext.broadcast(starts)
 
     @F.pandas_udf("array<int>")
     def ranges_of(key: pd.Series, tie: pd.Series) -> pd.Series:
         """The range of a document, and the range before if it is the first of its own; after the last range the first one comes."""
         starts = table.value
-        own = _sortable(key.to_numpy(), tie.to_numpy())
+        own = sortable(key.to_numpy(), tie.to_numpy())
         r = np.searchsorted(starts, own, side="right") - 1
         first = starts[r] == own
         return pd.Series([[a, (a or len(starts)) - 1] if f else [a] for a, f in zip(r.tolist(), first.tolist())])

@@ -9,6 +9,9 @@ import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -128,6 +131,47 @@ def in_order(df: DataFrame, n_bytes: int, *keys: str, part_bytes: int = PART_BYT
     return df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
 
 
+def sortable(*columns: np.ndarray) -> np.ndarray:
+    """One value for each row of longs, which compares as the row does."""
+    flip = np.uint64(1 << 63)
+    rows = np.stack([c.astype(np.int64).view(np.uint64) ^ flip for c in columns], axis=1)
+    return rows.astype(">u8").view(f"S{8 * len(columns)}").ravel()
+
+
+def in_byte_order(df: DataFrame, n_rows: int, size: Column, *keys: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """The rows in ranges of the keys, sorted; the k-th partition is the k-th range, and holds rows of ``part_bytes`` and one row more at most.
+
+    Keys are longs without nulls. They alone are sorted first, with the sizes, and the key
+    at which each range begins is sent to all tasks: 8 bytes for each key of each range.
+    """
+    names = [f"k{i}" for i in range(len(keys))]
+
+    def begins(batches):
+        total, reached = 0, -1
+        for batch in batches:
+            sizes = batch.column(len(names)).to_numpy()
+            if not len(sizes):
+                continue
+            before = total + np.cumsum(sizes) - sizes
+            nth = before // part_bytes
+            at = pa.array(np.flatnonzero(np.diff(nth, prepend=reached) > 0))
+            total, reached = int(before[-1] + sizes[-1]), int(nth[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(len(names))], names=names)
+
+    slim = df.select(*[F.col(k).cast("long").alias(x) for k, x in zip(keys, names)], size.cast("long").alias("size"))
+    found = in_order(slim, n_rows * 8 * (len(keys) + 1), *names, part_bytes=part_bytes).mapInArrow(begins, ", ".join(f"{x} long" for x in names)).toArrow()
+    starts = np.sort(sortable(*[found[x].to_numpy() for x in names]))
+    table = df.sparkSession.sparkContext.broadcast(starts)
+
+    @F.pandas_udf("int")
+    def range_of(*columns: pd.Series) -> pd.Series:
+        own = sortable(*[c.to_numpy() for c in columns])
+        return pd.Series(np.maximum(np.searchsorted(table.value, own, side="right") - 1, 0))
+
+    dealt = df.withColumn("__range", range_of(*keys)).repartitionById(max(1, len(starts)), "__range")
+    return dealt.sortWithinPartitions(*keys).drop("__range")
+
+
 def sent_whole(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
     """Broadcast if the rows are known to be few enough; otherwise joined as any table."""
     return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df

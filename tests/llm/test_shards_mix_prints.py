@@ -10,7 +10,7 @@ import pytest
 
 from rollcall.llm import hilbert_shards as hs
 from rollcall.llm import imatch, pfair_mix
-from rollcall.llm.runtime import scratch
+from rollcall.llm.runtime import in_byte_order, scratch
 
 from .data import SCHEMA, frame, rows, with_clashes
 
@@ -44,6 +44,36 @@ def test_shards(spark, shards, part_bytes):
     assert [r["hilbert"] for r in ordered] == sorted(r["hilbert"] for r in out)
 
 
+@pytest.mark.parametrize("part_bytes", [700, 5000, 1 << 20])
+def test_ranges_hold_equal_bytes(spark, part_bytes):
+    """Rows whose size goes with the key, and many rows of one key: no range holds more than asked for and a row."""
+    data = [(k // 40, -5 if k > 200 else k, 1 + k // 2) for k in range(400)] + [(-7, 1, 3000), (2**62, -(2**63), 9)]
+    df = spark.createDataFrame(data, "a long, b long, n int").withColumn("c", hs.F.monotonically_increasing_id()).repartition(5)
+    out = in_byte_order(df, len(data), hs.F.col("n"), "a", "b", "c", part_bytes=part_bytes)
+    got = out.withColumn("part", hs.F.spark_partition_id()).collect()
+    assert [(r["a"], r["b"], r["c"]) for r in got] == sorted((r["a"], r["b"], r["c"]) for r in got) and len(got) == len(data)
+    held = Counter()
+    for r in got:
+        held[r["part"]] += r["n"]
+    assert all(n - max(r["n"] for r in got if r["part"] == p) < part_bytes for p, n in held.items())
+    assert set(held) == set(range(len(held))) and len(held) <= sum(n for *_, n in data) // part_bytes + 1 + spark.sparkContext.defaultParallelism
+    assert in_byte_order(df.limit(0), 0, hs.F.col("n"), "a", "b", "c").count() == 0
+
+
+def test_files_are_pruned(spark):
+    """A file's bounds are narrow in each dimension: readers that filter on one skip most files."""
+    rng = random.Random(4)
+    data = [(k, "w" * rng.randrange(1, 2000), rng.choice("abcdefgh"), rng.choice("pqrstuvw"), None) for k in range(3000)]
+    df = spark.createDataFrame([(d, t, x, s, len(t)) for d, t, x, s, _ in data], SCHEMA)
+    got = hs.write_shards(df, scratch(spark, "test-prune"), shards=64, part_bytes=100_000).collect()
+    for column in ("source", "lang", "n_chars"):
+        bounds = [(min(v), max(v)) for v in ([r[column] for r in got if r["shard"] == s] for s in range(64))]
+        asked = rng.sample(sorted(r[column] for r in got), 40)
+        read = [sum(lo <= x <= hi for lo, hi in bounds) for x in asked]
+        assert sum(read) / len(read) < 64 / 2, column
+        assert all(read)
+
+
 def test_shard_query(spark, tmp_path):
     frame(spark).write.parquet(f"{tmp_path}/documents.parquet")
     got = hs.query(spark, str(tmp_path)).collect()

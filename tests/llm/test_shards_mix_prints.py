@@ -231,6 +231,52 @@ def test_fingerprints(spark, range_bytes):
     assert np.mean([r["near_edited"] for r in got.values()]) > np.mean([r["near_next"] for r in got.values()])
 
 
+def test_likeness_by_plain_sets(spark):
+    """All 47 subsets, by sets of terms: which hashes are filled, which are equal, and both likenesses."""
+    import re
+
+    rng = random.Random(3)
+    words = [f"{rng.choice(['w', 'Ö', 'k9'])}{k:x}" for k in range(600)]
+    bodies = [" ".join(words[int(600 * rng.random() ** 2)] for _ in range(rng.randrange(3, 150))) for _ in range(70)]
+    bodies += [bodies[3], bodies[4] + " and so on", bodies[5].upper(), *[t for _, t, *_ in rows(seed=3, n=8)[8:-3]]]
+    data = [(5 * k, t, None, None, None) for k, t in enumerate(bodies)]
+    got = {r["doc_id"]: r for r in imatch.fingerprints(frame(spark, data), least=1.0, most=5.0, range_bytes=3000).collect()}
+    band, _ = _brute_prints(data, 1.0, 5.0)
+    seats = {x: int(imatch.term_hashes(np.frombuffer(x, dtype=np.uint8), np.array([0, len(x)]))[1][0]) for x in band}
+    draw = lambda k, h: int(imatch.tb.mix(np.array([h], dtype=np.uint64) ^ imatch.tb.mix(np.array([k + 1], dtype=np.uint64)))[0])
+    subsets = [{x for x, h in seats.items() if draw(k, h) % d == 0} for k, d in enumerate(imatch.DENSITIES)]
+    assert subsets[0] == band and len(band) > 200 and any(subsets[-16:])
+
+    def row(t):
+        terms = {x.lower() for x in re.findall(rb"[0-9A-Za-z\x80-\xff]+", t.encode())}
+        return [frozenset(terms & s) for s in subsets]
+
+    def like(a, b):
+        x, y = row(a), row(b)
+        either = sum(bool(p or q) for p, q in zip(x, y))
+        return sum(p == q and bool(p) for p, q in zip(x, y)) / either if either else float(a == b)
+
+    texts = [t or "" for _, t, *_ in data]
+    seen = {}
+    for k, (d, *_) in enumerate(data):
+        t, after = texts[k], texts[(k + 1) % len(texts)]
+        n = len(t) // 4
+        changed = t[: len(t) - n] + after[:n]
+        assert got[d]["near_edited"] == pytest.approx(like(t, changed))
+        assert got[d]["near_next"] == pytest.approx(like(t, after))
+        for body, print_ in ((t, got[d]["fingerprint"]), (changed, got[d]["edited_fingerprint"])):
+            if print_.startswith("text-"):
+                assert not any(row(body))
+                continue
+            parts = [print_[i : i + imatch.DIGITS] for i in range(0, len(print_), imatch.DIGITS)]
+            for i, (part, terms) in enumerate(zip(parts, row(body), strict=True)):
+                assert (part == "-" * imatch.DIGITS) == (not terms)
+                if terms:
+                    assert seen.setdefault((i, terms), part) == part
+    values = Counter((i, part) for (i, _), part in seen.items())
+    assert max(values.values()) == 1
+
+
 def test_fingerprints_of_odd_tables(spark):
     assert imatch.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     one = imatch.fingerprints(spark.createDataFrame([(5, "abcdefgh", None, None, None)], SCHEMA)).first()

@@ -8,6 +8,7 @@ sees whole.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import numpy as np
@@ -145,13 +146,45 @@ class UnitMemory:
         return self.ids[_spread(at.astype(np.int64), lens.astype(np.int64))]
 
 
+def plain_words(tokenizer) -> tuple[re.Pattern, dict[int, str]] | None:
+    """Which units the tokenizer hands to its model as one pre-token and unchanged, and how it writes their characters there.
+
+    They are words of Latin letters that the normalizer leaves alone, with a space before
+    them where that is part of a word. A word of all those letters is tried first; if it isn't
+    one pre-token, there are no such units.
+    """
+    same = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    letters = [c for c in map(chr, range(65, 256)) if c.isalpha() and c not in "ªµº" and same(c) == c]
+    cut = tokenizer.pre_tokenizer.pre_tokenize_str if tokenizer.pre_tokenizer else lambda text: [(text, None)]
+    written = {ord(c): cut(c)[0][0] for c in [*letters, " "] if cut(c)}
+    word = "".join(letters)
+
+    def unchanged(text: str) -> bool:
+        return same(text) == text and [x for x, _ in cut(text)] == [text.translate(written)]
+
+    if not word or not unchanged(word):
+        return None
+    return re.compile(f"{' ?' if unchanged(' ' + word) else ''}[{word}]+"), written
+
+
 def encoder(tokenizer) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """``encode`` of a UnitMemory by a tokenizers.Tokenizer, without added tokens; the library's large results are held for few units at a time."""
+    """``encode`` of a UnitMemory by a tokenizers.Tokenizer, without added tokens; the library's large results are held for few units at a time.
+
+    Plain words go to the tokenizer's model at once, past the steps that leave them as they are.
+    """
+    model, plain = tokenizer.model, plain_words(tokenizer)
+
+    def alone(text: str) -> list[int] | None:
+        return [x.id for x in model.tokenize(text.translate(plain[1]))] if plain and plain[0].fullmatch(text) else None
 
     def encode(units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         lens, ids = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int32)]
         for lo in range(0, len(units), UNITS):
-            out = [x.ids for x in tokenizer.encode_batch_fast([u.decode() for u in units[lo : lo + UNITS]], add_special_tokens=False)]
+            texts = [u.decode() for u in units[lo : lo + UNITS]]
+            out = [alone(x) for x in texts]
+            rest = [i for i, x in enumerate(out) if x is None]
+            for i, x in zip(rest, tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+                out[i] = x.ids
             lens.append(np.array([len(x) for x in out], dtype=np.int64))
             ids.append(np.array([i for x in out for i in x], dtype=np.int32))
         return np.concatenate(lens), np.concatenate(ids)

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from rollcall.llm import packed_ids, suffix_pieces, whole_tokens
+from rollcall.llm import packed_ids, suffix_pieces, units, whole_tokens
 from rollcall.llm import textbytes as tb
 from rollcall.llm.runtime import scratch
 
@@ -65,6 +65,34 @@ def test_ids_are_the_librarys():
     assert lens.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
+@pytest.mark.parametrize("name", [packed_ids.TOKENIZER, whole_tokens.TOKENIZER])
+def test_plain_words_are_the_librarys(name):
+    """Words that pass by the normalizer and the pre-tokenizer, and the like of them that may not."""
+    tokenizer = whole_tokens.load_tokenizer(name)
+    pattern, _ = units.plain_words(tokenizer)
+    rng = random.Random(3)
+    letters = "etaoinshrdluETAOINéèßñçÿÉÖªµº×÷'1 ́ıſ漢"
+    words = ["the", " the", "x" * 5000, " " + "é" * 3000]
+    for some in (letters[:12], letters[:24], letters):
+        words += [rng.choice(["", " "]) + "".join(rng.choices(some, k=rng.randrange(1, 30))) for _ in range(7000)]
+    lens, ids = units.encoder(tokenizer)([w.encode() for w in words])
+    want = [x.ids for x in tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert lens.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+    assert 2000 < sum(pattern.fullmatch(w) is not None for w in words) < 18_000
+    assert (pattern.fullmatch(" the") is not None) == (name == whole_tokens.TOKENIZER) and (pattern.fullmatch("The") is not None) == (name == whole_tokens.TOKENIZER)
+
+
+def test_tokenizers_without_plain_words():
+    from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
+
+    tokenizer = Tokenizer(models.BPE({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))
+    assert units.encoder(tokenizer)([b"ab", b"ba"])[1].tolist() == [2, 1, 0]
+    tokenizer.pre_tokenizer = pre_tokenizers.Split("b", "isolated")
+    assert units.plain_words(tokenizer) is None and units.encoder(tokenizer)([b"ab"])[1].tolist() == [0, 1]
+    tokenizer.normalizer = normalizers.Prepend("_")
+    assert units.plain_words(tokenizer) is None
+
+
 @pytest.mark.parametrize("n", [0, 1, 59, 60, 61, 1023, 1024, 1025, 4000])
 def test_words_round_trip(n):
     rng = np.random.default_rng(n)

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ TASK_BYTES = 16 << 20
 #: Bytes of texts that are encoded at a time.
 ENCODED_BYTES = 1 << 20
 ESCAPE = 15
+#: What reading gives.
+READ = "file string, nth long, doc_id long, offset long, ids array<long>"
 #: values in a word, and bits of each, by selector
 COUNT = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], dtype=np.int64)
 BITS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60], dtype=np.int64)
@@ -264,10 +267,13 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     return written(rows.select("doc_id", "text").mapInArrow(run, "file string, n_docs long, n_ids long"), "packed-list")
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """file, nth (the place in the file), doc_id, offset (ids before it in the file) and ids of each document."""
+def read_files(spark: SparkSession, folder: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = READ) -> DataFrame:
+    """file, nth (the place in the file), doc_id, offset (ids before it in the file) and ids of each document.
 
-    def run(batches):
+    each: what the worker that decodes makes of these rows, and schema what comes out, so that ids needn't leave it.
+    """
+
+    def decoded(batches):
         for batch in batches:
             for path, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids, lens, values = read_file(raw.as_buffer().to_pybytes())
@@ -281,16 +287,16 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(path)] * n), pa.array(np.arange(lo, lo + n)), pa.array(ids[part], pa.int64()), pa.array(before[part]), lists], names=["file", "nth", "doc_id", "offset", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder).select("path", "content")
-    return files.mapInArrow(run, "file string, nth long, doc_id long, offset long, ids array<long>")
+    return files.mapInArrow(lambda batches: each(decoded(batches)) if each else decoded(batches), schema)
 
 
 def _digest(batches):
     for batch in batches:
-        lists = batch.column(2)
+        file, _, doc_id, offset, lists = batch.columns
         off = lists.offsets.to_numpy()
-        raw = lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        crc = [zlib.crc32(raw[a:b].tobytes()) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "offset", "n_tokens", "ids_crc32"])
+        raw = lists.values.to_numpy().astype("<u4")
+        crc = [zlib.crc32(raw[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([file, doc_id, offset, pa.array(np.diff(off).astype(np.int64)), pa.array(crc, pa.int64())], names=["file", "doc_id", "offset", "n_tokens", "ids_crc32"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -300,5 +306,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     with passing(spark) as keep:
         made = written(summed_before(made.select("file", "n_ids"), ["file"], {"before": "n_ids"}, "packed-files").select("file", "before"), "packed-starts", keep)
-    read = read_files(spark, folder).select("file", "doc_id", "ids", "offset").mapInArrow(_digest, "file string, doc_id long, offset long, n_tokens long, ids_crc32 long")
+    read = read_files(spark, folder, _digest, "file string, doc_id long, offset long, n_tokens long, ids_crc32 long")
     return read.join(made, "file").select("doc_id", (F.col("before") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")

@@ -94,29 +94,43 @@ class UnitMemory:
     """What units encode to, by their 64-bit hash.
 
     encode: byte strings to the number of ids of each, and all ids one after the
-    other. At most ``limit`` units and ``8 * limit`` ids are held; beyond that
-    all but the given ones are forgotten and encoded again where they recur.
+    other. At most ``limit`` units and ``8 * limit`` ids are held, beside those of one call; when it is
+    full, the given ones stay and half of it goes to the units that were looked up most often, of late
+    above all. The rest is forgotten, and encoded again where it recurs.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], limit: int = 1_000_000, given: tuple[np.ndarray, np.ndarray] | None = None):
         self.encode, self.limit = encode, limit
         self._given = given or (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32))
-        self._reset()
-
-    def _reset(self) -> None:
         keys, ids = self._given
         order = np.argsort(keys)
         self.keys = keys[order]
         self.ids = np.array(ids, dtype=np.int32)
         self.at = order.astype(np.int32)
         self.lens = np.ones(len(keys), dtype=np.int32)
+        #: calls that asked for the unit, halved at each forgetting
+        self.calls = np.zeros(len(keys), dtype=np.int32)
         self.full = len(ids)
 
+    def _forget(self) -> None:
+        given = len(self._given[0])
+        learnt = np.flatnonzero((self.at >= given) & (self.calls > 1))
+        best = learnt[np.argsort(-self.calls[learnt], kind="stable")][: max(0, self.limit - given) // 2]
+        best = best[np.cumsum(self.lens[best], dtype=np.int64) <= 4 * self.limit]
+        keep = self.at < given
+        keep[best] = True
+        learnt = keep & (self.at >= given)
+        lens = self.lens[learnt].astype(np.int64)
+        self.ids = np.concatenate([self.ids[:given], self.gather(self.at[learnt], lens)])
+        self.full = len(self.ids)
+        self.at[learnt] = given + np.cumsum(lens) - lens
+        self.keys, self.at, self.lens, self.calls = self.keys[keep], self.at[keep], self.lens[keep], self.calls[keep] >> 1
+
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, prefix: Callable[[int], bytes] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
         """For each unit the place of its ids in ``ids`` and their number; how many different units had to be encoded."""
         distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
         if len(self.keys) + len(distinct) > self.limit or self.full > 8 * self.limit:
-            self._reset()
+            self._forget()
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), dtype=bool)
         inside = place < len(self.keys)
@@ -138,7 +152,9 @@ class UnitMemory:
             self.keys = np.insert(self.keys, place[new], distinct[new])
             self.at = np.insert(self.at, place[new], at.astype(np.int32))
             self.lens = np.insert(self.lens, place[new], lens.astype(np.int32))
+            self.calls = np.insert(self.calls, place[new], 0)
             place = np.searchsorted(self.keys, distinct)
+        self.calls[place] += 1
         return self.at[place][inverse], self.lens[place][inverse], len(new)
 
     def gather(self, at: np.ndarray, lens: np.ndarray) -> np.ndarray:

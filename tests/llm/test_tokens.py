@@ -49,6 +49,31 @@ def test_a_full_memory_forgets_and_counts_on():
     assert (got == want).all()
 
 
+def test_a_full_memory_keeps_what_recurs():
+    asked = []
+
+    def encode(names):
+        asked.extend(names)
+        return np.array([len(x) % 3 for x in names]), np.array([x[0] for x in names for _ in range(len(x) % 3)], dtype=np.int32)
+
+    def look_up(words):
+        raw = [w.encode() for w in words]
+        ends = np.cumsum([len(x) for x in raw])
+        data, starts = np.frombuffer(b"".join(raw), dtype=np.uint8), ends - [len(x) for x in raw]
+        at, lens, _ = memory.look_up(data, starts, ends, tb.run_hashes(data, starts, ends))
+        assert lens.tolist() == [1 if w == "given" else len(w) % 3 for w in words]
+        assert memory.gather(at, lens).tolist() == [7 if w == "given" else ord(w[0]) for w in words for _ in range(1 if w == "given" else len(w) % 3)]
+
+    memory = units.UnitMemory(encode, 100, (whole_tokens._hashes(["given"]), np.array([7], dtype=np.int32)))
+    often = [chr(97 + k) * (k + 1) for k in range(20)]
+    for k in range(50):
+        look_up(["given", *often, *[f"{j}rare{k}" for j in range(10)]])
+        assert len(memory.keys) <= 100 and len(memory.keys) == len(memory.at) == len(memory.lens) == len(memory.calls)
+    assert len(asked) == 20 + 50 * 10 and b"given" not in asked
+    look_up([f"{j}more" for j in range(300)])
+    look_up(["given", *often])
+
+
 def test_count_query(spark):
     got = whole_tokens.token_counts(with_clashes(frame(spark), "n_tokens")).collect()
     tokenizer = whole_tokens.load_tokenizer(whole_tokens.TOKENIZER)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import textbytes as tb
-from .runtime import documents, row_columns, row_of, schema_with, written
+from .runtime import documents, lean, row_columns, row_of, schema_with, written
 
 SYMBOLS = tb.byte_set(b"#*$%&|<>")
 WINDOW = 5
@@ -94,7 +94,7 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             failed = (found["n_words"] < MIN_WORDS) | (100 * found["n_repeat_words"] > MAX_REPEAT_PERCENT * found["n_words"])
             yield tb.with_columns(batch, {k: pa.array(v) for k, v in found.items()} | {"base_failed": pa.array(failed)})
 
-    return rows.mapInArrow(run, schema).select(*row_columns(docs, *new), *new)
+    return rows.mapInArrow(lean(run), schema).select(*row_columns(docs, *new), *new)
 
 
 def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX_RATE) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .runtime import discard, documents, in_order, sortable, written
+from .runtime import discard, documents, in_order, lean, sortable, written
 
 IDF_LEAST, IDF_MOST = 2.0, 9.0
 #: The share of the lexicon in each subset: one over these numbers.
@@ -73,7 +73,7 @@ def term_frequencies(docs: DataFrame, text: str = "text") -> DataFrame:
                 terms, count = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(terms.view(np.int64)), pa.array(count)], names=["term", "n"])
 
-    return docs.select(text).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
+    return docs.select(text).mapInArrow(lean(run), "term long, n long").groupBy("term").agg(F.sum("n").alias("n_docs"))
 
 
 def lexicon(docs: DataFrame, n_docs: int, text: str = "text", least: float = IDF_LEAST, most: float = IDF_MOST) -> np.ndarray:
@@ -175,7 +175,7 @@ def range_starts(docs: DataFrame, n_bytes: int, range_bytes: int) -> tuple[np.nd
             yield pa.RecordBatch.from_arrays([pa.array(key[at]), pa.array(tie[at])], names=["key", "tie"])
 
     sizes = docs.select("key", "tie", (F.octet_length("text") + 16).cast("long").alias("size"))
-    rows = in_order(sizes, n_bytes, "key", "tie").mapInArrow(run, "key long, tie long").toArrow()
+    rows = in_order(sizes, n_bytes, "key", "tie").mapInArrow(lean(run), "key long, tie long").toArrow()
     key, tie = (rows[x].to_numpy() if rows.num_rows else np.zeros(0, dtype=np.int64) for x in ("key", "tie"))
     order = np.lexsort((tie, key))
     return key[order], tie[order]
@@ -251,7 +251,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", le
         if ready:
             yield close(ready)
 
-    return dealt.mapInArrow(run, SCHEMA)
+    return dealt.mapInArrow(lean(run), SCHEMA)
 
 
 NAMES = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .components import components
 from .prefix_tree import Trie, _spread, least_labels
-from .runtime import documents, passing, row_of, written
+from .runtime import documents, lean, passing, row_of, written
 
 SIZE, NUM, DEN = 3, 90, 100
 #: A part of fewer elements says little; nodes send it only if too few of their parts have more.
@@ -209,7 +209,7 @@ def set_table(docs: DataFrame, size: int) -> DataFrame:
                 lens, hashes = shingle_sets(data, off, size)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), _signed(node_names(lens, hashes)), pa.array(lens)], names=["doc_id", "text_key", "node", "n_shingles"])
 
-    return docs.mapInArrow(run, "doc_id long, text_key long, node long, n_shingles long")
+    return docs.mapInArrow(lean(run), "doc_id long, text_key long, node long, n_shingles long")
 
 
 def popular_shingles(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
@@ -228,7 +228,7 @@ def popular_shingles(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([_signed(shingles), pa.array(count)], names=["shingle", "n"])
 
     sample = docs.where(F.pmod(F.col("text_key"), F.lit(max(1, n_docs // POPULAR_SAMPLE))) == 0).dropDuplicates(["text_key"]).select("text")
-    rows = sample.mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR).orderBy(F.desc("n"), "shingle").limit(MAX_POPULAR).select("shingle").toArrow()
+    rows = sample.mapInArrow(lean(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR).orderBy(F.desc("n"), "shingle").limit(MAX_POPULAR).select("shingle").toArrow()
     return np.sort(rows["shingle"].to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, dtype=np.uint64)
 
 
@@ -254,7 +254,7 @@ def key_table(docs: DataFrame, size: int, num: int, den: int, popular: np.ndarra
                 k, v = merged_keys(k, v)
                 yield pa.RecordBatch.from_arrays([_signed(k), _signed(v)], names=["key", "node"])
 
-    return docs.select("text").mapInArrow(run, "key long, node long")
+    return docs.select("text").mapInArrow(lean(run), "key long, node long")
 
 
 def star_links(stars: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -287,7 +287,7 @@ def star_links(stars: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 first, start = heads[-1], np.cumsum(lens) - lens
                 held = (hub[-1], piece[-1], place[first], hashes[start[first] : start[first] + lens[first]])
 
-    return stars.mapInArrow(run, "node long, hub long")
+    return stars.mapInArrow(lean(run), "node long, hub long")
 
 
 def _join_blocks(table: pa.Table, size: int, num: int, den: int, count_links: bool) -> pa.RecordBatch:
@@ -353,7 +353,7 @@ def linked_nodes(blocks: DataFrame, size: int, num: int, den: int, count_links:
         if held:
             yield _join_blocks(pa.concat_tables(held), size, num, den, count_links)
 
-    return blocks.mapInArrow(run, "node long, label long, links long")
+    return blocks.mapInArrow(lean(run), "node long, label long, links long")
 
 
 def _star_labels(texts: DataFrame, size: int, num: int, den: int) -> DataFrame:

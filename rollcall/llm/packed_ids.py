@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import textbytes as tb
 from .prefix_tree import _spread
-from .runtime import documents, in_order, passing, scratch, summed_before, written
+from .runtime import documents, in_order, lean, passing, scratch, summed_before, written
 from .units import UnitMemory, bare_units, encoder, lowered_safely, special_strings, texts_with
 from .whole_tokens import load_tokenizer
 
@@ -264,7 +264,7 @@ def write_files(docs: DataFrame, folder: str, id_col: str = "doc_id", text: str
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     n_bytes = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rows = in_order(rows.withColumn("tie", F.xxhash64(F.coalesce("text", F.lit("")))), n_bytes, "doc_id", "tie", part_bytes=task_bytes)
-    return written(rows.select("doc_id", "text").mapInArrow(run, "file string, n_docs long, n_ids long"), "packed-list")
+    return written(rows.select("doc_id", "text").mapInArrow(lean(run), "file string, n_docs long, n_ids long"), "packed-list")
 
 
 def read_files(spark: SparkSession, folder: str, each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]] | None = None, schema: str = READ) -> DataFrame:
@@ -287,7 +287,7 @@ def read_files(spark: SparkSession, folder: str, each: Callable[[Iterator[pa.Rec
                     yield pa.RecordBatch.from_arrays([pa.array([os.path.basename(path)] * n), pa.array(np.arange(lo, lo + n)), pa.array(ids[part], pa.int64()), pa.array(before[part]), lists], names=["file", "nth", "doc_id", "offset", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*.s8b").load(folder).select("path", "content")
-    return files.mapInArrow(lambda batches: each(decoded(batches)) if each else decoded(batches), schema)
+    return files.mapInArrow(lean(lambda batches: each(decoded(batches)) if each else decoded(batches)), schema)
 
 
 def _digest(batches):

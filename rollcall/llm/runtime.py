@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,6 +86,21 @@ def clear_scratch(spark: SparkSession) -> None:
     discard(spark, list(_made))
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function for ``mapInArrow`` after which the worker gives back what it has freed, as it may stay idle while others need the memory."""
+
+    def run_and_trim(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            # the C library's own, where it has such a function
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return run_and_trim
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*columns) if columns else df
@@ -159,7 +175,7 @@ def in_byte_order(df: DataFrame, n_rows: int, size: Column, *keys: str, part_byt
             yield pa.RecordBatch.from_arrays([batch.column(i).take(at) for i in range(len(names))], names=names)
 
     slim = df.select(*[F.col(k).cast("long").alias(x) for k, x in zip(keys, names)], size.cast("long").alias("size"))
-    found = in_order(slim, n_rows * 8 * (len(keys) + 1), *names, part_bytes=part_bytes).mapInArrow(begins, ", ".join(f"{x} long" for x in names)).toArrow()
+    found = in_order(slim, n_rows * 8 * (len(keys) + 1), *names, part_bytes=part_bytes).mapInArrow(lean(begins), ", ".join(f"{x} long" for x in names)).toArrow()
     starts = np.sort(sortable(*[found[x].to_numpy() for x in names]))
     table = df.sparkSession.sparkContext.broadcast(starts)
 

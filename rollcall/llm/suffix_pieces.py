@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .prefix_tree import _spread
-from .runtime import documents, row_columns, row_of
+from .runtime import documents, lean, row_columns, row_of
 from .units import UnitMemory, piece_units
 
 MODEL = "piece_bpe_32k.model"
@@ -320,7 +320,7 @@ def encode_documents(docs: DataFrame, text: str = "text", model: str = MODEL) ->
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], names=["__row", "ids"])
 
-    return rows.mapInArrow(run, schema).select(*row_columns(docs, text, "ids"), "ids")
+    return rows.mapInArrow(lean(run), schema).select(*row_columns(docs, text, "ids"), "ids")
 
 
 def _texts(model: str, lens: np.ndarray, ids: np.ndarray) -> list[str]:
@@ -342,7 +342,7 @@ def decode_documents(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -
                 texts = _texts(model, np.diff(got.offsets.to_numpy()), got.flatten().to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["__row", "decoded"])
 
-    return rows.mapInArrow(run, schema).select(*row_columns(encoded, "decoded"), "decoded")
+    return rows.mapInArrow(lean(run), schema).select(*row_columns(encoded, "decoded"), "decoded")
 
 
 def decoded_digest(encoded: DataFrame, ids: str = "ids", model: str = MODEL) -> DataFrame:
@@ -367,7 +367,7 @@ def decoded_digest(encoded: DataFrame, ids: str = "ids", model: str = MODEL) ->
                 columns = [pa.array(lens.astype(np.int64)), pa.array(crc, pa.int64()), pa.array(_texts(model, lens, flat), pa.string())]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=schema.fieldNames())
 
-    return rows.mapInArrow(run, schema).select(*row_columns(encoded, ids, *new), *new)
+    return rows.mapInArrow(lean(run), schema).select(*row_columns(encoded, ids, *new), *new)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from . import textbytes as tb
 from .prefix_tree import _spread
-from .runtime import discard, documents, row_columns, row_of, schema_with, written
+from .runtime import discard, documents, lean, row_columns, row_of, schema_with, written
 
 #: Labelled rows that are learnt from at most; 12 bytes of each are broadcast, and their texts are written once.
 MAX_LABELLED = 12_000
@@ -237,7 +237,7 @@ def _feature_counts(sample: DataFrame) -> DataFrame:
                 counts = [np.bincount(inverse[mask], minlength=len(keys)).astype(np.int64) for mask in (is_toxic, ~is_toxic, is_toxic & loud, ~is_toxic & loud)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *map(pa.array, counts)], names=["feature", *names])
 
-    rows = sample.select("text", "toxic").mapInArrow(run, "feature long, toxic long, clean long, loud_toxic long, loud_clean long")
+    rows = sample.select("text", "toxic").mapInArrow(lean(run), "feature long, toxic long, clean long, loud_toxic long, loud_clean long")
     return rows.groupBy("feature").agg(*[F.sum(x).alias(x) for x in names])
 
 
@@ -295,7 +295,7 @@ def fit(
                 yield pa.RecordBatch.from_arrays([lists, shares, pa.array(patterns.astype(np.int32)), batch.column(1).slice(lo, hi - lo)], names=["places", "shares", "patterns", "toxic"])
 
     # at most max_labelled rows of at most max_features small numbers
-    rows = sample.mapInArrow(gather, "places array<int>, shares array<float>, patterns int, toxic int").toArrow()
+    rows = sample.mapInArrow(lean(gather), "places array<int>, shares array<float>, patterns int, toxic int").toArrow()
     discard(docs.sparkSession, paths)
     lists = pa.concat_arrays(rows["places"].chunks)
     n = len(lists)
@@ -328,7 +328,7 @@ def with_scores(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
             parts = [shared.value.scores(data, off) for _, _, data, off in tb.slices(batch.column(1))]
             yield tb.with_columns(batch, {"score": pa.array(np.concatenate(parts) if parts else np.zeros(0))})
 
-    scored = rows.mapInArrow(run, schema_with(rows, [T.StructField("score", T.DoubleType())]))
+    scored = rows.mapInArrow(lean(run), schema_with(rows, [T.StructField("score", T.DoubleType())]))
     return scored.select(*row_columns(docs, "score"), "score")
 
 

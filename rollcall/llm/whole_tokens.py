@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .runtime import documents
+from .runtime import documents, lean
 from .units import UnitMemory, encoder, spaced_units, special_strings, texts_with
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -104,7 +104,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text: str = "text", to
             for lo, hi, data, off in tb.slices(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), pa.array(_counter(tokenizer, proven.value).count(data, off))], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(run), "doc_id long, n_bytes long, n_tokens long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

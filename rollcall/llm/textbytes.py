@@ -94,7 +94,7 @@ def text_of(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def byte_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A 64-bit value for each byte of each run, by byte and place in the run, and where each run begins in them."""
+    """A 64-bit value for each byte of each run, by byte and place in its stretch of 64 bytes, and where each run begins in them."""
     lens = (ends - starts).astype(np.int32)
     at = np.zeros(len(lens), dtype=np.int32)
     np.cumsum(lens[:-1], out=at[1:])
@@ -102,18 +102,29 @@ def byte_values(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple
     place = np.arange(total, dtype=np.int32)
     where = place + np.repeat((starts - at).astype(np.int32), lens)
     place -= np.repeat(at, lens)
-    values = _TABLE[((place & 63) << 8) | data[where]]
-    if total and int(lens.max()) > 64:
-        values *= ((place >> 6).astype(np.uint64) << np.uint64(1)) + np.uint64(1)
-    return values, at
+    return _TABLE[((place & 63) << 8) | data[where]], at
 
 
 def run_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each run; no run may be empty."""
+    """A 64-bit hash of the bytes of each run; no run may be empty.
+
+    The values of a stretch of 64 bytes are added up. Each sum but the first is mixed with its
+    stretch's number before the sums of a run are added, so stretches can't change places.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
     values, at = byte_values(data, starts, ends)
-    return mix(np.add.reduceat(values, at) + (ends - starts).astype(np.uint64) * _GOLD)
+    lens = ends - starts
+    if int(lens.max()) <= 64:
+        return mix(np.add.reduceat(values, at) + lens.astype(np.uint64) * _GOLD)
+    stretches = (lens + 63) // 64
+    first = np.zeros(len(lens), dtype=np.int64)
+    np.cumsum(stretches[:-1], out=first[1:])
+    nth = np.arange(int(stretches.sum()), dtype=np.int64) - np.repeat(first, stretches)
+    sums = np.add.reduceat(values, np.repeat(at.astype(np.int64), stretches) + 64 * nth)
+    later = nth > 0
+    sums[later] = mix(sums[later] ^ mix(nth[later].astype(np.uint64)))
+    return mix(np.add.reduceat(sums, first) + lens.astype(np.uint64) * _GOLD)
 
 
 def windows(hashes: np.ndarray, text: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

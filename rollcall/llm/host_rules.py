@@ -6,15 +6,15 @@ beta prior, and the verdict on the host is joined back to its documents. A docum
 kept if it passes the base rules and the shrunk rate of its host is at most ``max_rate``.
 
 The prior is fitted to the hosts' rates by the method of moments. The variance of observed
-rates is that of the hosts' own rates and the noise of counting few documents,
-which is m (1 - m) / n for a host of n documents; the prior takes the variance
-without that noise, so many small hosts don't make it weak.
+rates is that of the hosts' own rates, v, and the noise of counting few documents, which is
+(m (1 - m) - v) / n for a host of n documents, on average; the prior takes v alone, so many small
+hosts make it neither weak nor strong.
 
 Defined cases: a null or empty text has no words and fails. A null host is a
 host of its own. Repeated rows count as often as they stand there. Of an empty
 table the result is empty. Input columns named like a result column, in upper or lower
 case, give way; other names don't matter. If the hosts' rates differ by no more than
-counting explains, the prior has weight ``MAX_WEIGHT``.
+counting explains, or no host has a second document, the prior has weight ``MAX_WEIGHT``.
 """
 
 from __future__ import annotations
@@ -102,7 +102,8 @@ def host_verdicts(judged: DataFrame, host: str = "source", max_rate: float = MAX
     hosts = judged.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     rate = F.col("n_failed") / F.col("n_docs")
     prior = hosts.agg(F.avg(rate).alias("m"), F.var_pop(rate).alias("seen"), F.avg(1 / F.col("n_docs")).alias("few"))
-    prior = prior.select("m", (F.col("seen") - F.col("m") * (1 - F.col("m")) * F.col("few")).alias("v"))
+    own = (F.col("seen") - F.col("m") * (1 - F.col("m")) * F.col("few")) / (1 - F.col("few"))
+    prior = prior.select("m", F.when(F.col("few") < 1, own).otherwise(0.0).alias("v"))
     weight = F.when(F.col("v") > 0, F.greatest(F.lit(MIN_WEIGHT), F.least(F.lit(MAX_WEIGHT), F.col("m") * (1 - F.col("m")) / F.col("v") - 1))).otherwise(F.lit(MAX_WEIGHT))
     # two numbers, as a scalar subquery
     prior = prior.select(F.struct("m", weight.alias("w")).alias("p")).scalar()
@@ -173,7 +174,7 @@ WITH d AS (
   SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source
 ), p AS (
   SELECT m, CASE WHEN v > 0 THEN greatest({MIN_WEIGHT}, least({MAX_WEIGHT}, m * (1 - m) / v - 1)) ELSE {MAX_WEIGHT} END AS k
-  FROM (SELECT m, seen - m * (1 - m) * few AS v FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS seen, avg(1 / n) AS few FROM h))
+  FROM (SELECT m, CASE WHEN few < 1 THEN (seen - m * (1 - m) * few) / (1 - few) ELSE 0 END AS v FROM (SELECT avg(f / n) AS m, var_pop(f / n) AS seen, avg(1 / n) AS few FROM h))
 ), j AS (
   SELECT source AS host, (f + m * k) / (n + k) > {MAX_RATE} AS host_failed FROM h, p
 )

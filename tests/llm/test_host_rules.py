@@ -32,7 +32,8 @@ def verdicts(data, max_rate):
         hosts[host] = (n + 1, f + brute(text)[1])
     rates = [f / n for n, f in hosts.values()]
     m = sum(rates) / len(rates)
-    v = sum((x - m) ** 2 for x in rates) / len(rates) - m * (1 - m) * sum(1 / n for n, _ in hosts.values()) / len(rates)
+    few = sum(1 / n for n, _ in hosts.values()) / len(rates)
+    v = (sum((x - m) ** 2 for x in rates) / len(rates) - m * (1 - m) * few) / (1 - few) if few < 1 else 0
     w = min(hr.MAX_WEIGHT, max(hr.MIN_WEIGHT, m * (1 - m) / v - 1)) if v > 0 else hr.MAX_WEIGHT
     return {h: (f + m * w) / (n + w) > max_rate for h, (n, f) in hosts.items()}
 
@@ -62,6 +63,25 @@ def test_prior_takes_out_the_noise_of_small_hosts(spark):
     assert all(abs(r["shrunk_rate"] - r["n_failed"] / r["n_docs"]) < 0.01 for r in got)
 
 
+def test_the_prior_is_that_which_rates_were_drawn_from(spark):
+    """Rates drawn from a beta distribution, hosts of two or three documents: the fitted weight is that of the distribution."""
+    import random
+
+    for a, n in ((1, 2), (2, 3)):
+        rng = random.Random(n)
+        drawn = [(f"h{k}", rng.random() < p) for k in range(30_000) for p in [rng.betavariate(a, a)] for _ in range(n)]
+        got = hr.host_verdicts(spark.createDataFrame(drawn, "source string, base_failed boolean"))
+        # a host without failures has the rate m w / (n + w), one of failures only (n + m w) / (n + w)
+        low, high = got.agg({"shrunk_rate": "min"}).first()[0], got.agg({"shrunk_rate": "max"}).first()[0]
+        weight = n / (high - low) - n
+        assert abs(weight - 2 * a) < 0.2 * a, (a, n, weight)
+
+
+def test_hosts_of_one_document_are_one(spark):
+    got = hr.host_verdicts(spark.createDataFrame([(f"h{k}", k < 3) for k in range(8)], "source string, base_failed boolean")).collect()
+    assert all(abs(r["shrunk_rate"] - 3 / 8) < 1e-3 for r in got)
+
+
 def test_columns_that_clash(spark):
     names = ("__row", "__host", "KEPT", "N_words", "host", "a.b", "Shrunk_Rate")
     docs = with_clashes(frame(spark), *names)

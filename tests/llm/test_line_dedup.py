@@ -81,16 +81,13 @@ def test_empty(spark):
     assert ld.drop_lines(empty).count() == 0 and ld.drop_lines(empty, index_bytes=0).count() == 0
 
 
-def test_the_sql_agrees(spark):
-    import duckdb
-
-    from rollcall.llm.runtime import documents  # noqa: F401
+def test_the_sql_agrees():
+    import hashlib
 
-    data = [r for r in rows() + shared() if r[0] is not None]
+    import duckdb
     import pandas as pd
 
+    data = [r for r in rows() + shared() if r[0] is not None]
     documents = pd.DataFrame({"doc_id": [r[0] for r in data], "text": [r[1] for r in data]})  # noqa: F841
-    got = duckdb.sql(ld.ORACLE_SQL).fetchall()
-    import hashlib
-
-    assert sorted(got, key=str) == sorted(((d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, n, m, t in brute(data)), key=str)
+    want = [(d, n, m, hashlib.sha256(t.encode()).hexdigest()) for d, n, m, t in brute(data)]
+    assert sorted(duckdb.sql(ld.ORACLE_SQL).fetchall(), key=str) == sorted(want, key=str)

@@ -158,7 +158,7 @@ def rewritten(words: np.ndarray) -> np.ndarray:
 
 
 def fragments(blocks: DataFrame, split: int = SPLIT) -> DataFrame:
-    """pivot, part, parts, left (words before the pivot), words and n. blocks: order, and known (local, id and f of the frequent words)."""
+    """pivot, part (of the pivot's partitions), left (words before the pivot), words and n. blocks: order, and known (local, id and f of the frequent words)."""
 
     def run(batches):
         for batch in batches:

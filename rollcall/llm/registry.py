@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, hilbert_shards, host_rules, imatch, jaccard_join, line_dedup, packed_ids, pfair_mix, phrases, suffix_pieces, weak_toxicity, whole_tokens
+from . import chat_format, hilbert_shards, host_rules, imatch, jaccard_join, line_dedup, packed_ids, pfair_mix, phrases, suffix_pieces, turn_trie, weak_toxicity, whole_tokens
 
 QUERIES = {
     "op1_hilbert_shards": hilbert_shards.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_jaccard_join": jaccard_join.query,
     "op10_host_rules": host_rules.query,
     "op11_pivot_phrases": phrases.query,
+    "op12_turn_trie": turn_trie.query,
     "op13_line_dedup": line_dedup.query,
 }
 #: The others can't be said in SQL; tests hold them against brute-force versions or the tokenizers' own libraries.
@@ -24,5 +25,6 @@ ORACLES = {
     "op9_jaccard_join": jaccard_join.ORACLE_SQL,
     "op10_host_rules": host_rules.ORACLE_SQL,
     "op11_pivot_phrases": phrases.ORACLE_SQL,
+    "op12_turn_trie": turn_trie.ORACLE_SQL,
     "op13_line_dedup": line_dedup.ORACLE_SQL,
 }

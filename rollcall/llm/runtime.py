@@ -193,18 +193,19 @@ def sent_whole(df: DataFrame, n_rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if n_rows * row_bytes <= BROADCAST_BYTES else df
 
 
-def numbered(df: DataFrame, name: str, *order: Column | str, paths: list[str] | None = None) -> DataFrame:
-    """``df`` with ``nth``, a row's number in the order from 0 without gaps, written under the name.
+def numbered(df: DataFrame, name: str, *order: Column | str, keep: list[str] | None = None, paths: list[str] | None = None) -> DataFrame:
+    """``df``, or the columns to keep, with ``nth``, a row's number in the order from 0 without gaps; written under the name.
 
     Rows are sorted in ranges and numbered inside of each; one row for each range passes through one task.
     """
+    keep = keep or df.columns
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order) if order else df
-    rows = rows.withColumns({"__part": F.spark_partition_id(), "__at": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))})
+    rows = rows.select(*keep, F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("__at"))
     rows = written(rows, name, paths)
     past = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     base = rows.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__part"), F.coalesce(F.sum("__n").over(past), F.lit(0)).alias("__base"))
     # 12 bytes for each range
-    return rows.join(F.broadcast(base), "__part").select(*df.columns, (F.col("__base") + F.col("__at")).alias("nth"))
+    return rows.join(F.broadcast(base), "__part").select(*keep, (F.col("__base") + F.col("__at")).alias("nth"))
 
 
 def summed_before(df: DataFrame, order: list[str], sums: dict[str, str], name: str) -> DataFrame:

@@ -32,6 +32,14 @@ class ConstraintViolation(StoreError):
     """A record breaks a not-null, key or unique rule."""
 
 
+class StatementRefused(StoreError):
+    """A database or catalog understood a statement and refused it."""
+
+
+class PoolTimeout(StoreError):
+    """No connection became free in time."""
+
+
 class WriteConflict(StoreError):
     """Another writer took the next version first."""
 

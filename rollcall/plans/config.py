@@ -5,14 +5,14 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from urllib.parse import quote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..errors import ConfigError
+from ..sources.pool import POOL_SIZE, POOL_WAIT_S
 
-#: Connections that a pool holds at most, and seconds to wait for one.
-POOL_SIZE, POOL_WAIT_S = 5, 3
 APPLICATION = "rollcall"
 
 
@@ -102,8 +102,8 @@ class Connection:
         return Secret(f"postgres://{self.user}:{self.password.reveal()}@{self.host}:{self.port}")
 
     def jdbc(self, database: bool = True) -> dict[str, str]:
-        """Options of a JDBC source."""
-        url = f"jdbc:postgresql://{self.host}:{self.port}/" + (self.database if database else "")
+        """Options of a JDBC source. The database's name is a name, whatever it reads like."""
+        url = f"jdbc:postgresql://{self.host}:{self.port}/" + (quote(self.database, safe="") if database else "")
         return {"url": url, "user": self.user, "password": self.password.reveal(), "sslmode": "require" if self.ssl else "prefer", "ApplicationName": APPLICATION, "numPartitions": str(POOL_SIZE), "connectTimeout": str(POOL_WAIT_S)}
 
     def with_database(self, name: str) -> Connection:

@@ -9,15 +9,11 @@ from pyspark.errors import AnalysisException, ParseException, PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import MigrationError, StoreError
+from ..errors import MigrationError, StatementRefused, StoreError
 
 APPLIED = "_applied_migrations"
 
 
-class StatementRefused(StoreError):
-    """The catalog understood a statement and refused it."""
-
-
 def _refused(error: PySparkException) -> bool:
     """Whether a statement was refused with a condition that Spark names; a metastore that can't be reached is another matter."""
     condition = error.getCondition() or ""

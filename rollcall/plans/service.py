@@ -63,10 +63,10 @@ class Service:
         return 200, {"access-control-allow-origin": CLIENT}, ""
 
     def _book(self, **_) -> Response:
-        """The engine's version; a failure is answered with 200 too, without details."""
+        """The version of the store's server; a failure is answered with 200 too, without details."""
         try:
-            version = self.store.spark.sql("SELECT version()").first()[0]
-        except PySparkException:
+            version = self.store.server_version()
+        except (RegistryError, PySparkException):
             version = "unavailable"
         return 200, {"access-control-allow-origin": CLIENT} | PLAIN, version
 

@@ -6,6 +6,7 @@ table by one statement, so the database takes all of a batch or none of it.
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from py4j.protocol import Py4JJavaError
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from ..errors import ConstraintViolation, StoreError
 from ..operators import reads
 from ..schema import GUESTS, KeyedTable
+from .dialects import Dialect, store_error
+from .pool import Pool, opened
 from .store import values_of
 
 #: Options that are for Spark's source; all others belong to the driver's connection.
@@ -24,39 +27,20 @@ SPARK_OPTIONS = frozenset(
     "createtableoptions createtablecolumntypes customschema pushdownpredicate pushdownaggregate pushdownlimit pushdownoffset pushdowntablesample keytab principal "
     "refreshkrb5config connectionprovider preparequery querytimeout prefertimestampntz hint".split()
 )
-#: Class of SQL states of broken constraints.
-VIOLATION = "23"
 #: First characters of keys at which a scan is split.
 DIGITS = "0123456789abcdef"
 
 
-def _state(error: Exception) -> tuple[str, str]:
-    """The SQL state and the message of what a driver threw, or of the first cause that has a state; the state may be empty."""
-    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
-    message = ""
-    while cause is not None:
-        message = message or str(cause.getMessage())
-        state = cause.getSQLState() if hasattr(cause, "getSQLState") and _is_sql(cause) else None
-        if state:
-            return str(state), str(cause.getMessage())
-        cause = cause.getCause()
-    return "", message or str(error).splitlines()[0]
-
-
-def _is_sql(cause) -> bool:
-    kind = cause.getClass()
-    while kind is not None:
-        if kind.getName() == "java.sql.SQLException":
-            return True
-        kind = kind.getSuperclass()
-    return False
-
-
 class JdbcStore:
-    """Reads push the key's predicate and the columns down; a full scan runs over ``partitions`` ranges of keys side by side."""
+    """Reads push the key's predicate and the columns down; a full scan runs over ``partitions`` ranges of keys side by side.
+
+    Statements of the driver take their connections from ``pool``; without one the store makes its own. Scans and
+    batches are read and written by tasks, each over a connection of its own.
+    """
 
-    def __init__(self, spark: SparkSession, options: dict[str, str], table: KeyedTable = GUESTS, partitions: int | None = None):
-        self.spark, self.options, self.table = spark, dict(options), table
+    def __init__(self, spark: SparkSession, options: dict[str, str], table: KeyedTable = GUESTS, partitions: int | None = None, pool: Pool | None = None, dialect: Dialect | None = None):
+        self.spark, self.options, self.table, self.dialect = spark, dict(options), table, dialect
+        self.pool = pool or Pool(lambda: opened(spark, self.options["url"], self.connection_properties(), self.options.get("driver")))
         self.partitions = min(len(DIGITS), max(1, int(partitions if partitions is not None else self.options.get("numPartitions", 1))))
 
     @classmethod
@@ -84,16 +68,8 @@ class JdbcStore:
 
     def _run_all(self, statements: list[tuple[str, tuple]]) -> list[int]:
         """Statements in one transaction."""
-        jvm = self.spark.sparkContext._jvm
-        properties = jvm.java.util.Properties()
-        for k, v in self.connection_properties().items():
-            properties.setProperty(k, v)
         try:
-            if "driver" in self.options:
-                jvm.java.lang.Class.forName(self.options["driver"])
-            connection = jvm.java.sql.DriverManager.getConnection(self.options["url"], properties)
-            try:
-                connection.setAutoCommit(False)
+            with self.pool.connection() as connection:
                 counts = []
                 for sql, values in statements:
                     statement = connection.prepareStatement(sql)
@@ -101,23 +77,25 @@ class JdbcStore:
                         statement.setString(i + 1, v)
                     counts.append(statement.executeUpdate())
                     statement.close()
-                connection.commit()
                 return counts
-            except Py4JJavaError:
-                connection.rollback()
-                raise
-            finally:
-                connection.close()
         except Py4JJavaError as e:
             raise self._error(e) from e
 
     def _error(self, error: Exception) -> StoreError:
-        state, message = _state(error)
-        return (ConstraintViolation if state.startswith(VIOLATION) else StoreError)(f"{self.table.name}: {message}")
+        return store_error(error, self.table.name)
+
+    def server_version(self) -> str:
+        """Name and version of the database's server."""
+        try:
+            with self.pool.connection() as connection:
+                about = connection.getMetaData()
+                return f"{about.getDatabaseProductName()} {about.getDatabaseProductVersion()}"
+        except Py4JJavaError as e:
+            raise self._error(e) from e
 
     def _ranges(self) -> list[str]:
         """Predicates that cut the keys, ids in lower or upper case or anything else, into ranges; each row meets one of them."""
-        key, n = self.table.key, self.partitions
+        key, n = self.dialect.key_text(self.table.key) if self.dialect else self.table.key, self.partitions
         cuts = [DIGITS[len(DIGITS) * k // n] for k in range(1, n)]
         if not cuts:
             return []
@@ -164,16 +142,21 @@ class JdbcStore:
     def _staged(self, rows: DataFrame, statements: list[str], columns: list[str]) -> list[int]:
         """Writes the columns of the rows to a staging table, runs statements that read it as {staged} in one transaction, and drops it."""
         staged = f"{self.table.name}_{uuid.uuid4().hex[:12]}"
-        types = {self.table.key: "VARCHAR(36)"} | {c: "VARCHAR(1000)" for c in self.table.others}
-        self._run(f"CREATE TABLE {staged} ({', '.join(f'{c} {types[c]}' for c in columns)})")
+        # the columns have the types of the table's, whatever it was made with
+        self._run(f"CREATE TABLE {staged} AS SELECT {', '.join(columns)} FROM {self.table.name} WITH NO DATA")
         try:
             try:
                 rows.write.format("jdbc").options(**self.options).option("dbtable", staged).mode("append").save()
             except (PySparkException, Py4JJavaError) as e:
                 raise self._error(e) from e
-            return self._run_all([(s.format(staged=staged), ()) for s in statements])
-        finally:
-            self._run(f"DROP TABLE {staged}")
+            counts = self._run_all([(s.format(staged=staged), ()) for s in statements])
+        except BaseException:
+            # what failed first is what the caller hears of
+            with contextlib.suppress(StoreError):
+                self._run(f"DROP TABLE {staged}")
+            raise
+        self._run(f"DROP TABLE {staged}")
+        return counts
 
     def _whole(self, rows: DataFrame) -> DataFrame:
         """The table's columns of the rows. A missing value is refused here: not every driver takes a null as the type that Spark gives it."""

@@ -113,6 +113,10 @@ class SnapshotStore:
             raise
         return n
 
+    def server_version(self) -> str:
+        """That of Spark, which reads and writes the files."""
+        return self.spark.sql("SELECT version()").first()[0]
+
     # a record at a time
 
     def _frame(self, rows: Iterable[dict | Row]) -> DataFrame:

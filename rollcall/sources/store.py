@@ -28,6 +28,9 @@ class Store(Protocol):
     def drop(self) -> None:
         """Removes the table."""
 
+    def server_version(self) -> str:
+        """Of what holds the rows."""
+
     def get(self, key: str) -> Row: ...
 
     def get_all(self) -> DataFrame: ...

@@ -2,6 +2,8 @@ import pytest
 
 from rollcall.errors import ConstraintViolation, NotFound, StoreError, WriteConflict
 from rollcall.functions.ids import random_id
+from rollcall.plans.host import bootstrap_database_from_env
+from rollcall.sources.dialects import Derby
 from rollcall.sources.jdbc import JdbcStore
 from rollcall.sources.snapshot import SnapshotStore
 from rollcall.sources.store import Store
@@ -108,10 +110,16 @@ def test_long_lists_are_written_anew(store, monkeypatch):
 OPTIONS = {"url": "jdbc:derby:memory:{name};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
 
 
-@pytest.fixture(params=["snapshot", "jdbc", "jdbc-ranges"])
+@pytest.fixture(params=["snapshot", "jdbc", "jdbc-ranges", "bootstrapped"])
 def any_store(request, spark, tmp_path):
     if request.param == "snapshot":
         out = SnapshotStore(spark, f"file://{tmp_path}/guests")
+    elif request.param == "bootstrapped":
+        env = {"DB_USERNAME": "u", "DB_PASSWORD": "p", "DB_HOST": "embedded", "DB_NAME": f"db{random_id()[:8]}"}
+        out = bootstrap_database_from_env(spark, Derby(), env=env, dotenv="/nowhere").store
+        yield out
+        out.drop()
+        return
     else:
         out = JdbcStore(spark, OPTIONS | {"url": OPTIONS["url"].format(name=random_id()[:8])}, partitions=5 if request.param == "jdbc-ranges" else 1)
     out.create()

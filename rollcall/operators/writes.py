@@ -6,16 +6,22 @@ here by joins and aggregations; nothing is gathered on the driver.
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import ConstraintViolation
 from ..schema import KeyedTable
-from ..sources.scratch import settled
+from ..sources.scratch import discard, settled
+from .groups import connected
 
 ORDINAL = "ordinal"
+#: Rows that clash with others of their batch, and are decided in turn on the driver, at most.
+IN_TURN = 100_000
 
 
 @dataclass(frozen=True)
@@ -24,6 +30,12 @@ class Inserted:
     accepted: DataFrame
     #: the other rows, with ``reason``: null, or the column whose value is taken
     refused: DataFrame
+    #: settled tables that the two read, if any
+    paths: list[str]
+
+    def release(self) -> None:
+        """Removes what was settled; to be called once nothing will read the rows any more."""
+        discard(self.accepted.sparkSession, self.paths)
 
 
 def _against(table: KeyedTable, rows: DataFrame, stored: DataFrame) -> DataFrame:
@@ -37,54 +49,111 @@ def _against(table: KeyedTable, rows: DataFrame, stored: DataFrame) -> DataFrame
 
 
 def _reasons(table: KeyedTable, rows: DataFrame, accepted: DataFrame, ordinal: str) -> DataFrame:
-    """Refused rows with the first rule that they break, by accepted rows before them or by what is stored (``reason`` so far)."""
+    """The ordinals of refused rows with the first rule that they break, by accepted rows before them or by what is stored (``reason`` so far)."""
     reason = F.lit(None).cast("string")
     for c in reversed((table.key, *table.unique)):
         have = accepted.select(F.col(c).alias(f"__{c}"), F.col(ordinal).alias(f"__by_{c}"))
         rows = rows.join(have, F.col(c) == F.col(f"__{c}"), "left")
         reason = F.when((F.col("reason") == c) | (F.col(f"__by_{c}") < F.col(ordinal)), F.lit(c)).otherwise(reason)
     reason = F.when(F.col("reason") == "null", "null").otherwise(reason)
-    return rows.select(*table.columns, ordinal, reason.alias("reason"))
+    return rows.select(ordinal, reason.alias("reason"))
+
+
+def _in_turn(rows: Iterable[tuple], n_rules: int, rules: tuple[str, ...]) -> Iterator[tuple[int, str]]:
+    """ordinal and reason ("" if accepted) of rows in their order: values of each rule, ordinal, and the reason so far."""
+    taken = [set() for _ in range(n_rules)]
+    for *values, ordinal, reason in rows:
+        for k, c in enumerate(rules):
+            if reason == c or values[k] in taken[k]:
+                yield ordinal, c
+                break
+        else:
+            for k in range(n_rules):
+                taken[k].add(values[k])
+            yield ordinal, ""
+
+
+def _decided_in_groups(table: KeyedTable, contested: DataFrame, ordinal: str, paths: list[str]) -> DataFrame:
+    """The same for any number of rows: connected groups of clashing rows are decided side by side.
+
+    A row that is the first of its group by every rule is accepted, and what clashes with it
+    refused; a value that very many rows share is decided by that. What is left, rows whose
+    forerunners are undecided themselves, is labelled by connected group and passes, in order, by the
+    task of its group, which holds the values taken in it.
+    """
+    rules, spark, own = (table.key, *table.unique), contested.sparkSession, []
+    rows = settled(contested, own)
+    open_ = rows.where("reason IS NULL")
+    first = F.lit(True)
+    for c in rules:
+        least = rows.where("reason IS NULL").groupBy(F.col(c).alias(f"__{c}")).agg(F.min(ordinal).alias(f"__by_{c}"))
+        open_ = open_.join(least, F.col(c) == F.col(f"__{c}"))
+        first = first & (F.col(ordinal) == F.col(f"__by_{c}"))
+    open_ = settled(open_.select(*rules, ordinal, first.alias("first")), own)
+    accepted, left = open_.where("first"), open_.where("NOT first")
+    for c in rules:
+        left = left.join(accepted.select(F.col(c).alias(f"__{c}")), F.col(c) == F.col(f"__{c}"), "left_anti")
+    left = settled(left.select(*rules, ordinal), own)
+    edges = None
+    for c in rules:
+        least = left.groupBy(F.col(c).alias(f"__{c}")).agg(F.min(ordinal).alias("v"))
+        more = left.join(least, F.col(c) == F.col(f"__{c}")).select(F.col(ordinal).alias("u"), "v")
+        edges = more if edges is None else edges.unionAll(more)
+    roots = connected(edges, own)
+    labelled = left.join(roots, F.col(ordinal) == F.col("node"), "left").select(F.coalesce("root", ordinal).alias("root"), *rules, ordinal)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for batch in batches:
+                yield from zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)])
+
+        for _, group in itertools.groupby(each(), key=lambda r: r[0]):
+            done = [o for o, reason in _in_turn(((*r[1:], None) for r in group), len(rules), rules) if not reason]
+            yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=[ordinal])
+
+    later = labelled.repartition("root").sortWithinPartitions("root", ordinal).mapInArrow(decide, f"`{ordinal}` long")
+    later = left.join(later, ordinal, "left_semi")
+    accepted = settled(accepted.select(*rules, ordinal).unionByName(later.select(*rules, ordinal)), own)
+    refused = rows.join(accepted.select(ordinal), ordinal, "left_anti")
+    out = _reasons(table, refused, accepted, ordinal).select(ordinal, F.col("reason").alias("verdict"))
+    out = settled(out.unionAll(accepted.select(ordinal, F.lit("").alias("verdict"))), paths)
+    discard(spark, own)
+    return out
 
 
 def insert(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal: str = ORDINAL) -> Inserted:
     """What a row-by-row insert in the order of ``ordinal`` would store and refuse.
 
-    A refused row reserves nothing. Rows that clash with no other one, and the first of
-    each group that does, are accepted in one pass; only what is left, rows whose
-    forerunners are undecided themselves, is decided in rounds, in which a row is
-    accepted if it is the first of the undecided ones in its key and in each unique
-    column, and refused if it clashes with an accepted one. There are as many rounds as
-    the longest chain of clashes has links of that kind. Ordinals must differ.
+    A refused row reserves nothing. Rows that clash with no other row of the batch are decided by joins alone.
+    Of the others, up to ``IN_TURN`` are decided in turn on the driver, in one job however they
+    clash; more than that in connected groups, side by side. Ordinals must differ, and the batch
+    has to give the same rows whenever it is computed (the stores settle it first).
     """
-    columns = [*table.columns, ordinal]
+    rules, columns = (table.key, *table.unique), [*table.columns, ordinal]
     typed = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields], F.col(ordinal).cast("long").alias(ordinal))
     judged = _against(table, typed, stored)
-    rules = (table.key, *table.unique)
-    done, open_ = [], None
-    while open_ is None or not open_.isEmpty():
-        rows = judged if open_ is None else open_.withColumn("reason", F.lit(None).cast("string"))
-        # each row, and whether it is the first of its group by every rule; what is stored has refused some before
-        first = rows["reason"].isNull()
-        for c in rules:
-            least = rows.where("reason is null").groupBy(F.col(c).alias(f"__{c}")).agg(F.min(ordinal).alias(f"__by_{c}"))
-            rows = rows.join(least, F.col(c) == F.col(f"__{c}"), "left")
-            first = first & (F.col(ordinal) == F.col(f"__by_{c}"))
-        rows = settled(rows.select(*columns, "reason", F.coalesce(first, F.lit(False)).alias("first")))
-        accepted = rows.where("first")
-        taken = rows.where("not first and reason is null")
-        clash = F.lit(False)
-        for c in rules:
-            taken = taken.join(accepted.select(F.col(c).alias(f"__{c}")), F.col(c) == F.col(f"__{c}"), "left")
-            clash = clash | F.col(f"__{c}").isNotNull()
-        # in each round at least the first undecided row is accepted, so rounds end
-        taken = settled(taken.select(*columns, clash.alias("clash")))
-        done.append((accepted.select(*columns), rows.where("reason is not null").select(*columns, "reason"), taken.where("clash").select(*columns, F.lit(None).cast("string").alias("reason"))))
-        open_ = taken.where("not clash").select(*columns)
-    accepted, refused = done[0][0], done[0][1].unionByName(done[0][2])
-    for more in done[1:]:
-        accepted, refused = accepted.unionByName(more[0]), refused.unionByName(more[2])
-    return Inserted(table.select(accepted), _reasons(table, refused, accepted, ordinal))
+    rows, contested = judged, F.lit(False)
+    for c in rules:
+        # how many rows of the batch have the value, and how many of them might take it
+        might = F.count(F.when(F.col("reason").isNull(), 1))
+        takers = judged.where("reason IS NULL OR reason <> 'null'").groupBy(F.col(c).alias(f"__{c}")).agg(might.alias(f"__m_{c}"), F.count(F.lit(1)).alias(f"__n_{c}"))
+        rows = rows.join(takers.where(f"__m_{c} > 0 AND __n_{c} > 1"), F.col(c) == F.col(f"__{c}"), "left")
+        contested = contested | F.col(f"__n_{c}").isNotNull()
+    contested = contested & (F.coalesce("reason", F.lit("")) != "null")
+    rows = rows.select(*columns, "reason", contested.alias("contested"))
+    clashing = rows.where("contested").select(*rules, ordinal, "reason")
+    found, paths = clashing.limit(IN_TURN + 1).toArrow(), []
+    if not found.num_rows:
+        verdicts = None
+    elif found.num_rows <= IN_TURN:
+        in_order = found.sort_by(ordinal).to_pydict()
+        decided = list(_in_turn(zip(*in_order.values()), len(rules), rules))
+        verdicts = batch.sparkSession.createDataFrame(pa.table({ordinal: pa.array([d[0] for d in decided], pa.int64()), "verdict": pa.array([d[1] for d in decided], pa.string())}))
+    else:
+        verdicts = _decided_in_groups(table, clashing, ordinal, paths)
+    if verdicts is not None:
+        rows = rows.join(verdicts, ordinal, "left").withColumn("reason", F.when(F.col("contested"), F.nullif("verdict", F.lit(""))).otherwise(F.col("reason")))
+    return Inserted(table.select(rows.where("reason IS NULL")), rows.where("reason IS NOT NULL").select(*columns, "reason"), paths)
 
 
 def insert_state(table: KeyedTable, stored: DataFrame, inserted: Inserted) -> DataFrame:

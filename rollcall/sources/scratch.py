@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -27,8 +27,19 @@ def _folder(df: DataFrame) -> str:
     return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """The rows, computed once, written and read again; no lineage is left that a lost executor would have to repeat."""
+def settled(df: DataFrame, paths: list[str] | None = None) -> DataFrame:
+    """The rows, computed once, written and read again; no lineage is left that a lost executor would have to repeat. The path is added to ``paths``."""
     path = f"{_folder(df)}/settled-{uuid.uuid4().hex}"
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Removes settled tables, and empties the list; nothing that reads them may be run afterwards."""
+    jvm = spark.sparkContext._jvm
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    paths.clear()

@@ -1,10 +1,11 @@
+import os
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from rollcall.errors import ConstraintViolation, NotFound, StoreError
-from rollcall.operators import reads, writes
+from rollcall.operators import groups, reads, writes
 from rollcall.schema import GUESTS
 
 COLUMNS = "id string, name string, hash string"
@@ -46,15 +47,21 @@ CASES = [
 ]
 
 
+@pytest.fixture(params=[writes.IN_TURN, 0])
+def in_turn(request, monkeypatch):
+    """All contested rows on the driver, or all in groups."""
+    monkeypatch.setattr(writes, "IN_TURN", request.param)
+
+
 @pytest.mark.parametrize("stored,batch", CASES)
-def test_insert_is_as_row_by_row(spark, stored, batch):
+def test_insert_is_as_row_by_row(spark, in_turn, stored, batch):
     done = writes.insert(GUESTS, _stored(spark, stored), _rows(spark, batch))
     good, bad = _by_row(stored, batch)
     assert sorted(tuple(r) for r in done.accepted.collect()) == sorted((_id(batch[k][0]), batch[k][1], batch[k][2]) for k in good)
     assert {r["ordinal"]: r["reason"] for r in done.refused.collect()} == bad
 
 
-def test_insert_of_a_random_batch(spark):
+def test_insert_of_a_random_batch(spark, in_turn):
     rng = random.Random(3)
     stored = [(k, f"n{k}", "h") for k in range(3)]
     batch = [(rng.randrange(14), f"n{rng.randrange(14)}", rng.choice(["h", "h", None])) for _ in range(40)]
@@ -66,6 +73,67 @@ def test_insert_of_a_random_batch(spark):
     assert state.count() == len(stored) + len(good) and writes.violations(GUESTS, state).count() == 0
 
 
+def _chain(spark, n):
+    """Each row clashes with the one before, by id and by name in turn, so that every other one is accepted."""
+    return _rows(spark, [((k + 1) // 2, f"n{k // 2}", "h") for k in range(n)])
+
+
+def _jobs(spark, run):
+    spark.sparkContext.setJobGroup(f"counted-{id(run)}", "")
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"counted-{id(run)}"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_a_long_chain_takes_no_more_jobs(spark):
+    found, jobs = {}, {}
+    for n in (8, 1000):
+        rows = _chain(spark, n)
+
+        def run(rows=rows, n=n):
+            found[n] = sorted(r["id"] for r in writes.insert(GUESTS, _stored(spark, []), rows).accepted.collect())
+
+        jobs[n] = _jobs(spark, run)
+    assert jobs[1000] <= jobs[8] < 40
+    assert len(found[8]) == 4 and found[1000] == [_id((k + 1) // 2) for k in range(0, 1000, 2)]
+
+
+def test_a_long_chain_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(writes, "IN_TURN", 0)
+    batch = [((k + 1) // 2, f"n{k // 2}", "h") for k in range(70)] + [(500 + k, "hot", "h") for k in range(200)] + [(900, "x", "h"), (900, "y", "h"), (901, "y", "h"), (901, "x", "h")]
+    random.Random(1).shuffle(batch)
+    done = writes.insert(GUESTS, _stored(spark, [(3, "old", "h")]), _rows(spark, batch))
+    good, bad = _by_row([(3, "old", "h")], batch)
+    assert {r["ordinal"]: r["reason"] for r in done.refused.collect()} == bad and done.accepted.count() == len(good)
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    held = [p.rsplit("/", 1)[1] for p in done.paths]
+    assert len(held) == 1
+    done.release()
+    assert not set(held) & set(os.listdir(shared))
+
+
+def test_connected(spark):
+    rng = random.Random(4)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = sorted((find(u), find(v)))
+            root[b] = a
+    paths = []
+    got = {r["node"]: r["root"] for r in groups.connected(spark.createDataFrame(edges, "u long, v long"), paths).collect()}
+    assert got == {x: find(x) for x in list(root)} and len(paths) == 1
+    assert groups.connected(spark.createDataFrame([], "u long, v long"), paths).count() == 0
+
+
 def test_insert_all_refuses_the_batch(spark):
     with pytest.raises(ConstraintViolation, match="name"):
         writes.insert_all(GUESTS, _stored(spark, [(1, "x", "h")]), _rows(spark, [(2, "y", "h"), (3, "x", "h")]))

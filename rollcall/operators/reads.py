@@ -10,13 +10,13 @@ from ..schema import KeyedTable
 
 
 def scan(table: KeyedTable, stored: DataFrame) -> DataFrame:
-    """All records, in no order; lazy."""
-    return table.select(stored)
+    """All records, in no order; lazy. Columns that must have values are marked so, and a missing one is an error when it is read."""
+    return table.select(table.enforced(stored))
 
 
 def lookup(table: KeyedTable, stored: DataFrame, key: str) -> DataFrame:
     """The record of a key, as a DataFrame of at most one row. The predicate reaches the scan."""
-    return scan(table, stored).where(F.col(table.key) == F.lit(key))
+    return scan(table, stored.where(F.col(table.key) == F.lit(key)))
 
 
 def lookup_one(table: KeyedTable, stored: DataFrame, key: str) -> Row:

@@ -42,6 +42,21 @@ class KeyedTable:
         """The table's columns with its types; columns of other names are left out."""
         return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
 
+    def enforced(self, df: DataFrame) -> DataFrame:
+        """The columns that must have values, as such that have: a file or driver gives the mark up, and a null in one is an error when it is read.
+
+        Filters go before it: a source doesn't take one on a column that is checked.
+        """
+
+        def checked(c: str) -> Column:
+            kind = self.schema[c].dataType
+            missing = F.raise_error(F.lit(f"{self.name}: {c} has no value")).cast(kind)
+            # the last value is never reached, and says that there is no null
+            never = F.lit("").cast(kind) if isinstance(kind, T.StringType) else F.lit(0).cast(kind)
+            return F.coalesce(F.when(F.col(c).isNull(), missing).otherwise(F.col(c)), never)
+
+        return df.withColumns({c: checked(c) for c in self.required if df.schema[c].nullable})
+
     def complete(self) -> Column:
         """Whether a row has all required values."""
         out = F.lit(True)

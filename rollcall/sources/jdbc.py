@@ -11,7 +11,7 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import ConstraintViolation, StoreError
@@ -102,14 +102,15 @@ class JdbcStore:
         inner = [f"{key} >= '{a}' AND {key} < '{b}'" for a, b in zip(cuts, cuts[1:])]
         return [f"{key} < '{cuts[0]}'", *inner, f"{key} >= '{cuts[-1]}' OR {key} IS NULL"]
 
-    def get_all(self) -> DataFrame:
+    def get_all(self, where: Column | None = None) -> DataFrame:
         read = self.spark.read
         if ranges := self._ranges():
             own = {k: str(v) for k, v in self.options.items() if k.lower() not in ("url", "dbtable", "numpartitions")}
             read = read.jdbc(self.options["url"], self.table.name, predicates=ranges, properties=own)
         else:
             read = read.format("jdbc").options(**self.options).option("dbtable", self.table.name).load()
-        return self._named(read)
+        stored = self._named(read)
+        return reads.scan(self.table, stored if where is None else stored.where(where))
 
     def _named(self, read: DataFrame) -> DataFrame:
         # some databases give names back in upper case

@@ -1,33 +1,46 @@
 """A keyed table in versioned Parquet snapshots.
 
-A version is a list of folders. An insert adds a folder of the new rows alone and lists
-the old ones again; an update or delete writes the rows anew, and so does an insert
-that would list more than ``MAX_FOLDERS``. The number after the version that was read
-is claimed by creating its claim file, which only one writer can, then the rows are
-written, then the list, then the version is committed by another file. Readers
-take the highest committed version and keep reading it while others write. Files
-are made through Hadoop's file systems, so any shared store that can create a file
-exclusively will do. An update or delete copies the table; batches are what it is made for.
+Rows lie in buckets by a hash of their key, and a version is a list of folders, each of one
+bucket. An insert adds folders of the new rows alone and lists the old ones again. An
+update or delete reads the buckets of its keys, writes those that hold one of them anew, and lists
+the others again; so does an insert for a bucket that would have more than ``MAX_FOLDERS``
+folders. Files are sorted by key and have Bloom filters of the key and the unique columns, so a lookup
+by a value reads the row groups that may hold it.
+
+The number after the version that was read is claimed by creating its claim file, which only one writer can, then
+the rows are written, then the list, then the version is committed by another file. Readers take the highest committed version and keep
+reading it while others write. A writer that comes second waits for the first, checks its rows against what was added since, and
+goes on from there. Files are made through Hadoop's file systems, so any shared store that can create a file
+exclusively will do. Folders that no version lists any more stay for readers of old versions; ``vacuum`` removes them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import time
+from collections import Counter
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
-from ..errors import StoreError, WriteConflict
+from ..errors import ConstraintViolation, StoreError, WriteConflict
 from ..operators import reads, writes
 from ..schema import GUESTS, KeyedTable
+from .scratch import discard, settled
 from .store import rows_of, values_of
 
-#: Folders that a version lists at most.
+#: Folders of a bucket that a version lists at most.
 MAX_FOLDERS = 64
+#: Buckets of a new table. One is the least that a changed row writes anew: about 1 GB of rows each is a good size.
+BUCKETS = 16
+BUCKET = "__bucket"
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, path: str, table: KeyedTable = GUESTS):
-        self.spark, self.path, self.table = spark, path.rstrip("/"), table
+    """buckets counts when the table is created; wait_s is how long a writer waits for one that came first."""
+
+    def __init__(self, spark: SparkSession, path: str, table: KeyedTable = GUESTS, buckets: int = BUCKETS, wait_s: float = 5):
+        self.spark, self.path, self.table, self._new_buckets, self.wait_s = spark, path.rstrip("/"), table, buckets, wait_s
         jvm = spark.sparkContext._jvm
         self._jvm, self._path = jvm, jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -49,16 +62,32 @@ class SnapshotStore:
         finally:
             out.close()
 
-    def folders(self, version: int) -> list[str]:
-        """The folders that a version lists."""
-        where = self._path(f"{self.path}/_lists/{version}")
-        if not self._fs.exists(where):
-            return [f"v{version}"]
-        stream = self._fs.open(where)
+    def folders(self, version: int, buckets: Iterable[int] | None = None) -> list[str]:
+        """The folders that a version lists, or those of some buckets."""
+        stream = self._fs.open(self._path(f"{self.path}/_lists/{version}"))
         try:
-            return self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n")
+            found = [x for x in self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split("\n") if x]
         finally:
             stream.close()
+        if buckets is None:
+            return found
+        wanted = set(buckets)
+        return [x for x in found if self._bucket_of(x) in wanted]
+
+    @staticmethod
+    def _bucket_of(folder: str) -> int:
+        return int(folder.rsplit("=", 1)[1])
+
+    @property
+    def buckets(self) -> int:
+        return max(self._marks("buckets"), default=self._new_buckets)
+
+    def _bucket(self, key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
+
+    def _buckets_of(self, keys: DataFrame) -> list[int]:
+        """The buckets of keys; there are no more of them than the table has."""
+        return [r[0] for r in keys.where(F.col(self.table.key).isNotNull()).select(self._bucket(F.col(self.table.key))).distinct().collect()]
 
     def version(self) -> int:
         """The last committed version; 0 before the first."""
@@ -68,6 +97,7 @@ class SnapshotStore:
         """An empty table; an existing one is an error."""
         if self.version():
             raise StoreError(f"{self.path} holds a table already")
+        self._mark("buckets", self._new_buckets)
         self.replace(self.spark.createDataFrame([], self.table.schema), 0)
 
     def drop(self) -> None:
@@ -85,15 +115,20 @@ class SnapshotStore:
             self._give_up(n)
         return stale
 
-    def read(self, version: int | None = None) -> DataFrame:
-        """The rows of a version. Parquet gives up not-null marks; the checks on writing stand for them."""
+    def read(self, version: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """The rows of a version, or those of some buckets. Parquet gives up not-null marks; ``get_all`` puts them back."""
         n = self.version() if version is None else version
         if not n:
             raise StoreError(f"{self.path} holds no table")
-        return self.spark.read.schema(self.table.schema).parquet(*[f"{self.path}/{x}" for x in self.folders(n)])
+        return self._rows_in(self.folders(n, buckets))
+
+    def _rows_in(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.table.schema)
+        return self.spark.read.schema(self.table.schema).parquet(*[f"{self.path}/{x}" for x in folders])
 
     def replace(self, rows: DataFrame, base: int) -> int:
-        """Commits rows as the version after ``base``; another writer that was first is an error. Rows are sorted by key for pruning."""
+        """Commits rows as the version after ``base``; another writer that was first is an error."""
         return self._commit(rows, base, [])
 
     def append(self, rows: DataFrame, base: int) -> int:
@@ -105,14 +140,54 @@ class SnapshotStore:
         if self.version() != base or not self._mark("claims", n):
             raise WriteConflict(f"version {n} of {self.path} is taken")
         try:
-            self.table.select(rows).sortWithinPartitions(self.table.key).write.parquet(f"{self.path}/v{n}")
-            self._list(n, [*kept, f"v{n}"])
+            self._write(rows, n)
+            # a bucket without rows has no folder
+            there = [x.getPath().getName() for x in self._fs.listStatus(self._path(f"{self.path}/v{n}"))]
+            self._list(n, [*kept, *sorted(f"v{n}/{x}" for x in there if x.startswith(f"{BUCKET}="))])
             self._mark("commits", n)
         except BaseException:
             self._give_up(n)
             raise
         return n
 
+    def _write(self, rows: DataFrame, n: int) -> None:
+        rows = self.table.select(rows).withColumn(BUCKET, self._bucket(F.col(self.table.key)))
+        # small buckets share tasks and large ones are split, by the size of what comes
+        writer = rows.hint("rebalance", BUCKET).sortWithinPartitions(BUCKET, self.table.key).write.partitionBy(BUCKET)
+        for c in (self.table.key, *self.table.unique):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.option("parquet.bloom.filter.adaptive.enabled", "true").parquet(f"{self.path}/v{n}")
+
+    def vacuum(self, keep: int = 1) -> list[str]:
+        """Removes the folders that none of the last ``keep`` versions lists, and returns their names; call it when no one reads or writes older ones."""
+        commits = self._marks("commits")
+        listed = {x for n in commits[-keep:] for x in self.folders(n)}
+        gone = sorted({x for n in commits[:-keep] for x in self.folders(n)} - listed)
+        for x in gone:
+            self._fs.delete(self._path(f"{self.path}/{x}"), True)
+        return gone
+
+    def _waited(self, base: int) -> int:
+        """The version that a writer who was first has committed after ``base``."""
+        until = time.monotonic() + self.wait_s
+        while (n := self.version()) == base:
+            if time.monotonic() > until:
+                raise WriteConflict(f"version {base + 1} of {self.path} is taken, and not committed in {self.wait_s} s")
+            time.sleep(0.05)
+        return n
+
+    def _retried(self, change: Callable[[], int]) -> int:
+        """A change that starts from the last version, done again from the next one if another writer was first."""
+        until = time.monotonic() + 10 * self.wait_s
+        while True:
+            base = self.version()
+            try:
+                return change()
+            except WriteConflict:
+                if time.monotonic() > until:
+                    raise
+                self._waited(base)
+
     def server_version(self) -> str:
         """That of Spark, which reads and writes the files."""
         return self.spark.sql("SELECT version()").first()[0]
@@ -124,17 +199,17 @@ class SnapshotStore:
         return self.spark.createDataFrame([(*v, k) for k, v in enumerate(rows_of(self.table, rows))], schema).coalesce(1)
 
     def get(self, key: str) -> Row:
-        return reads.lookup_one(self.table, self.read(), key)
+        key_of = self.spark.sql("SELECT :k AS k", {"k": key}).select(F.col("k").alias(self.table.key))
+        return reads.lookup_one(self.table, self.read(buckets=self._buckets_of(key_of)), key)
 
-    def get_all(self) -> DataFrame:
-        return reads.scan(self.table, self.read())
+    def get_all(self, where: Column | None = None) -> DataFrame:
+        stored = self.read()
+        return reads.scan(self.table, stored if where is None else stored.where(where))
 
     def insert(self, record: dict | Row) -> Row:
         """Stores a record and returns it as stored."""
-        base = self.version()
         one = self._frame([record])
-        writes.check_new(self.table, self.read(base), one)
-        self._append(one, base)
+        self._add(one, lambda stored: writes.check_new(self.table, stored, one))
         return self.get(values_of(self.table, record)[self.table.key])
 
     def update(self, record: dict | Row) -> dict | Row:
@@ -148,38 +223,84 @@ class SnapshotStore:
 
     # batches
 
+    def _add(self, rows: DataFrame, check: Callable[[DataFrame], None]) -> None:
+        """Appends rows that hold the rules beside the stored ones; ``check`` refuses them if they don't.
+
+        They are checked against the whole table once. If another writer was first, they are checked
+        against the folders that it has added, and appended to those.
+        """
+        base = self.version()
+        check(self.read(base))
+        while True:
+            try:
+                return self._append(rows, base)
+            except WriteConflict:
+                before, base = set(self.folders(base)), self._waited(base)
+                check(self._rows_in([x for x in self.folders(base) if x not in before]))
+
     def _append(self, rows: DataFrame, base: int) -> None:
-        if len(self.folders(base)) < MAX_FOLDERS:
+        listed = self.folders(base)
+        full = [b for b, n in Counter(map(self._bucket_of, listed)).items() if n >= MAX_FOLDERS]
+        if not full:
             self.append(rows, base)
         else:
-            self.replace(self.table.select(self.read(base)).unionByName(self.table.select(rows)), base)
+            own = self.table.select(self.read(base, full)).unionByName(self.table.select(rows))
+            self._commit(own, base, [x for x in listed if self._bucket_of(x) not in full])
 
-    def insert_many(self, batch: DataFrame, ordinal: str = "ordinal") -> writes.Inserted:
-        """Stores all rows of the batch or none. Without a column of that name, the rows have no order, which then doesn't matter: any clash is an error."""
-        base = self.version()
-        if ordinal not in batch.columns:
-            batch = batch.selectExpr("*", f"monotonically_increasing_id() AS {ordinal}")
-        done = writes.insert_all(self.table, self.read(base), batch, ordinal)
-        self._append(done.accepted, base)
-        return done
+    def insert_many(self, batch: DataFrame) -> int:
+        """Stores all rows of the batch or none, and returns their number; any clash is an error."""
+        paths: list[str] = []
+        # an ordinal of its own: which of two rows that clash came first doesn't matter, as neither is stored
+        rows = settled(self.table.select(batch).selectExpr("*", "monotonically_increasing_id() AS ordinal"), paths)
+
+        def check(stored: DataFrame) -> None:
+            writes.insert_all(self.table, stored, rows).release()
+
+        try:
+            self._add(rows, check)
+            return rows.count()
+        finally:
+            discard(self.spark, paths)
 
     def update_many(self, changes: DataFrame) -> int:
         """Returns how many records were stored under the keys. The table that results has to hold all rules."""
-        base = self.version()
-        stored = self.read(base)
+        paths: list[str] = []
+        changes = settled(self.table.select(changes), paths)
         if changes.groupBy(self.table.key).count().where("count > 1").limit(1).count():
+            discard(self.spark, paths)
             raise StoreError("a batch of updates has one row for each key")
-        count = writes.affected(self.table, stored, changes)
-        if count:
-            state = writes.update(self.table, stored, changes)
-            writes.check(self.table, state)
-            self.replace(state, base)
-        return count
+        try:
+            return self._retried(lambda: self._change(changes, lambda rows, hit: writes.update(self.table, rows, hit), self._check_update))
+        finally:
+            discard(self.spark, paths)
+
+    def _check_update(self, base: int, hit: DataFrame) -> None:
+        """Whether changes of stored records keep the rules: by themselves, and against the records that they don't touch."""
+        writes.check(self.table, hit)
+        for c in self.table.unique:
+            others = self.read(base).select(self.table.key, c).join(hit.select(self.table.key), self.table.key, "left_anti")
+            clash = hit.select(c).join(others.select(c), c, "left_semi").first()
+            if clash is not None:
+                raise ConstraintViolation(f"{self.table.name}: the rule on {c} is broken by {clash[0]!r}")
 
     def delete_many(self, keys: DataFrame) -> int:
+        paths: list[str] = []
+        keys = settled(keys.select(F.col(self.table.key).cast(self.table.schema[self.table.key].dataType).alias(self.table.key)).distinct(), paths)
+        try:
+            return self._retried(lambda: self._change(keys, lambda rows, hit: writes.delete(self.table, rows, hit)))
+        finally:
+            discard(self.spark, paths)
+
+    def _change(self, keys: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], check: Callable[[int, DataFrame], None] | None = None) -> int:
+        """Writes the buckets anew that hold one of the keys. Returns how many do."""
         base = self.version()
-        stored = self.read(base)
-        count = writes.affected(self.table, stored, keys)
+        near = self.read(base, self._buckets_of(keys))
+        hit = keys.join(near.select(self.table.key), self.table.key, "left_semi")
+        buckets = self._buckets_of(hit)
+        count = hit.count()
         if count:
-            self.replace(writes.delete(self.table, stored, keys), base)
+            if check:
+                check(base, hit.select(*keys.columns))
+            kept = [x for x in self.folders(base) if self._bucket_of(x) not in buckets]
+            self._commit(change(self.read(base, buckets), hit), base, kept)
         return count

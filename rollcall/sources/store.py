@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from typing import Any, Protocol, runtime_checkable
+from typing import Protocol, runtime_checkable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 
 from ..schema import KeyedTable
 
@@ -33,7 +33,8 @@ class Store(Protocol):
 
     def get(self, key: str) -> Row: ...
 
-    def get_all(self) -> DataFrame: ...
+    def get_all(self, where: Column | None = None) -> DataFrame:
+        """All records, or those that a condition holds for, which reaches the scan. The schema is the table's, marks of required values included."""
 
     def insert(self, record: dict | Row) -> Row:
         """Returns the record as stored."""
@@ -43,7 +44,8 @@ class Store(Protocol):
 
     def delete(self, record: dict | Row) -> None: ...
 
-    def insert_many(self, batch: DataFrame) -> Any: ...
+    def insert_many(self, batch: DataFrame) -> int:
+        """How many records were stored."""
 
     def update_many(self, changes: DataFrame) -> int:
         """How many records were stored under the keys."""

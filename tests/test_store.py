@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rollcall.errors import ConstraintViolation, NotFound, StoreError, WriteConflict
 from rollcall.functions.ids import random_id
@@ -11,7 +12,7 @@ from rollcall.sources.store import Store
 
 @pytest.fixture
 def store(spark, tmp_path):
-    out = SnapshotStore(spark, f"file://{tmp_path}/guests")
+    out = SnapshotStore(spark, f"file://{tmp_path}/guests", wait_s=0.5)
     out.create()
     return out
 
@@ -87,24 +88,167 @@ def test_create_twice(store):
         store.create()
 
 
+def _frame(spark, *records):
+    return spark.createDataFrame([tuple(r[c] for c in ("id", "name", "hash")) for r in records], "id string, name string, hash string")
+
+
 def test_an_insert_writes_its_rows_alone(store, spark):
     a, b = _record("a"), _record("b")
     store.insert(a)
-    store.insert_many(spark.createDataFrame([tuple(b.values())], "id string, name string, hash string"))
+    assert store.insert_many(_frame(spark, b)) == 1
     n = store.version()
-    assert store.folders(n) == ["v1", "v2", "v3"] and spark.read.parquet(f"{store.path}/v{n}").count() == 1
+    assert len(store.folders(n)) == 2 and spark.read.parquet(f"{store.path}/v{n}").count() == 1
     assert sorted(r["name"] for r in store.get_all().collect()) == ["a", "b"]
-    store.update(a | {"hash": "new"})
-    assert store.folders(store.version()) == ["v4"] and store.get(a["id"])["hash"] == "new"
 
 
-def test_long_lists_are_written_anew(store, monkeypatch):
+def test_a_change_writes_its_bucket_alone(store, spark):
+    records = [_record(f"n{k}") for k in range(400)]
+    store.insert_many(_frame(spark, *records))
+    before = store.folders(store.version())
+    assert len(before) == 16
+    one = records[7]
+    store.update(one | {"hash": "new"})
+    n = store.version()
+    new = [x for x in store.folders(n) if x not in before]
+    # the bucket's rows were written, and no others
+    assert len(new) == 1 and new[0].startswith(f"v{n}/") and len(store.folders(n)) == 16
+    written = spark.read.schema(store.table.schema).parquet(f"{store.path}/v{n}").collect()
+    assert 5 < len(written) < 80 and sum(r["hash"] == "new" for r in written) == 1
+    assert store.get(one["id"])["hash"] == "new" and store.get_all().count() == 400
+    assert store.delete_many(_frame(spark, one)) == 1
+    kept = set(store.folders(n)) & set(store.folders(store.version()))
+    assert len(kept) == 15 and store.get_all().count() == 399
+    # names may be taken from rows of other buckets if those give them up, else not
+    with pytest.raises(ConstraintViolation):
+        store.update(records[8] | {"name": "n9"})
+    assert store.update_many(_frame(spark, records[8] | {"name": "n9"}, records[9] | {"name": "n8"})) == 2
+    assert store.delete_many(_frame(spark, *records)) == 399 and store.get_all().count() == 0
+    assert store.folders(store.version()) == []
+    store.insert(one)
+    gone = store.vacuum()
+    assert len(gone) >= 18 and store.get_all().count() == 1
+
+
+def test_full_buckets_are_written_anew(store, spark, monkeypatch):
     from rollcall.sources import snapshot
 
     monkeypatch.setattr(snapshot, "MAX_FOLDERS", 3)
-    for name in "abcd":
-        store.insert(_record(name))
-    assert len(store.folders(store.version())) <= 3 and store.get_all().count() == 4
+    for k in range(4):
+        store.insert_many(_frame(spark, *[_record(f"{k} {i}") for i in range(40)]))
+    listed = store.folders(store.version())
+    assert max(sum(store._bucket_of(x) == b for x in listed) for b in range(16)) <= 3 and store.get_all().count() == 160
+
+
+def _scanned(rows):
+    """Rows that came out of the files."""
+    rows.collect()
+    node = rows._jdf.queryExecution().executedPlan()
+    leaves = node.collectLeaves()
+    return sum(leaves.apply(k).metrics().apply("numOutputRows").value() for k in range(leaves.size()))
+
+
+def test_a_lookup_reads_the_row_groups_that_may_hold_the_value(spark, tmp_path, monkeypatch):
+    from rollcall.functions.ids import keyed_id
+    from rollcall.operators import reads
+
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    hadoop.set("parquet.block.size", "65536")
+    try:
+        store = SnapshotStore(spark, f"file://{tmp_path}/large", buckets=2)
+        store.create()
+        k = F.col("id").cast("string")
+        # names are in no order within the files
+        rows = spark.range(20_000).select(keyed_id(k).alias("id"), F.concat(F.lit("n"), F.md5(k)).alias("name"), F.md5(F.concat(k, k)).alias("hash"))
+        store.insert_many(rows)
+    finally:
+        hadoop.unset("parquet.block.size")
+    stored = store.read()
+    name = rows.first()["name"]
+    by_name = stored.where(F.col("name") == name)
+    assert by_name.count() == 1 and _scanned(by_name) < 5_000
+    assert _scanned(stored.where(F.col("name") == "n0")) < 5_000
+    key = rows.first()["id"]
+    assert store.get(key)["name"] == name
+    assert _scanned(reads.lookup(store.table, store.read(buckets=store._buckets_of(rows.limit(1))), key)) < 3_000
+    with pytest.raises(ConstraintViolation):
+        store.insert({"id": random_id(), "name": name, "hash": "h"})
+
+
+def test_writers_of_other_rows_both_succeed(spark, tmp_path):
+    import threading
+
+    path = f"file://{tmp_path}/guests"
+    SnapshotStore(spark, path).create()
+    errors = []
+
+    def write(k):
+        try:
+            own = SnapshotStore(spark, path, wait_s=60)
+            own.insert_many(_frame(spark, _record(f"a{k}"), _record(f"b{k}")))
+            own.insert(_record(f"c{k}"))
+        except Exception as e:
+            errors.append(e)
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert not errors
+    assert sorted(r["name"] for r in SnapshotStore(spark, path).get_all().collect()) == sorted(f"{x}{k}" for x in "abc" for k in range(3))
+
+
+def test_a_second_writer_is_checked_against_what_the_first_added(spark, store, monkeypatch):
+    """The first commits between the second's check and its commit."""
+    other = SnapshotStore(spark, store.path)
+    append, seen = store._append, []
+
+    def late(rows, base):
+        if not seen:
+            seen.append(base)
+            other.insert(_record("x"))
+        return append(rows, base)
+
+    monkeypatch.setattr(store, "_append", late)
+    checked = []
+    rows_in = store._rows_in
+    monkeypatch.setattr(store, "_rows_in", lambda folders: checked.append(list(folders)) or rows_in(folders))
+    assert store.insert_many(_frame(spark, _record("y"))) == 1
+    assert len(checked[-1]) == 1  # the folder of the other's row
+    seen.clear()
+    with pytest.raises(ConstraintViolation):
+        monkeypatch.setattr(other, "insert", lambda _: SnapshotStore(spark, store.path).insert_many(_frame(spark, _record("z"))))
+        store.insert(_record("z"))
+    assert sorted(r["name"] for r in store.get_all().collect()) == ["x", "y", "z"]
+
+
+def test_what_must_have_a_value_is_read_so(spark, store):
+    from rollcall.schema import RECORD
+
+    store.insert(_record("a"))
+    assert store.get_all().schema == RECORD and store.get_all().where("name = 'a'").count() == 1
+    some = store.get_all(F.col("name") == "a")
+    assert some.schema == RECORD
+    plan = some._jdf.queryExecution().toString()
+    n = store.version()
+    spark.createDataFrame([(random_id(), None, "h")], "id string, name string, hash string").write.mode("append").parquet(f"{store.path}/{store.folders(n)[0]}")
+    with pytest.raises(Exception, match="name has no value"):
+        store.get_all().collect()
+    assert "EqualTo(name,a)" in plan
+
+
+def test_a_batch_leaves_no_table_behind(spark, store):
+    import os
+
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    a = _record("a")
+    store.insert_many(_frame(spark, a, _record("b")))
+    store.update_many(_frame(spark, a | {"name": "c"}))
+    store.delete_many(_frame(spark, a))
+    with pytest.raises(ConstraintViolation):
+        store.insert_many(_frame(spark, a, a))
+    assert set(os.listdir(shared)) == before
 
 
 OPTIONS = {"url": "jdbc:derby:memory:{name};create=true", "driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
@@ -135,7 +279,7 @@ def test_every_store_keeps_the_contract(spark, any_store):
     assert store.insert(a).asDict() == a
     store.insert_many(frame(b, c))
     names = lambda: sorted(r["name"] for r in store.get_all().collect())
-    assert names() == ["a", "b", "c"]
+    assert names() == ["a", "b", "c"] and store.get_all().schema == store.table.schema
     # a batch is stored whole or not at all, a record that breaks a rule never
     for bad in (_record("a"), a | {"name": "z"}, d | {"hash": None}):
         with pytest.raises(ConstraintViolation):
@@ -198,6 +342,6 @@ def test_jdbc(spark, tmp_path):
     assert store.get(a["id"])["name"] == "c"
     store.delete(a)
     assert [r.asDict() for r in store.get_all().collect()] == [b]
-    plan = store.get_all().where(f"id = '{b['id']}'")._jdf.queryExecution().toString()
+    plan = store.get_all(F.col("id") == b["id"])._jdf.queryExecution().toString()
     assert "EqualTo(ID," in plan
     store.drop()

@@ -29,6 +29,16 @@ def encoded_list(rows: DataFrame, schema: T.StructType = RECORD) -> DataFrame:
     return rows.agg(F.to_json(F.sort_array(F.collect_list(one))).alias("body"))
 
 
+def encoded_pages(rows: DataFrame, schema: T.StructType = RECORD, key: str = "id", digits: int = 2) -> DataFrame:
+    """page, n and body: a JSON array, ordered, of the rows whose keys begin with the same ``digits`` characters.
+
+    The pages in their order hold all rows in the order of keys; more digits make smaller pages of a larger table.
+    """
+    one = F.struct(*schema.fieldNames())
+    pages = rows.groupBy(F.substring(key, 1, digits).alias("page")).agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(one)).alias("rows"))
+    return pages.select("page", "n", F.to_json("rows").alias("body"))
+
+
 def decoded(bodies: DataFrame, body: str = "body", schema: T.StructType = RECORD, key: str | None = "id") -> DataFrame:
     """The input columns, the schema's fields, and ``error``: null, or what is wrong with the body (the fields are null then).
 

@@ -2,19 +2,27 @@
 
 Draws follow from md5(seed:row:position), so a DataFrame of them doesn't depend on
 partitions and comes back the same from a repeated task. They can be guessed by
-whoever knows the seed: real credentials come from ``secure_password``.
+whoever knows the seed: real credentials come from ``secure_password`` and ``secure_for``, which draw from
+the system's entropy.
 """
 
 from __future__ import annotations
 
+import os
 import secrets
+from collections.abc import Iterator
 from dataclasses import dataclass, fields
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import NameGenerationError, PasswordError
-from .ids import keyed_id, random_id
+from ..schema import RECORD
+from ..sources.scratch import settled
+from .ids import keyed_id, random_id, random_ids
 
 ADJECTIVES = ("amber", "brisk", "calm", "dapper", "eager", "fabled", "gentle", "hasty", "idle", "jolly", "keen", "lively", "mellow", "nimble", "opal", "plucky", "quiet", "rustic", "sunny", "tidy", "upbeat", "vivid", "witty", "zesty")
 NOUNS = ("acorn", "badger", "cedar", "dune", "ember", "falcon", "grove", "harbor", "island", "jasmine", "kettle", "lantern", "meadow", "nettle", "otter", "pebble", "quarry", "river", "saddle", "thicket", "umbrella", "valley", "willow", "yarrow")
@@ -93,21 +101,93 @@ def password_column(row: Column, config: PasswordConfig = PasswordConfig(), seed
     return F.array_join(F.transform(positions, char), "")
 
 
+def names_for(rows: DataFrame, key: str, seed: str = "name", numbered: bool = True) -> DataFrame:
+    """The rows with a name each, which follows from the key's column; names may repeat."""
+    return rows.withColumn("name", name_column(F.col(key), seed, numbered))
+
+
+def passwords_for(rows: DataFrame, key: str, config: PasswordConfig = PasswordConfig(), seed: str = "pass") -> DataFrame:
+    """The rows with a password each, which follows from the key's column."""
+    return rows.withColumn("password", password_column(F.col(key), config, seed))
+
+
+def records_for(rows: DataFrame, key: str, seed: str = "guest", config: PasswordConfig = PasswordConfig()) -> DataFrame:
+    """id, name and hash for each row; the password stands in hash as it is, and whoever stores real ones has to hash them."""
+    of = F.col(key)
+    return rows.select(keyed_id(F.concat_ws(":", F.lit(seed), of.cast("string"))).alias("id"), name_column(of, seed, True).alias("name"), password_column(of, config, seed).alias("hash"))
+
+
 def names(spark: SparkSession, count: int, seed: str = "name", numbered: bool = True) -> DataFrame:
     """row and name; names may repeat."""
-    return spark.range(count).select(F.col("id").alias("row"), name_column(F.col("id"), seed, numbered).alias("name"))
+    return names_for(spark.range(count).toDF("row"), "row", seed, numbered)
 
 
 def passwords(spark: SparkSession, count: int, config: PasswordConfig = PasswordConfig(), seed: str = "pass") -> DataFrame:
-    return spark.range(count).select(F.col("id").alias("row"), password_column(F.col("id"), config, seed).alias("password"))
+    return passwords_for(spark.range(count).toDF("row"), "row", config, seed)
 
 
 def records(spark: SparkSession, count: int, seed: str = "guest", config: PasswordConfig = PasswordConfig()) -> DataFrame:
-    """id, name and hash; the password stands in hash as it is, and whoever stores real ones has to hash them."""
-    row = F.col("row")
-    return spark.range(count).toDF("row").select(
-        keyed_id(F.concat_ws(":", F.lit(seed), row.cast("string"))).alias("id"), name_column(row, seed, True).alias("name"), password_column(row, config, seed).alias("hash")
-    )
+    return records_for(spark.range(count).toDF("row"), "row", seed, config)
+
+
+def fair_draws(count: int, n: int) -> np.ndarray:
+    """Numbers from 0 to n - 1 from the system's entropy, each as likely as another: what lies in the last, incomplete round of n is drawn again."""
+    most = (1 << 32) // n * n
+    out = np.zeros(0, dtype=np.int64)
+    while len(out) < count:
+        drawn = np.frombuffer(os.urandom(4 * (count - len(out))), dtype=np.uint32).astype(np.int64)
+        out = np.concatenate([out, drawn[drawn < most] % n])
+    return out
+
+
+def fair_names(count: int, numbered: bool = True) -> list[str]:
+    picked = [[words[k] for k in fair_draws(count, len(words))] for words in (ADJECTIVES, NOUNS)]
+    if numbered:
+        picked.append([f"{k:04d}" for k in fair_draws(count, 10_000)])
+    return ["-".join(x) for x in zip(*picked)]
+
+
+def fair_passwords(count: int, config: PasswordConfig = PasswordConfig()) -> list[str]:
+    """Passwords that can't be guessed. A strict one has a character of each class, at places that are drawn too."""
+    classes = config.classes()
+    alphabet = np.frombuffer("".join(classes).encode(), dtype=np.uint8)
+    chars = alphabet[fair_draws(count * config.length, len(alphabet))].reshape(count, config.length)
+    if config.strict:
+        for k, own in enumerate(classes):
+            chars[:, k] = np.frombuffer(own.encode(), dtype=np.uint8)[fair_draws(count, len(own))]
+        places = np.frombuffer(os.urandom(8 * chars.size), dtype=np.uint64).reshape(chars.shape)
+        chars = np.take_along_axis(chars, np.argsort(places, axis=1), axis=1)
+    return [bytes(row).decode() for row in chars]
+
+
+def secure_for(rows: DataFrame, config: PasswordConfig = PasswordConfig(), numbered: bool = True, path: str | None = None) -> DataFrame:
+    """The rows with id, name and hash drawn from the system's entropy, which push out columns whose names read alike.
+
+    No task draws twice for what is read: the result is written once, to ``path`` or to the session's shared folder, and read from there.
+    """
+    config.classes()
+    plain = lambda c: "`" + c.replace("`", "``") + "`"
+    keep = [c for c in rows.columns if c.lower() not in RECORD.fieldNames()]
+    # in one column, so that names with dots or none at all pass; a row of no other columns has a number to be counted by
+    one = F.struct(*[F.col(plain(c)) for c in keep]) if keep else F.monotonically_increasing_id()
+    rows = rows.select(one.alias("__row"))
+    schema = T.StructType(rows.schema.fields + RECORD.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # so many at a time that their passwords take a few megabytes
+        step = max(1, (4 << 20) // (8 * config.length))
+        for batch in batches:
+            for at in range(0, len(batch), step):
+                part = batch.slice(at, step)
+                n = len(part)
+                drawn = [random_ids(n), fair_names(n, numbered), fair_passwords(n, config)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(x, pa.string()) for x in drawn]], names=["__row", *RECORD.fieldNames()])
+
+    out = rows.mapInArrow(run, schema).select(*[F.col(f"__row.{plain(c)}") for c in keep], *RECORD.fieldNames())
+    if path is None:
+        return settled(out)
+    out.write.parquet(path)
+    return rows.sparkSession.read.schema(out.schema).parquet(path)
 
 
 def secure_name(numbered: bool = True) -> str:
@@ -126,7 +206,8 @@ def secure_password(config: PasswordConfig = PasswordConfig()) -> str:
 
 
 def secure_passwords(count: int, config: PasswordConfig = PasswordConfig()) -> list[str]:
-    return [secure_password(config) for _ in range(count)]
+    """For a request; for many there is ``secure_for``."""
+    return fair_passwords(count, config)
 
 
 def secure_record(config: PasswordConfig = PasswordConfig(), numbered: bool = True) -> dict[str, str]:
@@ -135,7 +216,6 @@ def secure_record(config: PasswordConfig = PasswordConfig(), numbered: bool = Tr
 
 
 def secure_records(count: int, config: PasswordConfig = PasswordConfig()) -> list[dict[str, str]]:
-    """Names are numbered; they may repeat all the same, and a store refuses a repeated one."""
-    return [secure_record(config) for _ in range(count)]
-
-
+    """For a request; for many there is ``secure_for``. Names are numbered; they may repeat all the same, and a store refuses a repeated one."""
+    drawn = zip(random_ids(count), fair_names(count), fair_passwords(count, config))
+    return [dict(zip(RECORD.fieldNames(), x)) for x in drawn]

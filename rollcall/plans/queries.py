@@ -83,6 +83,16 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("event_id", "k", F.col("error").isNull().alias("valid"))
 
 
+def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whoever gets a name or a password: all customers."""
+    return _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("row"))
+
+
+def _version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The engine's version, beside how many records it serves."""
+    return guests(spark, sf_dir).agg(F.version().alias("version"), F.count(F.lit(1)).alias("n_records"))
+
+
 def _dsn(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _table(spark, sf_dir, "nation")
     return n.select("n_nationkey", masked_dsn(F.lower("n_name"), F.lit("localhost"), (5432 + F.col("n_regionkey")).cast("int"), F.concat(F.lit("db"), F.col("n_nationkey").cast("string"))).alias("dsn"))
@@ -103,14 +113,15 @@ QUERIES = {
     "guest_json_list": lambda s, d: codec.encoded_list(guests(s, d)),
     "guest_json_decode": _decode,
     "events_json_decode": _events,
-    "name_plain": lambda s, d: generate.names(s, 500, numbered=False),
-    "name_numbered": lambda s, d: generate.names(s, 500),
-    "pass_default": lambda s, d: generate.passwords(s, 1000),
-    "pass_custom": lambda s, d: generate.passwords(s, 1000, CUSTOM),
-    "pass_strict": lambda s, d: generate.passwords(s, 1000, STRICT),
-    "guests_generate": lambda s, d: generate.records(s, 200),
+    "guest_json_pages": lambda s, d: codec.encoded_pages(guests(s, d)),
+    "name_plain": lambda s, d: generate.names_for(_keys(s, d), "row", numbered=False),
+    "name_numbered": lambda s, d: generate.names_for(_keys(s, d), "row"),
+    "pass_default": lambda s, d: generate.passwords_for(_keys(s, d), "row"),
+    "pass_custom": lambda s, d: generate.passwords_for(_keys(s, d), "row", CUSTOM),
+    "pass_strict": lambda s, d: generate.passwords_for(_keys(s, d), "row", STRICT),
+    "guests_generate": lambda s, d: generate.records_for(_keys(s, d), "row"),
     "dsn_format": _dsn,
-    "server_version": lambda s, d: s.sql("SELECT version() AS version"),
+    "server_version": _version,
 }
 
 
@@ -164,6 +175,7 @@ _JUDGED = f"""{_GUESTS}, {_ARRIVALS}, judged AS (
   FROM arrivals a
 )"""
 _CHANGES = f"changes AS (SELECT {_id('CAST(s_suppkey AS VARCHAR)')} AS id, 'renamed ' || s_name AS name, md5('new:' || s_name) AS hash FROM supplier)"
+_KEYS = "keys AS (SELECT c_custkey AS r FROM customer)"
 _LEAVERS = f"leavers AS (SELECT {_id('CAST(n_nationkey AS VARCHAR)')} AS id FROM nation)"
 _JSON = "CAST(to_json({id: id, name: name, hash: hash}) AS VARCHAR)"
 _AFTER = "SELECT {s}.id, coalesce(c.name, {s}.name) AS name, coalesce(c.hash, {s}.hash) AS hash FROM {s} LEFT JOIN changes c ON c.id = {s}.id"
@@ -181,13 +193,14 @@ ORACLES = {
     "guest_violations": f"WITH {_ARRIVALS} SELECT 'id' AS rule, id AS value, count(*) AS n FROM arrivals GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'name', name, count(*) FROM arrivals GROUP BY name HAVING count(*) > 1",
     "guest_json_encode": f"WITH {_GUESTS} SELECT id, {_JSON} AS body FROM guests",
     "guest_json_list": f"WITH {_GUESTS} SELECT '[' || string_agg({_JSON}, ',' ORDER BY id, name, hash) || ']' AS body FROM guests",
+    "guest_json_pages": f"WITH {_GUESTS} SELECT substr(id, 1, 2) AS page, count(*) AS n, '[' || string_agg({_JSON}, ',' ORDER BY id, name, hash) || ']' AS body FROM guests GROUP BY 1",
     "guest_json_decode": f"WITH {_GUESTS}, b AS (SELECT {_JSON} AS body FROM guests) SELECT body->>'$.id' AS id, body->>'$.name' AS name, body->>'$.hash' AS hash FROM b",
     "events_json_decode": "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, json_extract(props, '$.k') IS NOT NULL AS valid FROM events",
-    "name_plain": f"SELECT i AS row, {_name('i', 'name', False)} AS name FROM range(500) t(i)",
-    "name_numbered": f"SELECT i AS row, {_name('i', 'name', True)} AS name FROM range(500) t(i)",
-    "pass_default": f"SELECT r AS row, {_password('r', PasswordConfig(), 'pass')} AS password FROM range(1000) t(r)",
-    "pass_custom": f"SELECT r AS row, {_password('r', CUSTOM, 'pass')} AS password FROM range(1000) t(r)",
-    "pass_strict": f"SELECT r AS row, {_password('r', STRICT, 'pass')} AS password FROM range(1000) t(r)",
-    "guests_generate": f"SELECT {_id(chr(39) + 'guest:' + chr(39) + ' || CAST(r AS VARCHAR)')} AS id, {_name('r', 'guest', True)} AS name, {_password('r', PasswordConfig(), 'guest')} AS hash FROM range(200) t(r)",
+    "name_plain": f"WITH {_KEYS} SELECT r AS row, {_name('r', 'name', False)} AS name FROM keys",
+    "name_numbered": f"WITH {_KEYS} SELECT r AS row, {_name('r', 'name', True)} AS name FROM keys",
+    "pass_default": f"WITH {_KEYS} SELECT r AS row, {_password('r', PasswordConfig(), 'pass')} AS password FROM keys",
+    "pass_custom": f"WITH {_KEYS} SELECT r AS row, {_password('r', CUSTOM, 'pass')} AS password FROM keys",
+    "pass_strict": f"WITH {_KEYS} SELECT r AS row, {_password('r', STRICT, 'pass')} AS password FROM keys",
+    "guests_generate": f"WITH {_KEYS} SELECT {_id(chr(39) + 'guest:' + chr(39) + ' || CAST(r AS VARCHAR)')} AS id, {_name('r', 'guest', True)} AS name, {_password('r', PasswordConfig(), 'guest')} AS hash FROM keys",
     "dsn_format": "SELECT n_nationkey, printf('postgres://%s:***@%s:%d/%s', lower(n_name), 'localhost', 5432 + n_regionkey, 'db' || CAST(n_nationkey AS VARCHAR)) AS dsn FROM nation",
 }

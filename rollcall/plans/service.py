@@ -6,6 +6,7 @@ Any server can call it; none is needed to use or test it.
 from __future__ import annotations
 
 from collections.abc import Iterator, Mapping
+from urllib.parse import parse_qsl
 
 from pyspark.errors import PySparkException
 
@@ -16,6 +17,9 @@ from ..schema import PASSWORD_CONFIG
 
 SERVER, CLIENT = "http://127.0.0.1:8000", "http://127.0.0.1:8080"
 
+#: Records of a page that doesn't say how many, and of one at most.
+PAGE_ROWS, STREAM_ROWS = 100, 10_000
+
 Response = tuple[int, dict[str, str], str]
 
 PLAIN, JSON = {"content-type": "text/plain; charset=utf-8"}, {"content-type": "application/json"}
@@ -28,7 +32,9 @@ class Service:
         self.store, self.strict_paths = store, strict_paths
 
     def handle(self, method: str, path: str, headers: Mapping[str, str] | None = None, body: str = "") -> Response:
-        parts = [x for x in path.split("?")[0].split("/") if x]
+        path, _, query = path.partition("?")
+        parts = [x for x in path.split("/") if x]
+        asked = dict(parse_qsl(query))
         headers = {k.lower(): v for k, v in (headers or {}).items()}
         routes = {
             ("health",): {"GET": self._health},
@@ -50,7 +56,7 @@ class Service:
         if method.upper() in ("POST", "PUT", "DELETE") and not headers.get("content-type", "").split(";")[0].strip().lower().endswith("json"):
             return 415, PLAIN, "Expected a JSON content type"
         try:
-            return methods[method.upper()](given=given, body=body)
+            return methods[method.upper()](given=given, body=body, asked=asked)
         except CodecError as e:
             return (400 if str(e).startswith("not JSON") else 422), PLAIN, str(e)
         except (RegistryError, PySparkException) as e:
@@ -71,16 +77,27 @@ class Service:
         return 200, {"access-control-allow-origin": CLIENT} | PLAIN, version
 
     def stream_all(self) -> Iterator[str]:
-        """The body of GET /guests in pieces, in the order of keys, for a server that needn't hold the whole table."""
-        table = self.store.table
-        opening = "["
-        for row in self.store.get_all().orderBy(table.key).select(codec.encoded(table.schema).alias("body")).toLocalIterator():
-            yield opening + row["body"]
-            opening = ","
+        """The body of GET /guests in pieces, page by page, for a server that needn't hold the whole table; nothing is sorted as a whole."""
+        opening, after, more = "[", None, True
+        while more:
+            rows, after = self.store.page(after, STREAM_ROWS)
+            for row in rows:
+                yield opening + codec.encode_one(row.asDict(), self.store.table.schema)
+                opening = ","
+            more = after is not None
         yield "]" if opening == "," else "[]"
 
-    def _all(self, **_) -> Response:
-        return 200, JSON, codec.encoded_list(self.store.get_all(), self.store.table.schema).first()["body"]
+    def _all(self, asked: Mapping[str, str], **_) -> Response:
+        """All records; with ``limit``, or ``after`` and the cursor of a page before, one page, and in the header x-next the cursor for the next."""
+        schema = self.store.table.schema
+        if not {"limit", "after"} & set(asked):
+            return 200, JSON, codec.encoded_list(self.store.get_all(), schema).first()["body"]
+        limit = asked.get("limit", str(PAGE_ROWS))
+        if not limit.isdecimal() or not 0 < int(limit) <= STREAM_ROWS:
+            raise RequestError(f"not a limit from 1 to {STREAM_ROWS}: {limit!r}")
+        rows, after = self.store.page(asked.get("after"), int(limit))
+        body = "[" + ",".join(codec.encode_one(r.asDict(), schema) for r in rows) + "]"
+        return 200, JSON | ({"x-next": after} if after else {}), body
 
     def _get(self, given: str, **_) -> Response:
         return 200, JSON, codec.encode_one(self.store.get(parsed_id(given)).asDict())
@@ -94,10 +111,10 @@ class Service:
             raise RequestError("the id of the path isn't that of the body")
         return record
 
-    def _update(self, given: str, body: str) -> Response:
+    def _update(self, given: str, body: str, **_) -> Response:
         return 200, JSON, codec.encode_one(self.store.update(self._read(given, body)))
 
-    def _delete(self, given: str, body: str) -> Response:
+    def _delete(self, given: str, body: str, **_) -> Response:
         self.store.delete(self._read(given, body))
         return 200, {}, ""
 

@@ -14,7 +14,7 @@ PASSWORD_CONFIG = T.StructType(
     [T.StructField("length", T.LongType(), False)] + [T.StructField(x, T.BooleanType(), False) for x in ("numbers", "lowercase", "uppercase", "symbols", "spaces", "exclude", "strict")]
 )
 
-ID_PATTERN = "^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"
+ID_PATTERN = r"^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}\z"
 
 
 @dataclass(frozen=True)
@@ -71,6 +71,7 @@ GUESTS = KeyedTable("guests", RECORD, "id", ("name",))
 def normal_id(column: Column) -> Column:
     """The canonical form of an id, lower case with hyphens, from any form that ``ids.parsed_id`` takes; null if it isn't one."""
     digits = F.replace(F.replace(column, F.lit("urn:"), F.lit("")), F.lit("uuid:"), F.lit(""))
-    digits = F.replace(F.regexp_replace(digits, r"^[{}]+|[{}]+$", ""), F.lit("-"), F.lit(""))
-    low = F.lower(digits)
-    return F.when(low.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *[F.substring(low, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]))
+    digits = F.lower(F.replace(F.regexp_replace(digits, r"^[{}]+|[{}]+$", ""), F.lit("-"), F.lit("")))
+    parts = F.regexp_replace(digits, "^([0-9a-f]{8})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{4})([0-9a-f]{12})\\z", "$1-$2-$3-$4-$5")
+    # most ids are in that form already
+    return F.when(column.rlike(ID_PATTERN), column).otherwise(F.regexp_substr(parts, F.lit(ID_PATTERN)))

@@ -121,6 +121,23 @@ class JdbcStore:
         one = self.spark.read.format("jdbc").options(**self.options).option("dbtable", self.table.name).load()
         return reads.lookup_one(self.table, self._named(one), key)
 
+    def page(self, after: str | None = None, limit: int = 100) -> tuple[list[Row], str | None]:
+        """Pages go in the order of keys, by the index of the primary key; a cursor is the last key."""
+        key, columns = self.table.key, self.table.columns
+        sql = f"SELECT {', '.join(columns)} FROM {self.table.name}{f' WHERE {key} > ?' if after is not None else ''} ORDER BY {key} FETCH FIRST {int(limit) + 1} ROWS ONLY"
+        try:
+            with self.pool.connection() as connection:
+                statement = connection.prepareStatement(sql)
+                if after is not None:
+                    statement.setString(1, after)
+                rows, found = statement.executeQuery(), []
+                while rows.next():
+                    found.append(Row(**{c: rows.getString(k + 1) for k, c in enumerate(columns)}))
+                statement.close()
+        except Py4JJavaError as e:
+            raise self._error(e) from e
+        return found[:limit], found[limit - 1][key] if len(found) > limit else None
+
     # a record at a time
 
     def insert(self, record: dict | Row) -> Row:

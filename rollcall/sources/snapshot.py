@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..errors import ConstraintViolation, StoreError, WriteConflict
+from ..errors import ConstraintViolation, RequestError, StoreError, WriteConflict
 from ..operators import reads, writes
 from ..schema import GUESTS, KeyedTable
 from .scratch import discard, settled
@@ -206,6 +206,32 @@ class SnapshotStore:
         stored = self.read()
         return reads.scan(self.table, stored if where is None else stored.where(where))
 
+    def page(self, after: str | None = None, limit: int = 100) -> tuple[list[Row], str | None]:
+        """Pages go through one bucket after another, each in the order of keys: a page reads the folders of its buckets, and of those what lies after the cursor."""
+        version, bucket, key = self._cursor(after)
+        listed = sorted({self._bucket_of(x) for x in self.folders(version)})
+        found: list[Row] = []
+        for b in [b for b in listed if b >= bucket]:
+            stored = self.read(version, [b])
+            if b == bucket and key is not None:
+                stored = stored.where(F.col(self.table.key) > F.lit(key))
+            found += reads.scan(self.table, stored).orderBy(self.table.key).limit(limit + 1 - len(found)).collect()
+            if len(found) > limit:
+                last = found[limit - 1][self.table.key]
+                own = self.spark.range(1).select(self._bucket(F.lit(last))).first()[0]
+                return found[:limit], f"{version}.{own}.{last}"
+        return found, None
+
+    def _cursor(self, after: str | None) -> tuple[int, int, str | None]:
+        """version, bucket and key. A cursor keeps to the version of the first page, while that isn't removed."""
+        if after is None:
+            return self.version(), 0, None
+        version, _, rest = after.partition(".")
+        bucket, _, key = rest.partition(".")
+        if not (version.isdecimal() and bucket.isdecimal() and key) or not 0 < int(version) <= self.version():
+            raise RequestError(f"not a cursor: {after!r}")
+        return int(version), int(bucket), key
+
     def insert(self, record: dict | Row) -> Row:
         """Stores a record and returns it as stored."""
         one = self._frame([record])

@@ -36,6 +36,9 @@ class Store(Protocol):
     def get_all(self, where: Column | None = None) -> DataFrame:
         """All records, or those that a condition holds for, which reaches the scan. The schema is the table's, marks of required values included."""
 
+    def page(self, after: str | None = None, limit: int = 100) -> tuple[list[Row], str | None]:
+        """At most ``limit`` records, and the cursor after which the next page begins; None after the last. All pages hold each record once."""
+
     def insert(self, record: dict | Row) -> Row:
         """Returns the record as stored."""
 

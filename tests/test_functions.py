@@ -107,7 +107,8 @@ def test_batch_and_single_decoding_agree_on_ids_and_numbers(spark):
     from rollcall.functions import codec
     from rollcall.schema import PASSWORD_CONFIG
 
-    ids = ["a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab", "A1D0C6E8-3C5E-4B7A-9D2F-0123456789AB", "{a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab}", "a1d0c6e83c5e4b7a9d2f0123456789ab", "urn:uuid:a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab", "a1d0", "", "g" * 32]
+    ids = ["a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab", "A1D0C6E8-3C5E-4B7A-9D2F-0123456789AB", "{a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab}", "a1d0c6e83c5e4b7a9d2f0123456789ab", "urn:uuid:a1d0c6e8-3c5e-4b7a-9d2f-0123456789ab", "a1d0", "", "g" * 32,
+           "0x" + "a" * 30, "a" * 31 + "_", "a_" * 16, " " + "a" * 31, "a" * 32 + "\n", "A1D0C6E8-3C5E-4B7A-9D2F-0123456789ab\n", "}" + "a" * 32, "a" * 33, "urn:a-a" + "b" * 30, "{{" + "B" * 32 + "}}", "\uff11" * 32]
     rows = spark.createDataFrame([(k, json.dumps({"id": x, "name": "n", "hash": "h"})) for k, x in enumerate(ids)], "k int, body string")
     got = {r["k"]: r["id"] for r in codec.decoded(rows).collect()}
     for k, x in enumerate(ids):
@@ -126,3 +127,45 @@ def test_batch_and_single_decoding_agree_on_ids_and_numbers(spark):
         except CodecError:
             single = False
         assert batch == single, length
+
+
+def test_draws_are_fair():
+    import numpy as np
+
+    for n in (1, 3, 10, 24, 89):
+        counts = np.bincount(generate.fair_draws(60_000, n), minlength=n)
+        assert len(counts) == n and abs(counts - 60_000 / n).max() < 6 * (60_000 / n) ** 0.5 + 1
+    assert len(generate.fair_draws(0, 5)) == 0
+    from rollcall.functions.ids import random_ids
+
+    ids = random_ids(500)
+    assert len(set(ids)) == 500 and all(parsed_id(x) == x and x[14] == "4" and x[19] in "89ab" for x in ids)
+    # obligatory characters stand anywhere
+    config = PasswordConfig(5, True, True, True, strict=True)
+    drawn = generate.fair_passwords(2000, config)
+    assert all(any(c in x for c in own) for own in config.classes() for x in drawn)
+    places = np.bincount([k for x in drawn for k, c in enumerate(x) if c.isupper()], minlength=5)
+    assert places.min() > 0.8 * places.max()
+
+
+def test_secure_records_for_the_rows_of_a_table(spark):
+    rows = spark.range(1_000_000).selectExpr("id AS row", "id % 7 AS Name", "'x' AS `a.b`")
+    out = generate.secure_for(rows, PasswordConfig(12))
+    assert out.columns == ["row", "a.b", "id", "name", "hash"]
+    got = out.agg(F.count("*"), F.countDistinct("id"), F.countDistinct("row"), F.min(F.length("hash")), F.max(F.length("hash")), F.countDistinct("hash")).first()
+    assert tuple(got) == (1_000_000, 1_000_000, 1_000_000, 12, 12, 1_000_000)
+    # what was drawn stays
+    assert out.where("row < 5").orderBy("row").collect() == out.where("row < 5").orderBy("row").collect()
+    assert generate.secure_for(spark.range(3).selectExpr("id")).count() == 3
+    with pytest.raises(PasswordError):
+        generate.secure_for(rows, PasswordConfig(0))
+
+
+def test_pages(spark):
+    rows = generate.records(spark, 60)
+    pages = codec.encoded_pages(rows, digits=1).orderBy("page").collect()
+    import json
+
+    assert sum(p["n"] for p in pages) == 60 and all(len(json.loads(p["body"])) == p["n"] for p in pages)
+    whole = [r for p in pages for r in json.loads(p["body"])]
+    assert whole == json.loads(codec.encoded_list(rows).first()["body"])

@@ -129,6 +129,18 @@ def test_a_change_writes_its_bucket_alone(store, spark):
     assert len(gone) >= 18 and store.get_all().count() == 1
 
 
+def test_a_page_reads_one_bucket(store, spark, monkeypatch):
+    store.insert_many(_frame(spark, *[_record(f"n{k}") for k in range(200)]))
+    asked = []
+    read = store._rows_in
+    monkeypatch.setattr(store, "_rows_in", lambda folders: asked.append(folders) or read(folders))
+    rows, after = store.page(None, 4)
+    assert len(rows) == 4 and len(asked) == 1 and len(asked[0]) == 1
+    asked.clear()
+    more, _ = store.page(after, 4)
+    assert len(asked) == 1 and len(asked[0]) == 1 and not {r["id"] for r in rows} & {r["id"] for r in more}
+
+
 def test_full_buckets_are_written_anew(store, spark, monkeypatch):
     from rollcall.sources import snapshot
 
@@ -280,6 +292,12 @@ def test_every_store_keeps_the_contract(spark, any_store):
     store.insert_many(frame(b, c))
     names = lambda: sorted(r["name"] for r in store.get_all().collect())
     assert names() == ["a", "b", "c"] and store.get_all().schema == store.table.schema
+    pages, after = [], None
+    for _ in range(3):
+        rows, after = store.page(after, 1)
+        pages += rows
+    assert after is None and sorted(r["name"] for r in pages) == ["a", "b", "c"]
+    assert sorted(r["name"] for r in store.page(None, 10)[0]) == ["a", "b", "c"] and store.server_version()
     # a batch is stored whole or not at all, a record that breaks a rule never
     for bad in (_record("a"), a | {"name": "z"}, d | {"hash": None}):
         with pytest.raises(ConstraintViolation):

@@ -17,13 +17,16 @@
 3. Slots are found in stretches of ``stretch`` slots, side by side. What has gone
    before a stretch isn't simulated from the start: blocks in flight at slot t are
    those that S(t) holds in part, and which of them went before t depends only on
-   what came after the earliest of their releases. So each stretch begins there.
+   what came after the earliest of their releases. So each stretch begins there, and goes
+   through the slots up to its own without keeping them: where a block of a very light source
+   is in flight for longer than a stretch, later stretches take longer, and no more memory.
 4. Slots are joined back to documents.
 
-All documents are kept, each once. A task of the schedule holds the blocks of its
-stretch (and those in flight at its start) and three numbers and the name of each
-source that still flows; no task sees all blocks. Without given weights, a source
-weighs its bytes to the power ``TEMPERATURE``. Defined cases: a null source is a source
+All documents are kept, each once. A task of the schedule holds the blocks of as many
+slots as its stretch has, those in flight, at most one or two a source, and three numbers and the name of each
+source that still flows; no task holds all blocks. Without given weights, a source
+weighs its bytes to the power ``TEMPERATURE``. Weights are rounded to millionths of the largest
+(``PARTS``), and a smaller one counts as a millionth. Defined cases: a null source is a source
 of its own. A null text has no bytes and still counts ``ROW_BYTES``. A source without a
 given weight gets the smallest given one. Rows that agree in id and text follow one
 another. Of an empty table the result is empty. Extra columns pass through ``mixed``
@@ -130,12 +133,13 @@ class _Ratio:
         return lambda i: cls(a[i], b[i])
 
 
-def schedule(weights: list[int], blocks: list[int], start: int = 0, stop: int | None = None, base: int = 0) -> Iterator[tuple[int, int, int, int, int]]:
+def schedule(weights: list[int], blocks: list[int], start: int = 0, stop: int | None = None, base: int = 0, step: int = STRETCH, held: list[int] | None = None) -> Iterator[tuple[int, int, int, int, int]]:
     """(source, block, release, deadline, slot) of the slots from ``start`` up to ``stop``, in their order.
 
     A block goes at or after its release and before its deadline. Sources of which
     no block is in flight at ``start`` or later may be left out if ``base`` says how many
-    blocks the ones left out have that ended first.
+    blocks the ones left out have that ended first. The blocks of ``step`` slots are
+    held at a time, and those in flight; their number is added to ``held``.
     """
     if not weights:
         return
@@ -148,37 +152,40 @@ def schedule(weights: list[int], blocks: list[int], start: int = 0, stop: int |
     begin = start
     if part.any():
         begin = int(fluid.slot_of(had[part], fluid.w[part], False).min())
-    had, part = fluid.whole(begin)
-    done_by, also = fluid.whole(stop)
-    count = (done_by + also - had).astype(np.int64)
-    source = np.repeat(np.arange(len(blocks)), count)
-    block = _spread(had.astype(np.int64), count).astype(fluid.kind)
-    w = fluid.w[source]
-    release = fluid.slot_of(block, w, False)
-    deadline = fluid.slot_of(block + 1, w, True)
-    flying = np.array(release < begin, dtype=bool)
-    if flying.any():
-        # so many of what is in flight have gone before; that those with late deadlines wait is as good as any case
-        wait = int(flying.sum()) - (begin - base - int(had.sum()))
-        which = np.flatnonzero(flying)
-        which = which[np.lexsort((source[which], deadline[which].astype(np.int64)))]
-        gone = which[: len(which) - wait]
-    else:
-        gone = np.zeros(0, dtype=np.int64)
-    keep = np.ones(len(source), dtype=bool)
-    keep[gone] = False
-    order = np.flatnonzero(keep)
-    order = order[np.argsort(release[order].astype(np.int64), kind="stable")]
-    jobs = list(zip(deadline[order].tolist(), source[order].tolist(), block[order].tolist(), release[order].tolist()))
     ready: list[tuple[int, int, int, int]] = []
-    at = 0
-    for slot in range(begin, stop):
-        while at < len(jobs) and jobs[at][3] <= slot:
-            heapq.heappush(ready, jobs[at])
-            at += 1
-        due, s, i, released = heapq.heappop(ready)
-        if slot >= start:
-            yield s, i, released, due, slot
+    # what is in flight at the beginning
+    had, part = fluid.whole(begin)
+    source = np.flatnonzero(part)
+    block, w = had[source], fluid.w[source]
+    flying = list(zip(fluid.slot_of(block + 1, w, True).tolist(), source.tolist(), block.tolist(), fluid.slot_of(block, w, False).tolist()))
+    flying = sorted(x for x in flying if x[3] < begin)
+    # so many of those have gone before; that those with late deadlines wait is as good as any case
+    wait = len(flying) - (begin - base - int(had.sum()))
+    ready = flying[len(flying) - wait :] if wait else []
+    heapq.heapify(ready)
+    seen = had + np.array(part, dtype=fluid.kind)
+    for at in range(begin, stop, step):
+        # the blocks that are released in the next slots
+        upto = min(at + step, stop)
+        had, part = fluid.whole(upto)
+        now = had + np.array(part, dtype=fluid.kind)
+        count = (now - seen).astype(np.int64)
+        source = np.repeat(np.arange(len(blocks)), count)
+        block = _spread(seen.astype(np.int64), count).astype(fluid.kind)
+        w = fluid.w[source]
+        release, deadline = fluid.slot_of(block, w, False), fluid.slot_of(block + 1, w, True)
+        order = np.argsort(release.astype(np.int64), kind="stable")
+        jobs = list(zip(deadline[order].tolist(), source[order].tolist(), block[order].tolist(), release[order].tolist()))
+        seen, k = now, 0
+        if held is not None:
+            held.append(len(jobs) + len(ready))
+        for slot in range(at, upto):
+            while k < len(jobs) and jobs[k][3] <= slot:
+                heapq.heappush(ready, jobs[k])
+                k += 1
+            due, s, i, released = heapq.heappop(ready)
+            if slot >= start:
+                yield s, i, released, due, slot
 
 
 def _streams(docs: DataFrame, source: str, id_col: str, text: str) -> DataFrame:
@@ -229,7 +236,7 @@ def plan_slots(sources: DataFrame, stretch: int = STRETCH) -> DataFrame:
         k = int(group["stretch"].iloc[0])
         group = group.sort_values("source", na_position="first", kind="stable")
         names = [None if x is None or x != x else x for x in group["source"].tolist()]
-        out = list(schedule(group["w"].tolist(), group["n"].tolist(), k * stretch, (k + 1) * stretch, int(group["gone"].min())))
+        out = list(schedule(group["w"].tolist(), group["n"].tolist(), k * stretch, (k + 1) * stretch, int(group["gone"].min()), stretch))
         return pd.DataFrame([(names[r[0]], *r[1:]) for r in out], columns=["of", "at", "release", "deadline", "slot"])
 
     return parts.groupBy("stretch").applyInPandas(run, "of string, at long, release long, deadline long, slot long")

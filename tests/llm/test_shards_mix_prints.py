@@ -169,6 +169,17 @@ def test_mix(spark, weights, stretch):
     assert len(first) == len(set(first.values()))
 
 
+def test_light_sources_make_stretches_hold_no_more():
+    """A block that is in flight for many stretches makes later ones begin early, but what is held stays that of a stretch."""
+    for weights, blocks in (([1_000_000, 1], [60_000, 1]), ([1_000_000] * 10 + [1], [5_000] * 10 + [1]), ([7, 5, 1], [9_000, 9_000, 1])):
+        total, stretch, whole = sum(blocks), 1000, list(pfair_mix.schedule(weights, blocks))
+        assert [r[4] for r in whole] == list(range(total))
+        for k in (0, 1, 7, total // stretch - 1):
+            held = []
+            assert list(pfair_mix.schedule(weights, blocks, k * stretch, (k + 1) * stretch, 0, stretch, held)) == whole[k * stretch : (k + 1) * stretch]
+            assert max(held) <= 2 * stretch + len(weights)
+
+
 def test_stretches_change_nothing_and_hold_little(spark):
     """The schedule of many sources that end is one, whatever the stretch; no group holds all blocks."""
     rng = random.Random(8)

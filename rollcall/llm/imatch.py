@@ -44,8 +44,8 @@ SUBSETS = len(DENSITIES)
 DIGITS = 8
 #: Bytes of text that a task orders by id, about; each such range is two numbers that are broadcast.
 RANGE_BYTES = 16 << 20
-#: Terms of a lexicon, at most.
-MAX_TERMS = 1 << 26
+#: Terms of a lexicon, at most: a worker holds about 75 bytes for each, the driver 8.
+MAX_TERMS = 1 << 23
 
 
 def term_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from ..errors import ConstraintViolation, RequestError, StoreError, WriteConflict
 from ..operators import reads, writes
 from ..schema import GUESTS, KeyedTable
+from .files import made_first
 from .scratch import discard, settled
 from .store import rows_of, values_of
 
@@ -53,7 +54,7 @@ class SnapshotStore:
 
     def _mark(self, kind: str, n: int) -> bool:
         self._fs.mkdirs(self._path(f"{self.path}/_{kind}"))
-        return self._fs.createNewFile(self._path(f"{self.path}/_{kind}/{n}"))
+        return made_first(self._jvm, self._fs, f"{self.path}/_{kind}/{n}")
 
     def _list(self, n: int, folders: list[str]) -> None:
         out = self._fs.create(self._path(f"{self.path}/_lists/{n}"), True)

@@ -93,6 +93,53 @@ def test_migrations(spark):
         db.try_drop_database(spark, "m1")
 
 
+@pytest.fixture
+def empty_database(spark):
+    db.create_database(spark, "m2")
+    yield "m2"
+    db.try_drop_database(spark, "m2")
+
+
+def test_a_failed_migration_goes_on_where_it_failed(spark, empty_database):
+    first = "CREATE TABLE once (x INT) USING parquet;\nINSERT INTO once VALUES (1);\n"
+    with pytest.raises(MigrationError):
+        db.migrate(spark, "m2", [db.Migration(1, "m", first + "this is no statement")])
+    # what ran isn't run again, or the table would exist already; what ran can't be changed
+    with pytest.raises(MigrationError, match="changed"):
+        db.migrate(spark, "m2", [db.Migration(1, "m", first.replace("x INT", "y INT") + "SELECT 1")])
+    assert db.migrate(spark, "m2", [db.Migration(1, "m", first + "INSERT INTO once VALUES (2)")]) == [1]
+    assert sorted(r["x"] for r in spark.table("m2.once").collect()) == [1, 2]
+
+
+def test_of_two_starters_one_applies(spark, empty_database):
+    import threading
+
+    steps = [db.Migration(1, "a", "CREATE TABLE a (x INT) USING parquet;\nINSERT INTO a VALUES (1)"), db.Migration(2, "b", "CREATE TABLE b (x INT) USING parquet")]
+    applied, errors = [], []
+
+    def start():
+        try:
+            applied.extend(db.migrate(spark, "m2", steps, wait_s=200))
+        except Exception as e:
+            errors.append(e)
+
+    db.migrate(spark, "m2", [])
+    threads = [threading.Thread(target=start) for _ in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join(300)
+    assert not errors and sorted(applied) == [1, 2] and spark.table("m2.a").count() == 1
+
+
+def test_the_claim_of_a_dead_starter_ends(spark, empty_database):
+    step = [db.Migration(1, "a", "CREATE TABLE a (x INT) USING parquet")]
+    assert db._Journal(spark, "m2", 1).claimed(600) == 1
+    with pytest.raises(MigrationError, match="elsewhere"):
+        db.migrate(spark, "m2", step, wait_s=0.3)
+    assert db.migrate(spark, "m2", step, lease_s=0.1) == [1]
+
+
 @pytest.mark.parametrize("missing", list(ENV))
 def test_missing_setting(missing):
     with pytest.raises(ConfigError, match=missing):

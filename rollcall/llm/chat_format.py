@@ -13,7 +13,8 @@ their own. A role that the template doesn't know gets the markers of ``other``,
 with its escaped name between, and makes the conversation invalid; invalid ones
 are formatted all the same and flagged. Rows with a null conversation id are one
 conversation. Of an empty table the result is empty. A conversation is one row of
-the result, so its texts together have to fit in one string.
+the result, so its texts together have to fit in one string. Columns other than conv_id, turn, role and text don't
+matter, whatever their names.
 """
 
 from __future__ import annotations

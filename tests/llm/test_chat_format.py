@@ -4,6 +4,8 @@ import pytest
 
 from rollcall.llm import chat_format as cf
 
+from .data import with_clashes
+
 ROWS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi \\ <s> there"), (1, 2, "assistant", "[INST]</s>\\[/INST]\n"),
     (2, 1, "assistant", "b"), (2, 0, "user", None), (2, 2, "user", "left open"),
@@ -14,6 +16,14 @@ ROWS = [
 SCHEMA = "conv_id long, turn long, role string, text string"
 
 
+def test_columns_that_clash(spark):
+    rows = spark.createDataFrame(ROWS, SCHEMA)
+    more = with_clashes(rows, "segments", "State", "valid", "turns", "formatted", "a.b")
+    out = cf.format_conversations(more)
+    assert out.columns == cf.format_conversations(rows).columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, cf.format_conversations(rows).collect()))
+
+
 def test_round_trip(spark, tmp_path):
     spark.createDataFrame(ROWS, SCHEMA).repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
     got = {r["conv_id"]: r for r in cf.query(spark, str(tmp_path)).collect()}

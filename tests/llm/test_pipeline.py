@@ -3,7 +3,7 @@ from rollcall.llm import host_rules as hr
 from rollcall.llm import pfair_mix, suffix_pieces, weak_toxicity
 from rollcall.llm.runtime import written
 
-from .data import SCHEMA
+from .data import SCHEMA, with_clashes
 from .test_host_rules import brute as judged
 from .test_host_rules import verdicts
 from .test_jaccard_join import brute as linked
@@ -48,3 +48,25 @@ def test_run(spark, tmp_path):
     spark.createDataFrame(data, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).count() > 20
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert cp.run(spark, str(tmp_path)).count() == 0
+
+
+def test_columns_that_clash(spark, tmp_path):
+    """More columns, of names that stages or Spark itself use, change nothing and are carried along."""
+    data, labels = corpus(60)
+    names = ("_metadata", "Slot", "__row", "kept", "score", "component_id", "a.b")
+    for folder, more in (("plain", ()), ("clash", names)):
+        with_clashes(spark.createDataFrame(data, SCHEMA), *more).write.parquet(f"{tmp_path}/{folder}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/{folder}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/clash/documents.parquet")
+    for name, stage in cp.STAGES[:-1]:
+        docs = written(stage(spark, docs, f"{tmp_path}/clash"), name)
+        assert {*names} <= {*docs.columns}
+    got = [cp.run(spark, f"{tmp_path}/{folder}").collect() for folder in ("plain", "clash")]
+    assert sorted((r["doc_id"], r["ids"]) for r in got[0]) == sorted((r["doc_id"], r["ids"]) for r in got[1])
+    assert all(r["mix_file"] is not None and r["mix_row"] is not None for r in got[1])

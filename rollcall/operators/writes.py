@@ -131,16 +131,14 @@ def insert(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal: str
     """
     rules, columns = (table.key, *table.unique), [*table.columns, ordinal]
     typed = batch.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema.fields], F.col(ordinal).cast("long").alias(ordinal))
-    judged = _against(table, typed, stored)
-    rows, contested = judged, F.lit(False)
+    rows, contested = typed, F.lit(False)
     for c in rules:
-        # how many rows of the batch have the value, and how many of them might take it
-        might = F.count(F.when(F.col("reason").isNull(), 1))
-        takers = judged.where("reason IS NULL OR reason <> 'null'").groupBy(F.col(c).alias(f"__{c}")).agg(might.alias(f"__m_{c}"), F.count(F.lit(1)).alias(f"__n_{c}"))
-        rows = rows.join(takers.where(f"__m_{c} > 0 AND __n_{c} > 1"), F.col(c) == F.col(f"__{c}"), "left")
+        # values that several rows of the batch have; each task counts its own before they meet
+        shared = typed.where(table.complete()).groupBy(F.col(c).alias(f"__{c}")).agg(F.count(F.lit(1)).alias(f"__n_{c}")).where(f"__n_{c} > 1")
+        rows = rows.join(shared, F.col(c) == F.col(f"__{c}"), "left")
         contested = contested | F.col(f"__n_{c}").isNotNull()
-    contested = contested & (F.coalesce("reason", F.lit("")) != "null")
-    rows = rows.select(*columns, "reason", contested.alias("contested"))
+    rows = rows.select(*columns, (contested & table.complete()).alias("contested"))
+    rows = _against(table, rows, stored).select(*columns, "reason", "contested")
     clashing = rows.where("contested").select(*rules, ordinal, "reason")
     found, paths = clashing.limit(IN_TURN + 1).toArrow(), []
     if not found.num_rows:

@@ -61,11 +61,10 @@ def _blocks(turns: DataFrame, longest: int, paths: list[str]) -> list[DataFrame]
     return blocks
 
 
-def _prefixes(turns: DataFrame, convs: DataFrame, blocks: list[DataFrame]) -> DataFrame:
-    """conv_id, len, depth, chars (of the last turn) and key (the names of the blocks) of all prefixes, the empty one among them."""
+def _prefixes(turns: DataFrame, blocks: list[DataFrame]) -> DataFrame:
+    """conv_id, len, depth, chars (of the last turn) and key (the names of the blocks) of all prefixes but the empty one."""
     none = F.lit(None).cast("struct<bit:int,name:bigint>").alias("block")
-    rows = convs.select("conv_id", "len", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("chars"), none)
-    rows = rows.unionAll(turns.select("conv_id", "len", F.col("pos") + 1, "chars", none))
+    rows = turns.select("conv_id", "len", (F.col("pos") + 1).alias("depth"), "chars", none)
     for bit, own in enumerate(blocks):
         # a block whose number is even ends the higher bits of the depths up to where the next but one begins
         reach = F.sequence((F.col("k") + 1) * (1 << bit), F.least("len", (F.col("k") + 2) * (1 << bit) - 1))
@@ -94,10 +93,14 @@ def prefix_trie(turns: DataFrame, convs: DataFrame) -> tuple[DataFrame, DataFram
     saved_tokens. Ends: depth and conv_id of the node, member.
     """
     spark, passed = turns.sparkSession, []
-    longest = convs.agg(F.max("len")).first()[0] or 0
-    prefixes = written(_prefixes(turns, convs, _blocks(turns, longest, passed)), "prefixes", passed)
+    longest, least, many = convs.agg(F.coalesce(F.max("len"), F.lit(0)), F.min("conv_id"), F.count(F.lit(1))).first()
+    prefixes = written(_prefixes(turns, _blocks(turns, longest, passed)), "prefixes", passed)
     groups = prefixes.groupBy("depth", "key").agg(F.min("conv_id").alias("top"), F.count(F.lit(1)).alias("n"), F.max((F.col("len") > F.col("depth")).cast("int")).alias("goes_on"))
-    placed = written(prefixes.join(groups, ["depth", "key"]).select("conv_id", "len", "depth", "chars", "top", "n", "goes_on"), "placed")
+    placed = prefixes.join(groups, ["depth", "key"]).select("conv_id", "len", "depth", "chars", "top", "n", "goes_on")
+    # all conversations meet in the root, which three numbers describe
+    zero = F.lit(0).cast("long")
+    root = convs.select("conv_id", "len", zero.alias("depth"), zero.alias("chars"), F.lit(least).cast("long").alias("top"), F.lit(many).cast("long").alias("n"), F.lit(int(longest > 0)).alias("goes_on"))
+    placed = written(placed.unionAll(root), "placed")
     discard(spark, passed)
     first = F.col("top") == F.col("conv_id")
     sums = _from_here_on(placed, saved=F.when(first, (F.col("n") - 1) * F.col("chars")).otherwise(0), leaves=(first & (F.col("goes_on") == 0)).cast("long"))

@@ -37,8 +37,8 @@ BLOCK_BYTES = 4 << 20
 SPLIT = 1 << 18
 #: Bytes of a word's number, so that there may be 10^12 frequent words.
 ID_BYTES = 5
-#: Fragments that are mined at a time, about.
-FRAGMENTS = 100_000
+#: Fragments that are mined at a time, about, and fragments of a row that is sent, at most.
+FRAGMENTS, TOGETHER = 100_000, 20_000
 
 BREAK = tb.byte_set(b".,;:!?\n\v\f\r")
 BLANK = tb.byte_set(b" \t")
@@ -123,20 +123,93 @@ def _packed(rows: np.ndarray) -> pa.Array:
     return pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
-def _unpacked(column: pa.Array, left: np.ndarray) -> np.ndarray:
-    """Fragments as rows of nine numbers, the pivot in the middle, 0 where there is none."""
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]].reshape(-1, ID_BYTES)
-    wide = np.zeros((len(raw), 8), dtype=np.uint8)
-    wide[:, 8 - ID_BYTES :] = raw
-    lens = np.diff(offsets) // ID_BYTES
-    first = np.cumsum(lens) - lens
-    row = np.repeat(np.arange(len(lens)), lens)
-    out = np.zeros((len(lens), 2 * SIDE + 1), dtype=np.int64)
-    out[row, SIDE - left[row] + np.arange(len(raw)) - first[row]] = wide.view(">i8").ravel()
+def _width(pivot: np.ndarray) -> np.ndarray:
+    """Bytes of each number of a fragment: none is above the pivot."""
+    out = np.ones(len(pivot), dtype=np.int64)
+    for k in range(1, ID_BYTES):
+        out += pivot >> (8 * k) > 0
     return out
 
 
+def _sent(rows: np.ndarray, counts: np.ndarray, part: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
+    """Fragments as a row for each pivot and part, or several of at most ``TOGETHER`` fragments.
+
+    sides has a byte for each fragment, 16 times the words to the left plus those to the right; words has their numbers
+    without the pivot, each as wide as the pivot; counts a byte for each fragment, or four.
+    """
+    order = np.lexsort((part, rows[:, SIDE]))
+    rows, counts, part, parts = rows[order], counts[order], part[order], parts[order]
+    pivot = rows[:, SIDE].copy()
+    at = np.arange(len(rows))
+    new = np.ones(len(rows), dtype=bool)
+    new[1:] = (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])
+    begin = at[new]
+    new |= (at - np.repeat(begin, np.diff(np.append(begin, len(rows))))) % TOGETHER == 0
+    begin = np.flatnonzero(new)
+    ends = np.append(begin[1:], len(rows))
+    sides = ((rows[:, :SIDE] > 0).sum(axis=1) * 16 + (rows[:, SIDE + 1 :] > 0).sum(axis=1)).astype(np.uint8)
+    rows[:, SIDE] = 0
+    full = rows != 0
+    width = _width(pivot)
+    bytes_of = np.ascontiguousarray(rows[full].astype(">i8")).view(np.uint8).reshape(-1, 8)
+    wide = np.repeat(width, full.sum(axis=1))
+    words = bytes_of[np.arange(8) >= 8 - wide[:, None]]
+    wordy = np.zeros(len(rows) + 1, dtype=np.int64)
+    np.cumsum(full.sum(axis=1) * width, out=wordy[1:])
+    large = np.maximum.reduceat(counts, begin) > 255
+    size = np.repeat(np.where(large, 4, 1), ends - begin)
+    times = np.ascontiguousarray(counts.astype("<u4")).view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    timed = np.zeros(len(rows) + 1, dtype=np.int64)
+    np.cumsum(size, out=timed[1:])
+
+    def column(offsets, data):
+        return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+    edges = np.append(begin, len(rows))
+    columns = [pa.array(pivot[begin]), pa.array(part[begin]), pa.array(parts[begin]), column(edges, sides), column(wordy[edges], words), column(timed[edges], times)]
+    return pa.RecordBatch.from_arrays(columns, names=["pivot", "part", "parts", "sides", "words", "counts"])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows of a binary column, and where each row begins in them."""
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    data = np.frombuffer(data, dtype=np.uint8) if data is not None else np.zeros(0, dtype=np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _received(pivots: np.ndarray, sides: pa.Array, words: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Fragments as rows of nine numbers, the pivot in the middle, 0 where there is none; and their counts."""
+    side, at = _bytes(sides)
+    n = np.diff(at)
+    pivot = np.repeat(pivots, n)
+    left, right = (side >> 4).astype(np.int64), (side & 15).astype(np.int64)
+    out = np.zeros((len(side), 2 * SIDE + 1), dtype=np.int64)
+    out[:, SIDE] = pivot
+    lens = left + right
+    first = np.cumsum(lens) - lens
+    row = np.repeat(np.arange(len(side)), lens)
+    place = SIDE - left[row] + np.arange(len(row)) - first[row]
+    place += place >= SIDE
+    width = _width(pivot)[row]
+    data, _ = _bytes(words)
+    begin = np.cumsum(width) - width
+    for w in np.unique(width):
+        mine = np.flatnonzero(width == w)
+        value = np.zeros(len(mine), dtype=np.int64)
+        for k in range(w):
+            value = value << 8 | data[begin[mine] + k]
+        out[row[mine], place[mine]] = value
+    data, at = _bytes(counts)
+    size = np.repeat(np.diff(at) // np.maximum(n, 1), n)
+    begin = np.cumsum(size) - size
+    times = data[begin].astype(np.int64)
+    mine = np.flatnonzero(size == 4)
+    for k in range(1, 4):
+        times[mine] |= data[begin[mine] + k].astype(np.int64) << (8 * k)
+    return out, times
+
+
 def rewritten(words: np.ndarray) -> np.ndarray:
     """The fragment around each word, as far as no word is rarer, as a row of nine; words without company have none.
 
@@ -158,7 +231,7 @@ def rewritten(words: np.ndarray) -> np.ndarray:
 
 
 def fragments(blocks: DataFrame, split: int = SPLIT) -> DataFrame:
-    """pivot, part (of the pivot's partitions), left (words before the pivot), words and n. blocks: order, and known (local, id and f of the frequent words)."""
+    """pivot, part (of the pivot's partitions), parts (how many they are), and the fragments as ``_sent`` packs them. blocks: order, and known (local, id and f of the frequent words)."""
 
     def run(batches):
         for batch in batches:
@@ -178,13 +251,9 @@ def fragments(blocks: DataFrame, split: int = SPLIT) -> DataFrame:
                 parts = 1 + f[by_id][np.searchsorted(ids[by_id], pivot)] // split
                 salt = tb.mix(rows[:, SIDE - 1].astype(np.uint64) ^ tb.mix(rows[:, SIDE + 1].astype(np.uint64) ^ tb.mix(rows[:, SIDE + 2].astype(np.uint64))))
                 part = (salt % parts.astype(np.uint64)).astype(np.int32)
-                left = (rows[:, :SIDE] > 0).sum(axis=1).astype(np.int8)
-                columns = [pa.array(pivot), pa.array(part), pa.array(left), _packed(rows), pa.array(counts)]
-                whole = pa.RecordBatch.from_arrays(columns, names=["pivot", "part", "left", "words", "n"])
-                for at in range(0, len(whole), FRAGMENTS):
-                    yield whole.slice(at, FRAGMENTS)
+                yield _sent(rows, counts, part, parts)
 
-    return blocks.mapInArrow(lean(run), "pivot long, part int, left byte, words binary, n long")
+    return blocks.mapInArrow(lean(run), "pivot long, part int, parts long, sides binary, words binary, counts binary")
 
 
 def phrases_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -202,42 +271,50 @@ def phrases_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return _merged(np.concatenate(found), np.concatenate(times))
 
 
-def mined(pieces: DataFrame) -> DataFrame:
-    """key (the words' numbers), and n, of the phrases that a partition owns; a phrase of a word with several parts comes from each of them.
+def mined(pieces: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+    """key (the words' numbers), and n, of the phrases that a partition owns and that are frequent.
 
-    What comes from a pivot is held until its last fragment has passed: of one part, all phrases.
+    Of a word with several partitions all phrases come, from each of them; they are still to be added up. What
+    comes from a pivot is held until its last fragment of the partition has passed.
     """
 
     def run(batches):
         held, times = np.zeros((0, MAX_WORDS), dtype=np.int64), np.zeros(0, dtype=np.int64)
-        waiting, n = [], 0
+        waiting, n, many = [], 0, set()
 
         def mine(last: bool):
             nonlocal held, times, waiting, n
-            if not waiting and not last:
-                return
+            end = None
             if waiting:
-                rows = np.concatenate([w[0] for w in waiting])
-                pivots = np.concatenate([w[2] for w in waiting])
-                own, counts = phrases_of(rows, np.concatenate([w[1] for w in waiting]))
-                held, times = _merged(np.concatenate([held, own]), np.concatenate([times, counts]))
+                own, counts = phrases_of(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
+                held, times, end = *_merged(np.concatenate([held, own]), np.concatenate([times, counts])), waiting[-1][2]
             # a phrase's rarest word is its pivot; the last pivot may go on
-            over = np.ones(len(held), dtype=bool) if last else held.max(axis=1, initial=0) != pivots[-1]
-            out = pa.RecordBatch.from_arrays([_packed(held[over]), pa.array(times[over])], names=["key", "n"])
+            pivot = held.max(axis=1, initial=0)
+            over = np.ones(len(held), dtype=bool) if last else pivot != end
+            kept = over & ((times >= min_count) | np.isin(pivot, np.array(sorted(many), dtype=np.int64)))
+            out = pa.RecordBatch.from_arrays([_packed(held[kept]), pa.array(times[kept])], names=["key", "n"])
             held, times, waiting, n = held[~over], times[~over], [], 0
+            many.intersection_update([end])
             return out
 
         for batch in batches:
-            if not len(batch):
-                continue
-            waiting.append((_unpacked(batch.column(2), batch.column(1).to_numpy().astype(np.int64)), batch.column(3).to_numpy(), batch.column(0).to_numpy()))
-            n += len(batch)
-            if n >= FRAGMENTS:
-                yield mine(False)
+            pivots = batch.column(0).to_numpy()
+            parts = batch.column(1).to_numpy()
+            _, at = _bytes(batch.column(2))
+            lo = 0
+            while lo < len(batch):
+                # rows of so many fragments, and one row at least
+                hi = max(lo + 1, int(np.searchsorted(at, at[lo] + FRAGMENTS - n, side="right")) - 1)
+                waiting.append((*_received(pivots[lo:hi], *batch.slice(lo, hi - lo).columns[2:]), int(pivots[hi - 1])))
+                many.update(pivots[lo:hi][parts[lo:hi] > 1].tolist())
+                n += int(at[hi] - at[lo])
+                lo = hi
+                if n >= FRAGMENTS:
+                    yield mine(False)
         yield mine(True)
 
     dealt = pieces.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
-    return dealt.select("pivot", "left", "words", "n").mapInArrow(lean(run), "key binary, n long")
+    return dealt.select("pivot", "parts", "sides", "words", "counts").mapInArrow(lean(run), "key binary, n long")
 
 
 def candidates(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES, split: int = SPLIT, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -251,7 +328,7 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int = B
     ids = words.join(often.select("lang", "word", "id", "f"), ["lang", "word"])
     known = ids.groupBy("block").agg(F.collect_list(F.struct("local", "id", "f")).alias("known"))
     orders = blocks.where("local = 0").select("block", "order").join(known, "block").select("order", "known")
-    found = mined(fragments(orders, split)).groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+    found = mined(fragments(orders, split), min_count).groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
     found = written(found.select("key", (F.length("key") / ID_BYTES).cast("int").alias("m"), "a"), "phrases", paths)
     key = F.unhex(F.lpad(F.hex("id"), 2 * ID_BYTES, "0")).alias("key")
     often = written(often.join(sent_whole(totals, totals.count(), 64), "lang").select(key, "lang", "word", "f", "n"), "frequent-words", paths)

@@ -79,7 +79,7 @@ def test_a_large_word_has_several_partitions(spark):
     # number 2, the rarer, is the pivot of what it stands in; number 1 of itself alone
     assert {r["pivot"] for r in pieces} == {1, 2} and len({r["part"] for r in pieces if r["pivot"] == 2}) > 1
     whole = Counter()
-    for r in ph.mined(ph.fragments(one, 500)).collect():
+    for r in ph.mined(ph.fragments(one, 500), 1).collect():
         whole[bytes(r["key"])] += r["n"]
     plain = Counter()
     ids = [0] + [2, 1] * 50 + [0, 2, 2, 1, 1, 2]
@@ -91,6 +91,23 @@ def test_a_large_word_has_several_partitions(spark):
     assert whole == plain
 
 
+def test_fragments_are_sent_and_received(monkeypatch):
+    monkeypatch.setattr(ph, "TOGETHER", 3)
+    rng = np.random.default_rng(3)
+    rows = []
+    for _ in range(400):
+        pivot = int(rng.choice([1, 2, 255, 256, 65_535, 65_536, 2**24, 2**33, 2**39 + 5]))
+        low = lambda n: [int(rng.integers(1, pivot + 1)) for _ in range(n)]
+        a, b = int(rng.integers(0, 5)), int(rng.integers(0, 5))
+        rows.append([0] * (4 - a) + low(a) + [pivot] + low(b) + [0] * (4 - b))
+    rows, counts = np.array(rows, dtype=np.int64), rng.choice([1, 2, 255, 256, 2**31], 400)
+    part = rng.integers(0, 2, 400).astype(np.int32)
+    batch = ph._sent(rows, counts, part, part + 1)
+    got, times = ph._received(batch.column(0).to_numpy(), *batch.columns[3:])
+    key = lambda r, c: sorted((*x, n) for x, n in zip(r.tolist(), c.tolist()))
+    assert key(got, times) == key(rows, counts) and max(len(x) for x in batch.column(3).to_pylist()) == 3
+
+
 def test_products_pass_64_bits(spark):
     a, n, l, r = 10**13 + 7, 3 * 10**14 + 1, 2 * 10**13 + 3, 5 * 10**13 + 9
     got = spark.range(1).selectExpr(f"CAST(1000 AS DECIMAL(38,0)) * CAST({a} AS DECIMAL(38,0)) * CAST({n} AS DECIMAL(38,0)) div (CAST({l} AS DECIMAL(38,0)) * CAST({r} AS DECIMAL(38,0))) AS x").first()["x"]

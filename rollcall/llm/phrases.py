@@ -35,9 +35,11 @@ MIN_COUNT, TOP = 100, 2000
 BLOCK_BYTES = 4 << 20
 #: Occurrences of a word for each of its partitions, about.
 SPLIT = 1 << 18
+#: Words of the texts for each partition of pivots, about.
+BUCKET_WORDS = 1 << 18
 #: Bytes of a word's number, so that there may be 10^12 frequent words.
 ID_BYTES = 5
-#: Fragments that are mined at a time, about, and fragments of a row that is sent, at most.
+#: Fragments that are mined at a time, about, and fragments that are counted in one run, at most.
 FRAGMENTS, TOGETHER = 100_000, 20_000
 
 BREAK = tb.byte_set(b".,;:!?\n\v\f\r")
@@ -49,7 +51,7 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The words of each block, and a row with the order in which they stand.
 
     block, local (a word's number in the block from 1, or 0 in the row of the order), lang, word, n, and
-    order: 4 bytes for each word of the block's texts, and 0 where a piece ends. From lang and text.
+    order: the numbers of the words of the block's texts, and 0 where a piece ends, as ``_short`` writes them. From lang and text.
     """
 
     def run(batches):
@@ -72,8 +74,13 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                 np.cumsum(ends - starts, out=offsets[1:])
                 words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(low[solid])).dictionary_encode()
                 pairs = codes[lo:hi][text].astype(np.int64) * len(words.dictionary) + words.indices.to_numpy()
-                distinct, local = np.unique(pairs, return_inverse=True)
-                order = np.zeros(len(starts) + int(opens.sum()), dtype=np.int32)
+                distinct, local, times = np.unique(pairs, return_inverse=True, return_counts=True)
+                # the most frequent words get the smallest numbers, which take the fewest bytes
+                by_count = np.argsort(-times, kind="stable")
+                place = np.empty(len(distinct), dtype=np.int64)
+                place[by_count] = np.arange(len(distinct))
+                distinct, local, times = distinct[by_count], place[local], times[by_count]
+                order = np.zeros(len(starts) + int(opens.sum()), dtype=np.int64)
                 order[np.arange(len(starts)) + np.cumsum(opens)] = local + 1
                 n = len(distinct)
                 block = (TaskContext.get().partitionId() << 33) + made
@@ -85,8 +92,8 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
                         pa.array(np.arange(n + 1, dtype=np.int32)),
                         pa.concat_arrays([nulls(pa.string(), 1), names.take(pa.array(distinct // len(words.dictionary))).cast(pa.string())]),
                         pa.concat_arrays([nulls(pa.string(), 1), words.dictionary.take(pa.array(distinct % len(words.dictionary))).cast(pa.string())]),
-                        pa.array(np.append(0, np.bincount(local, minlength=n))),
-                        pa.concat_arrays([pa.array([order.tobytes()], pa.binary()), nulls(pa.binary())]),
+                        pa.array(np.append(0, times)),
+                        pa.concat_arrays([pa.array([_short(order)], pa.binary()), nulls(pa.binary())]),
                     ],
                     names=["block", "local", "lang", "word", "n", "order"],
                 )
@@ -94,6 +101,30 @@ def word_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     return docs.mapInArrow(lean(run), "block long, local int, lang string, word string, n long, order binary")
 
 
+def _short(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^35 as one byte to five: seven bits in each, the last of a number with the high bit."""
+    size = 1 + (numbers >= 1 << 7).astype(np.int64) + (numbers >= 1 << 14) + (numbers >= 1 << 21) + (numbers >= 1 << 28)
+    ends = np.cumsum(size)
+    out = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.uint8)
+    for k in range(5):
+        has = np.flatnonzero(size > k)
+        out[ends[has] - 1 - k] = (numbers[has] >> (7 * k)) & 127
+    out[ends - 1] |= 128
+    return out.tobytes()
+
+
+def _long(data: bytes) -> np.ndarray:
+    """The numbers that ``_short`` wrote."""
+    raw = np.frombuffer(data, dtype=np.uint8)
+    ends = np.flatnonzero(raw & 128)
+    size = np.diff(ends, prepend=-1)
+    low, out = (raw & 127).astype(np.int64), np.zeros(len(ends), dtype=np.int64)
+    for k in range(5):
+        has = np.flatnonzero(size > k)
+        out[has] |= low[ends[has] - k] << (7 * k)
+    return out
+
+
 def _merged(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Equal rows of numbers as one, their counts added."""
     if not len(rows):
@@ -131,43 +162,53 @@ def _width(pivot: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sent(rows: np.ndarray, counts: np.ndarray, part: np.ndarray, parts: np.ndarray) -> pa.RecordBatch:
-    """Fragments as a row for each pivot and part, or several of at most ``TOGETHER`` fragments.
+def _bucket(pivot: np.ndarray, part: np.ndarray | int, buckets: int) -> np.ndarray:
+    """The partition that a part of a pivot goes to."""
+    part = tb.mix(np.asarray(part, dtype=np.uint64).reshape(-1))
+    return (tb.mix(pivot.astype(np.uint64) ^ part) % np.uint64(buckets)).astype(np.int64)
+
 
-    sides has a byte for each fragment, 16 times the words to the left plus those to the right; words has their numbers
-    without the pivot, each as wide as the pivot; counts a byte for each fragment, or four.
+def _sent(rows: np.ndarray, counts: np.ndarray, part: np.ndarray, parts: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Fragments as a row for each bucket.
+
+    pivots has the bucket's pivots in ``ID_BYTES`` each, runs how many fragments each has in two (a pivot with more
+    than ``TOGETHER`` stands there again); sides a byte for each fragment, 16 times the words to the left plus those to the
+    right, and 128 if its pivot has several parts; words the numbers without the pivot, each as wide as the
+    pivot; times how often it occurs, a byte for each fragment, or four.
     """
-    order = np.lexsort((part, rows[:, SIDE]))
-    rows, counts, part, parts = rows[order], counts[order], part[order], parts[order]
+    bucket = _bucket(rows[:, SIDE], part, buckets)
+    order = np.lexsort((rows[:, SIDE], bucket))
+    rows, counts, parts, bucket = rows[order], counts[order], parts[order], bucket[order]
     pivot = rows[:, SIDE].copy()
     at = np.arange(len(rows))
     new = np.ones(len(rows), dtype=bool)
-    new[1:] = (pivot[1:] != pivot[:-1]) | (part[1:] != part[:-1])
+    new[1:] = (pivot[1:] != pivot[:-1]) | (bucket[1:] != bucket[:-1])
     begin = at[new]
     new |= (at - np.repeat(begin, np.diff(np.append(begin, len(rows))))) % TOGETHER == 0
-    begin = np.flatnonzero(new)
-    ends = np.append(begin[1:], len(rows))
-    sides = ((rows[:, :SIDE] > 0).sum(axis=1) * 16 + (rows[:, SIDE + 1 :] > 0).sum(axis=1)).astype(np.uint8)
+    run = np.flatnonzero(new)
+    begin = np.flatnonzero(np.diff(bucket, prepend=-1))
+    edges = np.append(begin, len(rows))
+    left, right = (rows[:, :SIDE] > 0).sum(axis=1), (rows[:, SIDE + 1 :] > 0).sum(axis=1)
+    sides = (left * 16 + right + 128 * (parts > 1)).astype(np.uint8)
     rows[:, SIDE] = 0
-    full = rows != 0
-    width = _width(pivot)
-    bytes_of = np.ascontiguousarray(rows[full].astype(">i8")).view(np.uint8).reshape(-1, 8)
-    wide = np.repeat(width, full.sum(axis=1))
-    words = bytes_of[np.arange(8) >= 8 - wide[:, None]]
+    full, width = rows != 0, _width(pivot)
+    raw = rows[full].astype(">i8").view(np.uint8).reshape(-1, 8)
+    words = raw[np.arange(8) >= 8 - np.repeat(width, left + right)[:, None]]
     wordy = np.zeros(len(rows) + 1, dtype=np.int64)
-    np.cumsum(full.sum(axis=1) * width, out=wordy[1:])
-    large = np.maximum.reduceat(counts, begin) > 255
-    size = np.repeat(np.where(large, 4, 1), ends - begin)
-    times = np.ascontiguousarray(counts.astype("<u4")).view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
+    np.cumsum((left + right) * width, out=wordy[1:])
+    size = np.repeat(np.where(np.maximum.reduceat(counts, begin) > 255, 4, 1), np.diff(edges))
+    times = counts.astype("<u4").view(np.uint8).reshape(-1, 4)[np.arange(4) < size[:, None]]
     timed = np.zeros(len(rows) + 1, dtype=np.int64)
     np.cumsum(size, out=timed[1:])
+    runs = np.searchsorted(run, edges)
 
     def column(offsets, data):
         return pa.BinaryArray.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
-    edges = np.append(begin, len(rows))
-    columns = [pa.array(pivot[begin]), pa.array(part[begin]), pa.array(parts[begin]), column(edges, sides), column(wordy[edges], words), column(timed[edges], times)]
-    return pa.RecordBatch.from_arrays(columns, names=["pivot", "part", "parts", "sides", "words", "counts"])
+    pivots = np.ascontiguousarray(pivot[run].astype(">i8").view(np.uint8).reshape(-1, 8)[:, 8 - ID_BYTES :])
+    lengths = np.diff(np.append(run, len(rows))).astype("<u2").view(np.uint8)
+    columns = [pa.array(bucket[begin]), column(runs * ID_BYTES, pivots), column(runs * 2, lengths), column(edges, sides), column(wordy[edges], words), column(timed[edges], times)]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "pivots", "runs", "sides", "words", "times"])
 
 
 def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -178,12 +219,17 @@ def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def _received(pivots: np.ndarray, sides: pa.Array, words: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Fragments as rows of nine numbers, the pivot in the middle, 0 where there is none; and their counts."""
+def _received(pivots: pa.Array, runs: pa.Array, sides: pa.Array, words: pa.Array, counts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fragments as rows of nine numbers, the pivot in the middle, 0 where there is none; their counts; and the pivots that have several parts."""
+    raw = _bytes(pivots)[0].reshape(-1, ID_BYTES)
+    wide = np.zeros((len(raw), 8), dtype=np.uint8)
+    wide[:, 8 - ID_BYTES :] = raw
+    lengths = np.ascontiguousarray(_bytes(runs)[0]).view("<u2").astype(np.int64)
+    pivot = np.repeat(wide.view(">i8").ravel().astype(np.int64), lengths)
     side, at = _bytes(sides)
     n = np.diff(at)
-    pivot = np.repeat(pivots, n)
-    left, right = (side >> 4).astype(np.int64), (side & 15).astype(np.int64)
+    many = np.unique(pivot[side >= 128])
+    left, right = (side >> 4 & 7).astype(np.int64), (side & 15).astype(np.int64)
     out = np.zeros((len(side), 2 * SIDE + 1), dtype=np.int64)
     out[:, SIDE] = pivot
     lens = left + right
@@ -207,7 +253,7 @@ def _received(pivots: np.ndarray, sides: pa.Array, words: pa.Array, counts: pa.A
     mine = np.flatnonzero(size == 4)
     for k in range(1, 4):
         times[mine] |= data[begin[mine] + k].astype(np.int64) << (8 * k)
-    return out, times
+    return out, times, many
 
 
 def rewritten(words: np.ndarray) -> np.ndarray:
@@ -230,30 +276,28 @@ def rewritten(words: np.ndarray) -> np.ndarray:
     return out[(out[:, SIDE - 1] > 0) | (out[:, SIDE + 1] > 0)]
 
 
-def fragments(blocks: DataFrame, split: int = SPLIT) -> DataFrame:
-    """pivot, part (of the pivot's partitions), parts (how many they are), and the fragments as ``_sent`` packs them. blocks: order, and known (local, id and f of the frequent words)."""
+def fragments(blocks: DataFrame, buckets: int, split: int = SPLIT) -> DataFrame:
+    """The fragments of the blocks, as ``_sent`` packs them. blocks: order; local and ids, the frequent words' numbers in the block and in all; hot, id and f of those that are frequent enough for several parts."""
 
     def run(batches):
         for batch in batches:
             for k in range(len(batch)):
-                order = np.frombuffer(batch.column(0)[k].as_buffer(), dtype=np.int32)
-                known = batch.column(1)[k].values
-                local, ids, f = (known.field(x).to_numpy() for x in range(3))
-                size = int(order.max()) + 1
-                table = np.zeros(size, dtype=np.int64)
+                order = _long(batch.column(0)[k].as_buffer())
+                local, ids = (batch.column(x)[k].values.to_numpy() for x in (1, 2))
+                table = np.zeros(int(order.max()) + 1, dtype=np.int64)
                 table[local] = ids
                 rows = rewritten(table[order])
                 if not len(rows):
                     continue
                 rows, counts = _merged(rows, np.ones(len(rows), dtype=np.int64))
                 pivot = rows[:, SIDE]
-                by_id = np.argsort(ids)
-                parts = 1 + f[by_id][np.searchsorted(ids[by_id], pivot)] // split
+                parts = np.ones(len(rows), dtype=np.int64)
+                for one in batch.column(3)[k].as_py():
+                    parts[pivot == one["id"]] += one["f"] // split
                 salt = tb.mix(rows[:, SIDE - 1].astype(np.uint64) ^ tb.mix(rows[:, SIDE + 1].astype(np.uint64) ^ tb.mix(rows[:, SIDE + 2].astype(np.uint64))))
-                part = (salt % parts.astype(np.uint64)).astype(np.int32)
-                yield _sent(rows, counts, part, parts)
+                yield _sent(rows, counts, salt % parts.astype(np.uint64), parts, buckets)
 
-    return blocks.mapInArrow(lean(run), "pivot long, part int, parts long, sides binary, words binary, counts binary")
+    return blocks.mapInArrow(lean(run), "bucket long, pivots binary, runs binary, sides binary, words binary, times binary")
 
 
 def phrases_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -271,50 +315,47 @@ def phrases_of(rows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return _merged(np.concatenate(found), np.concatenate(times))
 
 
-def mined(pieces: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
+def mined(pieces: DataFrame, buckets: int, min_count: int = MIN_COUNT) -> DataFrame:
     """key (the words' numbers), and n, of the phrases that a partition owns and that are frequent.
 
-    Of a word with several partitions all phrases come, from each of them; they are still to be added up. What
-    comes from a pivot is held until its last fragment of the partition has passed.
+    Of a word with several parts all phrases come, from each of them; they are still to be added up. The
+    phrases of a bucket are held until its last fragment has passed.
     """
 
     def run(batches):
         held, times = np.zeros((0, MAX_WORDS), dtype=np.int64), np.zeros(0, dtype=np.int64)
-        waiting, n, many = [], 0, set()
+        waiting, n, last = [], 0, -1
 
-        def mine(last: bool):
+        def mine(over: bool):
             nonlocal held, times, waiting, n
-            end = None
+            many = np.zeros(0, dtype=np.int64)
             if waiting:
                 own, counts = phrases_of(np.concatenate([w[0] for w in waiting]), np.concatenate([w[1] for w in waiting]))
-                held, times, end = *_merged(np.concatenate([held, own]), np.concatenate([times, counts])), waiting[-1][2]
-            # a phrase's rarest word is its pivot; the last pivot may go on
+                held, times = _merged(np.concatenate([held, own]), np.concatenate([times, counts]))
+                many = np.unique(np.concatenate([w[2] for w in waiting]))
+            # a phrase's rarest word is its pivot
             pivot = held.max(axis=1, initial=0)
-            over = np.ones(len(held), dtype=bool) if last else pivot != end
-            kept = over & ((times >= min_count) | np.isin(pivot, np.array(sorted(many), dtype=np.int64)))
+            shared = np.isin(pivot, many)
+            gone = np.ones(len(held), dtype=bool) if over else shared | (_bucket(pivot, 0, buckets) != last)
+            kept = gone & (shared | (times >= min_count))
             out = pa.RecordBatch.from_arrays([_packed(held[kept]), pa.array(times[kept])], names=["key", "n"])
-            held, times, waiting, n = held[~over], times[~over], [], 0
-            many.intersection_update([end])
+            held, times, waiting, n = held[~gone], times[~gone], [], 0
             return out
 
         for batch in batches:
-            pivots = batch.column(0).to_numpy()
-            parts = batch.column(1).to_numpy()
-            _, at = _bytes(batch.column(2))
+            bucket = batch.column(0).to_numpy()
+            _, at = _bytes(batch.column(3))
             lo = 0
             while lo < len(batch):
                 # rows of so many fragments, and one row at least
                 hi = max(lo + 1, int(np.searchsorted(at, at[lo] + FRAGMENTS - n, side="right")) - 1)
-                waiting.append((*_received(pivots[lo:hi], *batch.slice(lo, hi - lo).columns[2:]), int(pivots[hi - 1])))
-                many.update(pivots[lo:hi][parts[lo:hi] > 1].tolist())
-                n += int(at[hi] - at[lo])
-                lo = hi
+                waiting.append(_received(*batch.slice(lo, hi - lo).columns[1:]))
+                n, last, lo = n + int(at[hi] - at[lo]), int(bucket[hi - 1]), hi
                 if n >= FRAGMENTS:
                     yield mine(False)
         yield mine(True)
 
-    dealt = pieces.repartition("pivot", "part").sortWithinPartitions("pivot", "part")
-    return dealt.select("pivot", "parts", "sides", "words", "counts").mapInArrow(lean(run), "key binary, n long")
+    return pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "key binary, n long")
 
 
 def candidates(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int = BLOCK_BYTES, split: int = SPLIT, paths: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -326,9 +367,13 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int = B
     often = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     often = numbered(often, "frequent", F.desc("f"), "lang", "word", paths=passed).withColumn("id", F.col("nth") + 1)
     ids = words.join(often.select("lang", "word", "id", "f"), ["lang", "word"])
-    known = ids.groupBy("block").agg(F.collect_list(F.struct("local", "id", "f")).alias("known"))
-    orders = blocks.where("local = 0").select("block", "order").join(known, "block").select("order", "known")
-    found = mined(fragments(orders, split), min_count).groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+    # two lists of one aggregation are in one order
+    hot = F.collect_list(F.when(F.col("f") >= split, F.struct("id", "f")))
+    known = ids.groupBy("block").agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("ids"), hot.alias("hot"))
+    orders = blocks.where("local = 0").select("block", "order").join(known, "block").select("order", "local", "ids", "hot")
+    n_words = totals.agg(F.sum("n")).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-int(n_words) // BUCKET_WORDS))
+    found = mined(fragments(orders, buckets, split), buckets, min_count).groupBy("key").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
     found = written(found.select("key", (F.length("key") / ID_BYTES).cast("int").alias("m"), "a"), "phrases", paths)
     key = F.unhex(F.lpad(F.hex("id"), 2 * ID_BYTES, "0")).alias("key")
     often = written(often.join(sent_whole(totals, totals.count(), 64), "lang").select(key, "lang", "word", "f", "n"), "frequent-words", paths)

@@ -72,14 +72,12 @@ def test_a_large_word_has_several_partitions(spark):
     rows = spark.createDataFrame([("same other " * 50 + f"same other w{k}", "en") for k in range(20)] * 3, "text string, lang string")
     blocks = ph.word_blocks(rows.select("lang", "text"), 1)
     assert blocks.where("local = 0").count() == 60
-    known = [(1, 2, 3000), (2, 1, 3100)]
-    order = np.array([0] + [1, 2] * 50 + [0, 1, 1, 2, 2, 1], dtype=np.int32).tobytes()
-    one = spark.createDataFrame([(order, known)], "order binary, known array<struct<local int, id long, f long>>")
-    pieces = ph.fragments(one, 500).collect()
-    # number 2, the rarer, is the pivot of what it stands in; number 1 of itself alone
-    assert {r["pivot"] for r in pieces} == {1, 2} and len({r["part"] for r in pieces if r["pivot"] == 2}) > 1
+    order = ph._short(np.array([0] + [1, 2] * 50 + [0, 1, 1, 2, 2, 1]))
+    one = spark.createDataFrame([(order, [1, 2], [2, 1], [(2, 3000), (1, 3100)])], "order binary, local array<int>, ids array<long>, hot array<struct<id long, f long>>")
+    pieces = ph.fragments(one, 40, 500)
+    assert len({r["bucket"] for r in pieces.collect()}) > 2
     whole = Counter()
-    for r in ph.mined(ph.fragments(one, 500), 1).collect():
+    for r in ph.mined(pieces, 40, 1000).collect():
         whole[bytes(r["key"])] += r["n"]
     plain = Counter()
     ids = [0] + [2, 1] * 50 + [0, 2, 2, 1, 1, 2]
@@ -102,10 +100,17 @@ def test_fragments_are_sent_and_received(monkeypatch):
         rows.append([0] * (4 - a) + low(a) + [pivot] + low(b) + [0] * (4 - b))
     rows, counts = np.array(rows, dtype=np.int64), rng.choice([1, 2, 255, 256, 2**31], 400)
     part = rng.integers(0, 2, 400).astype(np.int32)
-    batch = ph._sent(rows, counts, part, part + 1)
-    got, times = ph._received(batch.column(0).to_numpy(), *batch.columns[3:])
+    batch = ph._sent(rows, counts, part, np.where(rows[:, 4] > 300, 2, 1), 5)
+    assert batch.column(0).to_pylist() == [0, 1, 2, 3, 4]
+    got, times, many = ph._received(*batch.columns[1:])
+    assert many.tolist() == sorted({p for p in rows[:, 4].tolist() if p > 300})
     key = lambda r, c: sorted((*x, n) for x, n in zip(r.tolist(), c.tolist()))
-    assert key(got, times) == key(rows, counts) and max(len(x) for x in batch.column(3).to_pylist()) == 3
+    assert key(got, times) == key(rows, counts)
+
+def test_numbers_are_written_short():
+    numbers = np.array([0, 1, 127, 128, 129, 16_383, 16_384, 2**21 - 1, 2**21, 2**28 - 1, 5, 2**28, 2**35 - 1])
+    assert ph._long(ph._short(numbers)).tolist() == numbers.tolist() and len(ph._short(numbers)) == 4 + 3 * 2 + 2 * 3 + 2 * 4 + 2 * 5
+    assert ph._long(ph._short(np.zeros(0, dtype=np.int64))).tolist() == []
 
 
 def test_products_pass_64_bits(spark):

@@ -366,7 +366,8 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int = B
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals", passed)
     often = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     often = numbered(often, "frequent", F.desc("f"), "lang", "word", paths=passed).withColumn("id", F.col("nth") + 1)
-    ids = words.join(often.select("lang", "word", "id", "f"), ["lang", "word"])
+    # merged at any size, so that a small corpus takes no other way than a large one
+    ids = words.join(often.select("lang", "word", "id", "f").hint("merge"), ["lang", "word"])
     # two lists of one aggregation are in one order
     hot = F.collect_list(F.when(F.col("f") >= split, F.struct("id", "f")))
     known = ids.groupBy("block").agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("ids"), hot.alias("hot"))

@@ -39,11 +39,11 @@ class Inserted:
 
 
 def _against(table: KeyedTable, rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """reason of each row by what is stored: null if none."""
+    """reason of each row by what is stored: null if none. Stored values grow with the table, so they are never broadcast."""
     reason = F.lit(None).cast("string")
     for c in reversed((table.key, *table.unique)):
         have = stored.select(F.col(c).alias(f"__{c}")).where(F.col(f"__{c}").isNotNull()).distinct()
-        rows = rows.join(have, F.col(c) == F.col(f"__{c}"), "left")
+        rows = rows.join(have.hint("merge"), F.col(c) == F.col(f"__{c}"), "left")
         reason = F.when(F.col(f"__{c}").isNotNull(), F.lit(c)).otherwise(reason)
     return rows.withColumn("reason", F.when(~table.complete(), F.lit("null")).otherwise(reason)).drop(*[f"__{c}" for c in (table.key, *table.unique)])
 
@@ -53,7 +53,7 @@ def _reasons(table: KeyedTable, rows: DataFrame, accepted: DataFrame, ordinal: s
     reason = F.lit(None).cast("string")
     for c in reversed((table.key, *table.unique)):
         have = accepted.select(F.col(c).alias(f"__{c}"), F.col(ordinal).alias(f"__by_{c}"))
-        rows = rows.join(have, F.col(c) == F.col(f"__{c}"), "left")
+        rows = rows.join(have.hint("merge"), F.col(c) == F.col(f"__{c}"), "left")
         reason = F.when((F.col("reason") == c) | (F.col(f"__by_{c}") < F.col(ordinal)), F.lit(c)).otherwise(reason)
     reason = F.when(F.col("reason") == "null", "null").otherwise(reason)
     return rows.select(ordinal, reason.alias("reason"))
@@ -79,7 +79,7 @@ def _decided_in_groups(table: KeyedTable, contested: DataFrame, ordinal: str, pa
     A row that is the first of its group by every rule is accepted, and what clashes with it
     refused; a value that very many rows share is decided by that. What is left, rows whose
     forerunners are undecided themselves, is labelled by connected group and passes, in order, by the
-    task of its group, which holds the values taken in it.
+    task of its group, which holds the values taken in it. Clashing rows grow with the batch, so none of the joins broadcasts.
     """
     rules, spark, own = (table.key, *table.unique), contested.sparkSession, []
     rows = settled(contested, own)
@@ -87,20 +87,20 @@ def _decided_in_groups(table: KeyedTable, contested: DataFrame, ordinal: str, pa
     first = F.lit(True)
     for c in rules:
         least = rows.where("reason IS NULL").groupBy(F.col(c).alias(f"__{c}")).agg(F.min(ordinal).alias(f"__by_{c}"))
-        open_ = open_.join(least, F.col(c) == F.col(f"__{c}"))
+        open_ = open_.join(least.hint("merge"), F.col(c) == F.col(f"__{c}"))
         first = first & (F.col(ordinal) == F.col(f"__by_{c}"))
     open_ = settled(open_.select(*rules, ordinal, first.alias("first")), own)
     accepted, left = open_.where("first"), open_.where("NOT first")
     for c in rules:
-        left = left.join(accepted.select(F.col(c).alias(f"__{c}")), F.col(c) == F.col(f"__{c}"), "left_anti")
+        left = left.join(accepted.select(F.col(c).alias(f"__{c}")).hint("merge"), F.col(c) == F.col(f"__{c}"), "left_anti")
     left = settled(left.select(*rules, ordinal), own)
     edges = None
     for c in rules:
         least = left.groupBy(F.col(c).alias(f"__{c}")).agg(F.min(ordinal).alias("v"))
-        more = left.join(least, F.col(c) == F.col(f"__{c}")).select(F.col(ordinal).alias("u"), "v")
+        more = left.join(least.hint("merge"), F.col(c) == F.col(f"__{c}")).select(F.col(ordinal).alias("u"), "v")
         edges = more if edges is None else edges.unionAll(more)
     roots = connected(edges, own)
-    labelled = left.join(roots, F.col(ordinal) == F.col("node"), "left").select(F.coalesce("root", ordinal).alias("root"), *rules, ordinal)
+    labelled = left.join(roots.hint("merge"), F.col(ordinal) == F.col("node"), "left").select(F.coalesce("root", ordinal).alias("root"), *rules, ordinal)
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def each():
@@ -112,9 +112,9 @@ def _decided_in_groups(table: KeyedTable, contested: DataFrame, ordinal: str, pa
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.int64())], names=[ordinal])
 
     later = labelled.repartition("root").sortWithinPartitions("root", ordinal).mapInArrow(decide, f"`{ordinal}` long")
-    later = left.join(later, ordinal, "left_semi")
+    later = left.join(later.hint("merge"), ordinal, "left_semi")
     accepted = settled(accepted.select(*rules, ordinal).unionByName(later.select(*rules, ordinal)), own)
-    refused = rows.join(accepted.select(ordinal), ordinal, "left_anti")
+    refused = rows.join(accepted.select(ordinal).hint("merge"), ordinal, "left_anti")
     out = _reasons(table, refused, accepted, ordinal).select(ordinal, F.col("reason").alias("verdict"))
     out = settled(out.unionAll(accepted.select(ordinal, F.lit("").alias("verdict"))), paths)
     discard(spark, own)
@@ -135,7 +135,7 @@ def insert(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal: str
     for c in rules:
         # values that several rows of the batch have; each task counts its own before they meet
         shared = typed.where(table.complete()).groupBy(F.col(c).alias(f"__{c}")).agg(F.count(F.lit(1)).alias(f"__n_{c}")).where(f"__n_{c} > 1")
-        rows = rows.join(shared, F.col(c) == F.col(f"__{c}"), "left")
+        rows = rows.join(shared.hint("merge"), F.col(c) == F.col(f"__{c}"), "left")
         contested = contested | F.col(f"__n_{c}").isNotNull()
     rows = rows.select(*columns, (contested & table.complete()).alias("contested"))
     rows = _against(table, rows, stored).select(*columns, "reason", "contested")
@@ -148,7 +148,7 @@ def insert(table: KeyedTable, stored: DataFrame, batch: DataFrame, ordinal: str
         decided = list(_in_turn(zip(*in_order.values()), len(rules), rules))
         verdicts = batch.sparkSession.createDataFrame(pa.table({ordinal: pa.array([d[0] for d in decided], pa.int64()), "verdict": pa.array([d[1] for d in decided], pa.string())}))
     else:
-        verdicts = _decided_in_groups(table, clashing, ordinal, paths)
+        verdicts = _decided_in_groups(table, clashing, ordinal, paths).hint("merge")
     if verdicts is not None:
         rows = rows.join(verdicts, ordinal, "left").withColumn("reason", F.when(F.col("contested"), F.nullif("verdict", F.lit(""))).otherwise(F.col("reason")))
     return Inserted(table.select(rows.where("reason IS NULL")), rows.where("reason IS NOT NULL").select(*columns, "reason"), paths)

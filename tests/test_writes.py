@@ -114,6 +114,26 @@ def test_a_long_chain_in_groups(spark, monkeypatch):
     assert not set(held) & set(os.listdir(shared))
 
 
+def test_insert_sends_no_table_through_the_driver(spark, monkeypatch):
+    """Nothing that grows with the table or the batch is broadcast, however small it is."""
+    monkeypatch.setattr(writes, "IN_TURN", 0)
+    plans = []
+    for module in (writes, groups):
+
+        def seen(df, paths=None, settled=module.settled):
+            plans.append(df._jdf.queryExecution().toString())
+            return settled(df, paths)
+
+        monkeypatch.setattr(module, "settled", seen)
+    batch = [((k + 1) // 2, f"n{k // 2}", "h") for k in range(10)] + [(3, "n0", "h"), (99, "old", "h")]
+    stored = [(4, "old", "h")]
+    done = writes.insert(GUESTS, _stored(spark, stored), _rows(spark, batch))
+    good, bad = _by_row(stored, batch)
+    assert {r["ordinal"]: r["reason"] for r in done.refused.collect()} == bad and done.accepted.count() == len(good)
+    plans += [x._jdf.queryExecution().toString() for x in (done.accepted, done.refused)]
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_connected(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(7, 7)]

@@ -366,11 +366,13 @@ def candidates(docs: DataFrame, min_count: int = MIN_COUNT, block_bytes: int = B
     totals = written(words.groupBy("lang").agg(F.sum("n").alias("n")), "word-totals", passed)
     often = words.groupBy("lang", "word").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
     often = numbered(often, "frequent", F.desc("f"), "lang", "word", paths=passed).withColumn("id", F.col("nth") + 1)
-    # merged at any size, so that a small corpus takes no other way than a large one
-    ids = words.join(often.select("lang", "word", "id", "f").hint("merge"), ["lang", "word"])
-    # two lists of one aggregation are in one order
+    # merged at any size, so that a small corpus takes no other way than a large one; infrequent words come along without a number,
+    # so that the rows of the join are those of the blocks, and not ever more of them as more words become frequent
+    ids = words.join(often.select("lang", "word", "id", "f").hint("merge"), ["lang", "word"], "left")
+    # two lists of one aggregation are in one order; a list has no nulls
     hot = F.collect_list(F.when(F.col("f") >= split, F.struct("id", "f")))
-    known = ids.groupBy("block").agg(F.collect_list("local").alias("local"), F.collect_list("id").alias("ids"), hot.alias("hot"))
+    local = F.collect_list(F.when(F.col("id").isNotNull(), F.col("local")))
+    known = ids.groupBy("block").agg(local.alias("local"), F.collect_list("id").alias("ids"), hot.alias("hot")).where(F.size("ids") > 0)
     orders = blocks.where("local = 0").select("block", "order").join(known, "block").select("order", "local", "ids", "hot")
     n_words = totals.agg(F.sum("n")).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism, -(-int(n_words) // BUCKET_WORDS))

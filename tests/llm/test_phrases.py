@@ -139,3 +139,14 @@ def test_the_sql_agrees():
     data = rows() + chatter()
     documents = pd.DataFrame({"lang": [r[2] for r in data], "text": [r[1] for r in data]})  # noqa: F841
     assert sorted(duckdb.sql(ph.oracle_sql(3, 40)).fetchall()) == brute(data, 3, 40)
+
+
+def test_the_join_of_numbers_has_a_row_for_each_word_of_a_block(spark, monkeypatch):
+    """Its rows are in proportion to the blocks, however many words become frequent; blocks without such words go no further."""
+    seen, fragments = [], ph.fragments
+    monkeypatch.setattr(ph, "fragments", lambda blocks, *a: (seen.append(blocks), fragments(blocks, *a))[1])
+    data = chatter() + [(5000, "nobody says this", "xx", "s", 1)]
+    assert found(ph.collocations(frame(spark, data), min_count=4, top=50, block_bytes=300)) == brute(data, 4, 50)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "word#" in line and "Join" in line]
+    assert joins and all("LeftOuter" in line for line in joins)

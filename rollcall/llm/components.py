@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import discard, written
+from .runtime import discard, tidy, written
 
 
 def _unsettled(stars: DataFrame) -> bool:
@@ -18,7 +18,8 @@ def _unsettled(stars: DataFrame) -> bool:
         stars.select(F.col("v").alias("x"), F.lit(0).alias("child"), F.lit(1).alias("parent"))
     )
     roles = roles.groupBy("x").agg(F.sum("child").alias("c"), F.max("parent").alias("p"))
-    return bool(roles.where((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0))).limit(1).count())
+    with tidy(stars.sparkSession):
+        return bool(roles.where((F.col("c") > 1) | ((F.col("c") > 0) & (F.col("p") > 0))).limit(1).count())
 
 
 def _large(stars: DataFrame) -> DataFrame:

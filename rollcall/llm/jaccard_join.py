@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from . import textbytes as tb
 from .components import components
 from .prefix_tree import Trie, _spread, least_labels
-from .runtime import documents, lean, passing, row_of, written
+from .runtime import documents, lean, passing, row_of, tidy, written
 
 SIZE, NUM, DEN = 3, 90, 100
 #: A part of fewer elements says little; nodes send it only if too few of their parts have more.
@@ -228,7 +228,9 @@ def popular_shingles(docs: DataFrame, size: int, n_docs: int) -> np.ndarray:
                 yield pa.RecordBatch.from_arrays([_signed(shingles), pa.array(count)], names=["shingle", "n"])
 
     sample = docs.where(F.pmod(F.col("text_key"), F.lit(max(1, n_docs // POPULAR_SAMPLE))) == 0).dropDuplicates(["text_key"]).select("text")
-    rows = sample.mapInArrow(lean(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR).orderBy(F.desc("n"), "shingle").limit(MAX_POPULAR).select("shingle").toArrow()
+    rows = sample.mapInArrow(lean(run), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= POPULAR).orderBy(F.desc("n"), "shingle").limit(MAX_POPULAR)
+    with tidy(docs.sparkSession):
+        rows = rows.select("shingle").toArrow()
     return np.sort(rows["shingle"].to_numpy().view(np.uint64)) if rows.num_rows else np.zeros(0, dtype=np.uint64)
 
 

@@ -22,6 +22,8 @@ from .groups import connected
 ORDINAL = "ordinal"
 #: Rows that clash with others of their batch, and are decided in turn on the driver, at most.
 IN_TURN = 100_000
+#: Changes or keys of a batch that may be broadcast, at most.
+FEW = 10_000
 
 
 @dataclass(frozen=True)
@@ -183,10 +185,18 @@ def check_new(table: KeyedTable, stored: DataFrame, one: DataFrame) -> None:
             raise ConstraintViolation(f"{table.name}: the row breaks the rule on {c}")
 
 
-def update(table: KeyedTable, stored: DataFrame, changes: DataFrame) -> DataFrame:
-    """The table after the update; keys that aren't stored change nothing. One change for each key."""
+def _batch(rows: DataFrame, few: bool) -> DataFrame:
+    """The batch's side of a join with what is stored. It may grow with the table, and Spark's estimate of it may be far too low, so it merges unless it is known to be small."""
+    return rows if few else rows.hint("merge")
+
+
+def update(table: KeyedTable, stored: DataFrame, changes: DataFrame, few: bool = False) -> DataFrame:
+    """The table after the update; keys that aren't stored change nothing. One change for each key.
+
+    ``few``: whether there are at most ``FEW`` changes, so that Spark may broadcast them.
+    """
     new = table.select(changes).select(F.col(table.key).alias("__key"), *[F.col(c).alias(f"__{c}") for c in table.others])
-    rows = table.select(stored).join(new, F.col(table.key) == F.col("__key"), "left")
+    rows = table.select(stored).join(_batch(new, few), F.col(table.key) == F.col("__key"), "left")
     hit = F.col("__key").isNotNull()
     return rows.select(*[F.col(c) if c == table.key else F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) for c in table.columns])
 
@@ -196,14 +206,14 @@ def update_echo(table: KeyedTable, changes: DataFrame) -> DataFrame:
     return table.select(changes)
 
 
-def delete(table: KeyedTable, stored: DataFrame, keys: DataFrame) -> DataFrame:
-    """The table without the records of the keys; other columns of ``keys`` don't matter, nor do keys that aren't stored."""
-    return table.select(stored).join(keys.select(table.key).distinct(), table.key, "left_anti").select(*table.columns)
+def delete(table: KeyedTable, stored: DataFrame, keys: DataFrame, few: bool = False) -> DataFrame:
+    """The table without the records of the keys; other columns of ``keys`` don't matter, nor do keys that aren't stored. ``few`` as for ``update``."""
+    return table.select(stored).join(_batch(keys.select(table.key).distinct(), few), table.key, "left_anti").select(*table.columns)
 
 
 def affected(table: KeyedTable, stored: DataFrame, keys: DataFrame) -> int:
     """How many stored records an update or delete by these keys concerns."""
-    return stored.join(keys.select(table.key).distinct(), table.key, "left_semi").count()
+    return stored.join(_batch(keys.select(table.key).distinct(), few=False), table.key, "left_semi").count()
 
 
 def violations(table: KeyedTable, rows: DataFrame) -> DataFrame:

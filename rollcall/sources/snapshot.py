@@ -297,7 +297,7 @@ class SnapshotStore:
             discard(self.spark, paths)
             raise StoreError("a batch of updates has one row for each key")
         try:
-            return self._retried(lambda: self._change(changes, lambda rows, hit: writes.update(self.table, rows, hit), self._check_update))
+            return self._retried(lambda: self._change(changes, lambda rows, hit, few: writes.update(self.table, rows, hit, few), self._check_update))
         finally:
             discard(self.spark, paths)
 
@@ -314,11 +314,11 @@ class SnapshotStore:
         paths: list[str] = []
         keys = settled(keys.select(F.col(self.table.key).cast(self.table.schema[self.table.key].dataType).alias(self.table.key)).distinct(), paths)
         try:
-            return self._retried(lambda: self._change(keys, lambda rows, hit: writes.delete(self.table, rows, hit)))
+            return self._retried(lambda: self._change(keys, lambda rows, hit, few: writes.delete(self.table, rows, hit, few)))
         finally:
             discard(self.spark, paths)
 
-    def _change(self, keys: DataFrame, change: Callable[[DataFrame, DataFrame], DataFrame], check: Callable[[int, DataFrame], None] | None = None) -> int:
+    def _change(self, keys: DataFrame, change: Callable[[DataFrame, DataFrame, bool], DataFrame], check: Callable[[int, DataFrame], None] | None = None) -> int:
         """Writes the buckets anew that hold one of the keys. Returns how many do."""
         base = self.version()
         near = self.read(base, self._buckets_of(keys))
@@ -329,5 +329,5 @@ class SnapshotStore:
             if check:
                 check(base, hit.select(*keys.columns))
             kept = [x for x in self.folders(base) if self._bucket_of(x) not in buckets]
-            self._commit(change(self.read(base, buckets), hit), base, kept)
+            self._commit(change(self.read(base, buckets), hit, count <= writes.FEW), base, kept)
         return count

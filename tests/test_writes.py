@@ -134,6 +134,42 @@ def test_insert_sends_no_table_through_the_driver(spark, monkeypatch):
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
 
 
+def test_update_and_delete_send_no_batch_through_the_driver(spark):
+    stored = _stored(spark, [(k, f"n{k}", "h") for k in range(6)])
+    changes = _stored(spark, [(1, "z", "new"), (7, "gone", "h")])
+    updated, left = writes.update(GUESTS, stored, changes), writes.delete(GUESTS, stored, changes)
+    assert sorted(tuple(r)[1:] for r in updated.collect()) == [("n0", "h"), ("n2", "h"), ("n3", "h"), ("n4", "h"), ("n5", "h"), ("z", "new")]
+    assert sorted(r["name"] for r in left.collect()) == ["n0", "n2", "n3", "n4", "n5"]
+    for df in (updated, left):
+        plan = df._jdf.queryExecution().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    few = writes.update(GUESTS, stored, changes, few=True), writes.delete(GUESTS, stored, changes, few=True)
+    assert [sorted(df.collect()) for df in few] == [sorted(df.collect()) for df in (updated, left)]
+
+
+def test_flagship_sends_no_table_through_the_driver(spark, monkeypatch, tmp_path):
+    """As for the insert: nothing that grows with a table is broadcast, in any step."""
+    from rollcall.plans import queries
+
+    monkeypatch.setattr(writes, "IN_TURN", 0)
+    spark.createDataFrame([(k, f"Customer#{k}", "M") for k in range(40)], "c_custkey long, c_name string, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(k, f"Supplier#{k}") for k in range(30, 50)], "s_suppkey long, s_name string").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(k,) for k in range(5)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    plans = []
+    for module in (writes, groups):
+
+        def seen(df, paths=None, settled=module.settled):
+            plans.append(df._jdf.queryExecution().toString())
+            return settled(df, paths)
+
+        monkeypatch.setattr(module, "settled", seen)
+    out = queries.flagship(spark, str(tmp_path))
+    # 40 stored, a new one for each of 20 suppliers and one more for the 10 whose ids weren't stored; all 20 ids are renamed, and 5 records leave
+    assert out.count() == 40 + 20 + 10 - 5 and out.where("name LIKE 'renamed %'").count() == 20
+    plans += [out._jdf.queryExecution().toString()]
+    assert plans and not any("Broadcast" in p for p in plans)
+
+
 def test_connected(spark):
     rng = random.Random(4)
     edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(40), rng.randrange(40)) for _ in range(25)] + [(7, 7)]
